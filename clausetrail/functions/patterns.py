@@ -180,7 +180,12 @@ def anchors(alternative: str) -> set[str] | None:
 
 
 def holds_any(lowered: Column, words: Iterable[str]) -> Column:
-    return any_of([F.contains(lowered, F.lit(w)) for w in sorted(words)])
+    """True when any of the words occurs; one expression however long the list."""
+    found = sorted(words)
+    if len(found) < 3:
+        return any_of([F.contains(lowered, F.lit(w)) for w in found])
+    listed = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in found)
+    return F.exists(F.expr(f"array({listed})"), lambda w: F.contains(lowered, w))
 
 
 def quick_any(text: Column, lowered: Column, patterns: Iterable[str]) -> Column:

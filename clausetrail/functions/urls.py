@@ -64,20 +64,25 @@ def query_pairs(query: Column) -> Column:
 
 def path_segment(segment: Column) -> Column:
     """A path segment with identifiers and free words replaced by their kind."""
-    text = trim_blanks(decoded(segment))
-    word = F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9._~-]", "-"), 1, 48)
-    extension = F.regexp_extract(word, r"\.([a-z0-9]{1,8})\z", 1)
-    stem = F.when(extension != "", F.substring(word, F.lit(1), F.length(word) - F.length(extension) - 1)).otherwise(word)
-    words = F.filter(F.split(stem, "[-_.]+"), lambda w: w != "")
-    known = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(R.ROUTE_WORDS))
-    return (
-        F.when(text == "", F.lit(""))
-        .when((F.length(text) > 48) | F.contains(text, F.lit("@")) | matches(text, R.TOKEN_LIKE_PATH, False), F.lit(":redacted"))
-        .when(text.rlike(r"^\d+\z"), F.lit(":id"))
-        .when(word.rlike(r"^v\d{1,3}\z") | word.isin(R.LOCALE_SEGMENTS) | known, word)
-        .when(matches(extension, R.STATIC_FILE, False), F.concat(F.lit(":file."), extension))
-        .otherwise(F.lit(":segment"))
-    )
+
+    def route(text: Column, word: Column, extension: Column) -> Column:
+        stem = F.substring(word, F.lit(1), F.length(word) - F.when(extension != "", F.length(extension) + 1).otherwise(0))
+        words = F.filter(F.split(stem, "[-_.]+"), lambda w: w != "")
+        known = let(words, lambda w: (F.size(w) > 0) & F.forall(w, lambda x: x.isin(R.ROUTE_WORDS)))
+        return (
+            F.when(text == "", F.lit(""))
+            .when((F.length(text) > 48) | F.contains(text, F.lit("@")) | matches(text, R.TOKEN_LIKE_PATH, False), F.lit(":redacted"))
+            .when(text.rlike(r"^\d+\z"), F.lit(":id"))
+            .when(word.rlike(r"^v\d{1,3}\z") | word.isin(R.LOCALE_SEGMENTS) | known, word)
+            .when(matches(extension, R.STATIC_FILE, False), F.concat(F.lit(":file."), extension))
+            .otherwise(F.lit(":segment"))
+        )
+
+    def by_word(text: Column) -> Column:
+        word = F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9._~-]", "-"), 1, 48)
+        return let(word, lambda w: let(F.regexp_extract(w, r"\.([a-z0-9]{1,8})\z", 1), lambda e: route(text, w, e)))
+
+    return let(trim_blanks(decoded(segment)), by_word)
 
 
 def minimal_path(path: Column, segments: int = R.MAX_PATH_SEGMENTS, chars: int = R.MAX_PATH_CHARS) -> Column:
@@ -88,27 +93,33 @@ def minimal_path(path: Column, segments: int = R.MAX_PATH_SEGMENTS, chars: int =
 
 def _looks_random(text: Column) -> Column:
     """Long text that mixes letters, digits or cases the way generated tokens do."""
-    bare = F.regexp_replace(text, "[_-]", "")
-    mixed = bare.rlike("[a-z]") & bare.rlike("[A-Z]")
-    digits = F.length(F.regexp_replace(bare, "[^0-9]", ""))
-    return (F.length(bare) >= 24) & (
-        bare.rlike("(?i)^eyJ")
-        | (
-            bare.rlike("[A-Za-z]")
-            & F.when(digits > 0, mixed | ((F.length(bare) >= 32) & (digits >= 4))).otherwise(mixed)
+
+    def judge(bare: Column) -> Column:
+        mixed = bare.rlike("[a-z]") & bare.rlike("[A-Z]")
+        digits = F.length(F.regexp_replace(bare, "[^0-9]", ""))
+        return (F.length(bare) >= 24) & (
+            bare.rlike("(?i)^eyJ")
+            | (
+                bare.rlike("[A-Za-z]")
+                & F.when(bare.rlike("[0-9]"), mixed | ((F.length(bare) >= 32) & (digits >= 4))).otherwise(mixed)
+            )
         )
-    )
+
+    return let(F.regexp_replace(text, "[_-]", ""), judge)
 
 
 def _mask_run(run: Column) -> Column:
     """One run of letters, digits, '_' and '-': masked when it looks generated."""
-    lead = F.regexp_extract(run, "^[_-]*", 0)
-    body = F.substring(run, F.length(lead) + 1, F.length(run))
-    prefix = F.regexp_extract(body, "(?i)^([a-z]+)([_-])(.+)$", 1)
-    rest = F.substring(body, F.length(prefix) + 2, F.length(body))
-    known = F.lower(prefix).isin(R.IDENTIFIER_PREFIXES) & _looks_random(rest)
-    masked = F.when(known, F.concat(F.substring(body, F.lit(1), F.length(prefix) + 1), F.lit("__token__"))).otherwise(F.lit("__token__"))
-    return F.when(_looks_random(body), F.concat(lead, masked)).otherwise(run)
+
+    def mask(body: Column) -> Column:
+        prefix = F.regexp_extract(body, "(?i)^([a-z]+)([_-])(.+)$", 1)
+        rest = F.substring(body, F.length(prefix) + 2, F.length(body))
+        known = F.lower(prefix).isin(R.IDENTIFIER_PREFIXES) & _looks_random(rest)
+        kept = F.when(known, F.substring(body, F.lit(1), F.length(prefix) + 1)).otherwise(F.lit(""))
+        return F.when(_looks_random(body), F.concat(F.regexp_extract(run, "^[_-]*", 0), kept, F.lit("__token__"))).otherwise(run)
+
+    # Shorter runs are never masked.
+    return F.when(F.length(run) < 24, run).otherwise(let(F.regexp_replace(run, "^[_-]+", ""), mask))
 
 
 # A long hexadecimal run with a letter, and a digit or four different letters.
@@ -135,32 +146,40 @@ def _security_prefix(value: Column) -> tuple[Column, Column]:
     return prefix, F.substring(value, F.length(prefix) + 1, F.length(value))
 
 
+def _words(text: Column, separators: str, vocabulary: list[str]) -> Column:
+    """True when the text splits into at least one word and all are in the vocabulary."""
+    words = F.filter(F.split(text, separators), lambda w: w != "")
+    return let(words, lambda w: (F.size(w) > 0) & F.forall(w, lambda x: x.isin(vocabulary)))
+
+
 def _mask_suffix(value: Column) -> Column:
     """``user_x1y2`` becomes ``user___identifier__`` unless the rest is ordinary words."""
     prefix, name = _security_prefix(value)
     pattern = r"(?i)^([a-z]+)([._-])(.+)$"
     head, mark, tail = (F.regexp_extract(name, pattern, g) for g in (1, 2, 3))
-    words = F.filter(F.split(F.lower(tail), "[_-]+"), lambda w: w != "")
-    ordinary = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(R.IDENTIFIER_WORDS))
     masked = F.concat(prefix, head, mark, F.lit("__identifier__"))
+    ordinary = _words(F.lower(tail), "[_-]+", R.IDENTIFIER_WORDS)
     return F.when(F.lower(head).isin(R.IDENTIFIER_PREFIXES) & ~ordinary, masked).otherwise(value)
 
 
+_VOCABULARY = sorted(set(R.IDENTIFIER_WORDS) | set(R.IDENTIFIER_PREFIXES))
+
+
 def _mask_unknown(value: Column) -> Column:
     """Names with a word outside the vocabulary keep only their hints."""
     prefix, name = _security_prefix(value)
     spaced = F.lower(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1_$2"))
-    words = F.filter(F.split(spaced, "[^a-z0-9]+"), lambda w: w != "")
-    vocabulary = sorted(set(R.IDENTIFIER_WORDS) | set(R.IDENTIFIER_PREFIXES))
-    ordinary = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(vocabulary))
     hints = F.array_compact(F.array(*[F.when(matches(name, p), F.lit(h)) for p, h in R.IDENTIFIER_HINTS]))
-    kept = matches(name, R.STANDALONE_NAME) | name.rlike("__(?:hex|identifier|number|token|uuid)__") | ordinary
+    kept = (
+        matches(name, R.STANDALONE_NAME)
+        | name.rlike("__(?:hex|identifier|number|token|uuid)__")
+        | _words(spaced, "[^a-z0-9]+", _VOCABULARY)
+    )
     return F.when(kept, value).otherwise(F.concat(prefix, F.array_join(hints, "_"), F.lit("__identifier__")))
 
 
-def masked_name(value: Column, chars: int = 256) -> Column:
-    """A key or cookie name with embedded identifiers replaced by their kind."""
-    name = trim_blanks(F.coalesce(value, F.lit("")))
+def _mask_parts(name: Column) -> Column:
+    """Identifiers, tokens and long numbers inside a name, then its words."""
     masked = F.regexp_replace(name, "(?i)" + R.UUID_TEXT, "\u0001uuid\u0001")
     masked = F.regexp_replace(masked, _HEX_RUN, "\u0001hex\u0001")
     runs = F.split(masked, "(?<=[A-Za-z0-9_-])(?=[^A-Za-z0-9_-])|(?<=[^A-Za-z0-9_-])(?=[A-Za-z0-9_-])")
@@ -168,9 +187,20 @@ def masked_name(value: Column, chars: int = 256) -> Column:
     masked = F.regexp_replace(masked, R.LONG_NUMBER, "__number__")
     masked = F.replace(masked, F.lit("\u0001uuid\u0001"), F.lit("__uuid__"))
     masked = F.replace(masked, F.lit("\u0001hex\u0001"), F.lit("__hex__"))
-    family = tracking_family(name)
-    out = F.coalesce(family, _mask_unknown(_mask_suffix(masked)))
-    return F.when(name == "", F.lit("")).otherwise(F.substring(out, 1, chars))
+    return let(let(masked, _mask_suffix), _mask_unknown)
+
+
+def masked_name(value: Column, chars: int = 256) -> Column:
+    """A key or cookie name with embedded identifiers replaced by their kind."""
+
+    def mask(name: Column) -> Column:
+        # One ordinary word is the usual case and needs none of the tests.
+        return (
+            F.when((name == "") | name.isin(_VOCABULARY), name)
+            .otherwise(F.substring(F.coalesce(tracking_family(name), _mask_parts(name)), 1, chars))
+        )
+
+    return let(trim_blanks(F.coalesce(value, F.lit(""))), mask)
 
 
 def safe_key(masked: Column) -> Column:
@@ -290,3 +320,8 @@ def country_of(host: Column) -> Column:
     for label, code in R.COUNTRY_TLDS.items():
         chain = F.when(last == label, F.lit(code)).otherwise(chain)
     return chain
+
+
+def is_tracker(host: Column, path: Column) -> Column:
+    """True for a known tracker domain or a tracker word in host or path; needs no join."""
+    return F.arrays_overlap(host_suffixes(host), text_list(R.TRACKER_DOMAINS)) | tracker_tokens(host, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("text_policy",)
+GROUPS = ("text_policy", "network")
 
 
 def all_queries() -> dict:

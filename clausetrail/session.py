@@ -15,7 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Do not look up the calling line for each of the many expressions of a rule set.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
