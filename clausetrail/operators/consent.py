@@ -105,28 +105,26 @@ def categories(containers: Column) -> Column:
             F.transform(c["toggles"], lambda t: item(toggle_text(t), t["checked"])),
         )
 
-    def present(all_texts: Column) -> Column:
-        found = []
-        for i, (name, risk, patterns) in enumerate(R.CONSENT_CATEGORIES):
-            hits = F.transform(
-                all_texts, lambda t, pos, p=patterns: F.when(matches_any(t["text"], p), F.struct(pos.alias("pos"), t["enabled"].alias("enabled")))
-            )
-            row = let(
-                F.array_compact(hits),
-                lambda h, i=i, n=name, r=risk: F.when(
-                    F.size(h) > 0,
-                    F.struct(
-                        F.lit(-R.SEVERITY_RANK[r]).alias("rank"),
-                        h[0]["pos"].alias("pos"),
-                        F.lit(i).alias("rule"),
-                        F.lit(n).alias("id"),
-                        F.lit(r).alias("risk"),
-                        F.exists(h, lambda x: x["enabled"]).alias("enabled"),
-                    ),
-                ),
+    def category(all_texts: Column, rule: int, name: str, risk: str, patterns: list[str]) -> Column:
+        def hit(text: Column, pos: Column) -> Column:
+            return F.when(matches_any(text["text"], patterns), F.struct(pos.alias("pos"), text["enabled"].alias("enabled")))
+
+        def row(hits: Column) -> Column:
+            found = F.struct(
+                F.lit(-R.SEVERITY_RANK[risk]).alias("rank"),
+                hits[0]["pos"].alias("pos"),
+                F.lit(rule).alias("rule"),
+                F.lit(name).alias("id"),
+                F.lit(risk).alias("risk"),
+                F.exists(hits, lambda x: x["enabled"]).alias("enabled"),
             )
-            found.append(row)
-        return F.array_sort(F.array_compact(F.array(*found))).cast(CATEGORY)
+            return F.when(F.size(hits) > 0, found)
+
+        return let(F.array_compact(F.transform(all_texts, hit)), row)
+
+    def present(all_texts: Column) -> Column:
+        rows = [category(all_texts, i, *rule) for i, rule in enumerate(R.CONSENT_CATEGORIES)]
+        return F.array_sort(F.array_compact(F.array(*rows))).cast(CATEGORY)
 
     return let(F.flatten(F.transform(containers, texts)), present)
 

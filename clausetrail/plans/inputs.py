@@ -1,7 +1,7 @@
 """Shared steps of the named queries over the sample tables.
 
-Each step is built once per query.  What several steps read (policy facts, host facts, pages) is
-written as a stage table; nothing is shared between queries.
+What several steps read (minimised requests, policy facts, host facts, pages, the analyses) is written
+once as a stage table and shared by the queries of a session; ``forget`` starts over.
 """
 
 from __future__ import annotations
@@ -9,12 +9,17 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from clausetrail.operators import alignment as A
 from clausetrail.operators import consent as C
 from clausetrail.operators import cookies as K
 from clausetrail.operators import forms_storage as FS
 from clausetrail.operators import hosts as H
+from clausetrail.operators import jurisdiction as J
 from clausetrail.operators import network as N
+from clausetrail.operators import policy as P
+from clausetrail.operators import report as RP
 from clausetrail.operators import requests as RQ
 from clausetrail.operators import sections as S
 from clausetrail.operators import vendors as V
@@ -22,6 +27,22 @@ from clausetrail.plans.stages import stage
 from clausetrail.sources.sample_views import load
 
 
+_SHARED: dict[tuple[str, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The inputs of this application and directory."""
+    key = (spark.sparkContext.applicationId, str(sf_dir))
+    if key not in _SHARED:
+        _SHARED[key] = Inputs(spark, str(sf_dir))
+    return _SHARED[key]
+
+
+def forget() -> None:
+    """Drop every stage, so the next query derives what it needs from the tables again."""
+    _SHARED.clear()
+
+
 class Inputs:
     """Audit inputs of one sample directory, as lazily built DataFrames."""
 
@@ -37,7 +58,7 @@ class Inputs:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return RQ.minimise(self.view("fx_requests"))
+        return stage(RQ.minimise(self.view("fx_requests")), "requests")
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -50,11 +71,11 @@ class Inputs:
 
     @cached_property
     def changes(self) -> DataFrame:
-        return K.with_identity(self.view("fx_cookie_changes"))
+        return stage(K.with_identity(self.view("fx_cookie_changes")), "changes")
 
     @cached_property
     def cookies(self) -> DataFrame:
-        return K.reconcile(self.changes)
+        return stage(K.reconcile(self.changes), "cookies")
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -75,7 +96,7 @@ class Inputs:
 
     @cached_property
     def hosts(self) -> DataFrame:
-        return N.tab_hosts(self.requests, self.pages, self.host_facts, self.rules)
+        return stage(N.tab_hosts(self.requests, self.pages, self.host_facts, self.rules), "tab_hosts")
 
     @cached_property
     def query_keys(self) -> DataFrame:
@@ -83,7 +104,7 @@ class Inputs:
 
     @cached_property
     def network(self) -> DataFrame:
-        return N.analyze(self.requests, self.pages, self.hosts, self.query_keys)
+        return stage(N.analyze(self.requests, self.pages, self.hosts, self.query_keys), "network")
 
     @cached_property
     def fields(self) -> DataFrame:
@@ -91,7 +112,7 @@ class Inputs:
 
     @cached_property
     def forms(self) -> DataFrame:
-        return FS.analyze_forms(self.fields, self.pages)
+        return stage(FS.analyze_forms(self.fields, self.pages), "forms")
 
     @cached_property
     def storage_keys(self) -> DataFrame:
@@ -107,8 +128,94 @@ class Inputs:
 
     @cached_property
     def storage(self) -> DataFrame:
-        return FS.analyze_storage(self.storage_classes, self.storage_keys, self.cookie_flags, self.pages)
+        return stage(FS.analyze_storage(self.storage_classes, self.storage_keys, self.cookie_flags, self.pages), "storage")
 
     @cached_property
     def consents(self) -> DataFrame:
         return C.from_columns(self.view("fx_consents"))
+
+    # -- consent ------------------------------------------------------------------------
+
+    @cached_property
+    def timeline(self) -> DataFrame:
+        return C.timeline(self.consents)
+
+    @cached_property
+    def request_timing(self) -> DataFrame:
+        return C.request_timing(self.requests, self.timeline)
+
+    @cached_property
+    def cookie_timing(self) -> DataFrame:
+        return C.cookie_timing(C.cookie_evidence(self.cookies), self.timeline)
+
+    @cached_property
+    def timing(self) -> DataFrame:
+        return C.tracking_timing(self.timeline, self.request_timing, self.cookie_timing)
+
+    @cached_property
+    def consent(self) -> DataFrame:
+        return stage(C.analyze(self.consents, self.timing, C.disabled_toggles(self.consents)), "consent")
+
+    @cached_property
+    def choices(self) -> DataFrame:
+        return C.judge_choices(C.choices(self.consents), self.timing)
+
+    @cached_property
+    def baselines(self) -> DataFrame:
+        """One baseline per tab, saved halfway between its first and last request."""
+        span = self.requests.groupBy("tab_id").agg(
+            F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")
+        )
+        times = span.select("tab_id", F.timestamp_micros(F.expr("(lo + hi) div 2")).alias("created_at"))
+        return C.baselines_at(times, self.requests, self.changes)
+
+    @cached_property
+    def delta(self) -> DataFrame:
+        return stage(C.delta(self.baselines, self.requests, self.cookies), "delta")
+
+    # -- regimes, alignment, report -----------------------------------------------------
+
+    @cached_property
+    def overseas(self) -> DataFrame:
+        return N.host_country_signals(self.network, self.sites)
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        signals = A.observed_signals(self.network, self.forms, self.storage, self.consent, self.overseas)
+        return stage(signals, "observed")
+
+    @cached_property
+    def jurisdictions(self) -> DataFrame:
+        return J.detect(self.sites)
+
+    @cached_property
+    def jurisdiction(self) -> DataFrame:
+        return J.check(self.pages, self.observed, self.jurisdictions)
+
+    @cached_property
+    def checks(self) -> DataFrame:
+        return A.checks(self.pages, self.observed, N.vendor_summary(self.hosts))
+
+    @cached_property
+    def alignment(self) -> DataFrame:
+        return A.score(self.pages, self.checks)
+
+    @cached_property
+    def policy(self) -> DataFrame:
+        shown = self.sites.select("doc_id").distinct()
+        policies = self.view("fx_policies").select("doc_id", "body").join(shown, "doc_id", "left_semi")
+        return P.analyze(policies.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        return RP.site_reports(
+            self.sites,
+            self.policy,
+            self.network,
+            self.forms,
+            self.storage,
+            self.consent,
+            self.delta,
+            self.jurisdiction,
+            self.alignment,
+        )
