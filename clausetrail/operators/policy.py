@@ -7,6 +7,8 @@ The ``*_rows`` functions give the exploded tables where those are wanted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -271,9 +273,19 @@ def positives(text: Column) -> Column:
 # -- the whole analysis -----------------------------------------------------------------
 
 
-def analyze(policies: DataFrame, key: str = "doc_id", max_chars: int | None = R.MAX_POLICY_CHARS) -> DataFrame:
-    """One result row per document.  Text that is no policy gets a NULL score and no risks."""
+def analyze(
+    policies: DataFrame,
+    key: str = "doc_id",
+    max_chars: int | None = R.MAX_POLICY_CHARS,
+    extend: Callable[[DataFrame], DataFrame] | None = None,
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """One result row per document.  Text that is no policy gets a NULL score and no risks.
+
+    ``extend`` may add columns worked out from ``text`` in the same pass; ``keep`` names those to return.
+    """
     gated = with_gate(with_sentences(with_text(policies.select(key, "body"), max_chars=max_chars)))
+    gated = extend(gated) if extend else gated
     analyzed = F.col("status") == "analyzed"
     scored = with_risks(gated, analyzed)
     scored = scored.withColumn(
@@ -294,4 +306,5 @@ def analyze(policies: DataFrame, key: str = "doc_id", max_chars: int | None = R.
         "data_categories",
         "risks",
         "positives",
+        *keep,
     )

@@ -89,6 +89,10 @@ def parts() -> dict[str, str]:
         for chunk in re.split(r"^-- name: ", path.read_text(encoding="utf8"), flags=re.M)[1:]:
             name, body = chunk.split("\n", 1)
             found[name.strip()] = body.strip().rstrip(";")
+    # The policy steps once more, over saved versions instead of current policies.
+    for name in [n for n in found if n.startswith("o_")]:
+        copy = re.sub(r"\bo_(?=\w)", "v_", found[name]).replace("fx_policies", "o_vpolicies")
+        found.setdefault("v_" + name[2:], copy)
     return found
 
 
@@ -100,7 +104,7 @@ def _fill(sql: str) -> str:
 
 
 def _needs(sql: str) -> list[str]:
-    return [n for n in dict.fromkeys(re.findall(r"\b(?:fx|o)_\w+", sql)) if n in parts()]
+    return [n for n in dict.fromkeys(re.findall(r"\b(?:fx|o|v)_\w+", sql)) if n in parts()]
 
 
 def statement(name: str) -> str:
@@ -123,4 +127,4 @@ def statement(name: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    return {name: statement(name) for name in parts() if not name.startswith(("fx_", "o_"))}
+    return {name: statement(name) for name in parts() if not name.startswith(("fx_", "o_", "v_"))}

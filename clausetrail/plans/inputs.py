@@ -23,7 +23,9 @@ from clausetrail.operators import report as RP
 from clausetrail.operators import requests as RQ
 from clausetrail.operators import sections as S
 from clausetrail.operators import vendors as V
+from clausetrail.operators import versions as V2
 from clausetrail.plans.stages import stage
+from clausetrail.sources import documents as D
 from clausetrail.sources.sample_views import load
 
 
@@ -219,3 +221,33 @@ class Inputs:
             self.jurisdiction,
             self.alignment,
         )
+
+    # -- versions -----------------------------------------------------------------------
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        """Version rows; the first version of a URL keeps only the sections it has, as older records did."""
+        built = V2.build(self.view("fx_policy_versions"))
+        kept = F.filter("sections", lambda s: s["found"] | (F.col("version") > 0))
+        return stage(built.withColumn("sections", kept), "versions")
+
+    @cached_property
+    def comparisons(self) -> DataFrame:
+        return stage(V2.compare(self.versions), "comparisons")
+
+    @cached_property
+    def newest_versions(self) -> DataFrame:
+        return V2.upsert(self.versions.filter(F.col("version") < 2), self.versions.filter(F.col("version") == 2))
+
+    @cached_property
+    def check_results(self) -> DataFrame:
+        """Checks with the baseline they were made against: the first version until 10 January, the newest since."""
+        newest = self.newest_versions.select("url_key", F.col("captured_at").alias("newest_at"))
+        checks = self.view("fx_checks").join(newest, "url_key")
+        early = F.col("checked_at") < F.lit("2024-01-10 00:00:00").cast("timestamp")
+        at = F.when(early, F.lit("2024-01-01 00:00:00").cast("timestamp")).otherwise(F.col("newest_at"))
+        return checks.select("check_id", "url_key", at.alias("baseline_captured_at"), "checked_at", "ok", D.error_category(F.col("error_message")).alias("category"))
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return V2.health(self.check_results, self.newest_versions)
