@@ -7,6 +7,7 @@ from functools import lru_cache
 from pathlib import Path
 
 from clausetrail import rules as R
+from clausetrail.operators.labels import LABELS
 from clausetrail.sources.sample_views import VIEWS
 
 HERE = Path(__file__).parent
@@ -78,6 +79,7 @@ def constants() -> dict[str, str]:
         for i, (v, patterns, c, r, s) in enumerate(R.VENDOR_RULES)
         for p in patterns
     )
+    out["LABEL_ROWS"] = ", ".join(f"({_text(p)}, {_text(en)}, {_text(ko)})" for p, en, ko in LABELS)
     out["COUNTRY_ROWS"] = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in R.COUNTRY_TLDS.items())
     return out
 

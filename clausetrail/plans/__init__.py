@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("text_policy", "network", "behaviour", "monitoring")
+GROUPS = ("text_policy", "network", "behaviour", "monitoring", "observation")
 
 
 def all_queries() -> dict:

@@ -184,3 +184,15 @@ def _replace(sql: str, name: str) -> str:
     for word in ("FROM", "JOIN"):
         sql = sql.replace(f"{word} {name}", f"{word} {{{name}}}")
     return sql
+
+
+def load_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over ``events`` as a stream: events arrive as files, the small banks are static."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    sql = VIEWS[name]
+    inputs = {"events": events}
+    inputs |= {n: load(spark, sf_dir, n) for n in VIEWS if n != name and _mentions(sql, n)}
+    for n in inputs:
+        sql = _replace(sql, n)
+    return spark.sql(sql, **inputs)

@@ -70,10 +70,17 @@ def sample(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: fl
     return short.unionByName(placed.mapInPandas(walk, "request_id bigint, tab_id bigint, allowed boolean"))
 
 
-def sample_stream(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: float = R.REFILL_PER_SECOND, idle: str = "10 minutes") -> DataFrame:
-    """Streaming form: (request_id, tab_id, allowed), the bucket of each tab kept as state."""
-    rows = requests.select("request_id", "tab_id", F.unix_micros("ts").alias("micros"), (F.col("resource_type") == "main_frame").alias("main"))
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+def sample_stream(
+    requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: float = R.REFILL_PER_SECOND, lateness: str = "1 hour"
+) -> DataFrame:
+    """Streaming form: (request_id, tab_id, allowed), the bucket of each tab kept as state.
+
+    State goes once the watermark is past the time an idle bucket needs to be full again.
+    """
+    rows = requests.withWatermark("ts", lateness).select(
+        "request_id", "tab_id", "ts", F.unix_micros("ts").alias("micros"), (F.col("resource_type") == "main_frame").alias("main")
+    )
+    idle_ms = int(max(600_000, capacity / per_second * 1000))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -81,19 +88,18 @@ def sample_stream(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_sec
             return
         tokens, last = state.get if state.exists else (float(capacity), -1)
         last = None if last < 0 else last
-        # A trigger delivers a tab's events in any order; they are replayed by time.
+        # A trigger delivers the new events of a tab in any order; they are replayed by time.
         batch = pd.concat(list(batches)).sort_values(["micros", "request_id"])
         out = np.ones(len(batch), dtype=bool)
-        main = batch["main"].to_numpy()
-        micros = batch["micros"].to_numpy()
-        cuts = [0, *np.flatnonzero(main).tolist(), len(batch)]
+        main, micros = batch["main"].to_numpy(), batch["micros"].to_numpy()
+        cuts = sorted({0, *np.flatnonzero(main).tolist(), len(batch)})
         for begin, end in zip(cuts, cuts[1:], strict=False):
-            if begin < len(batch) and main[begin]:
+            if main[begin]:
                 tokens, last, begin = float(capacity), None, begin + 1
             if begin < end:
                 out[begin:end], tokens, last = admit(micros[begin:end], tokens, last, capacity, per_second)
-        state.update((tokens, -1 if last is None else int(last)))
-        state.setTimeoutDuration(idle_ms)
+        state.update((float(tokens), -1 if last is None else int(last)))
+        state.setTimeoutTimestamp(max(int(micros[-1]) // 1000, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"request_id": batch["request_id"], "tab_id": batch["tab_id"], "allowed": out})
 
     return rows.groupBy("tab_id").applyInPandasWithState(
@@ -101,5 +107,5 @@ def sample_stream(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_sec
         "request_id bigint, tab_id bigint, allowed boolean",
         "tokens double, last bigint",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
