@@ -65,9 +65,8 @@ def _starts_word(rest: str) -> bool:
 
 
 def _ends_word(before: str) -> bool:
-    if re.search(r"(?:^|[^\\A-Za-z0-9])[A-Za-z0-9]+$", before):
-        return True
-    if re.search(r"[A-Za-z0-9][A-Za-z0-9]\?$", before):
+    # A letter or digit of its own, or an optional one after another.
+    if re.search(r"(?:^|[^\\])[A-Za-z0-9]$|(?:^|[^\\])[A-Za-z0-9][A-Za-z0-9]\?$", before):
         return True
     if before.endswith(")"):
         start = max(i for i in range(len(before)) if before[i] == "(" and _group_end(before, i) == len(before) - 1)

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clausetrail import rules as R
 from clausetrail.functions.patterns import BLANKS, fold_blanks, holds_any, java_pattern, let, trim_blanks
@@ -123,7 +124,7 @@ def _compatibility_letters() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Full NFKC, for sources that carry decomposed or many-letter forms (run it once at ingest)."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

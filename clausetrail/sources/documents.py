@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clausetrail import rules as R
 from clausetrail.functions import urls as U
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, format: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str | None = None, format: str = "parquet") -> DataFrame:
     """A batch table with an explicit schema, spread over the cluster when it comes as a few big files."""
     reader = spark.read.format(format)
     df = (reader.schema(schema) if schema else reader).load(path)
     return spread(df)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet") -> DataFrame:
+def read_stream(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
     return spark.readStream.format(format).schema(schema).load(path)
 
 
