@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 # The jobs compare timestamps across tables, so every session is UTC.  AQE picks
@@ -38,11 +36,3 @@ def build_session(
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a fallback only where none is given."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("SPARK_CHECKPOINT_DIR")
-    target = configured or fallback
-    if target and not configured:
-        spark.sparkContext.setCheckpointDir(target)
-    return target

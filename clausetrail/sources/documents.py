@@ -21,13 +21,13 @@ def read_stream(spark: SparkSession, path: str, schema: str, format: str = "parq
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows only when the input has fewer files than there are task slots.
+    """Redistribute rows only when the input has fewer splits than there are task slots.
 
-    Text analysis is bound by the processor.  A table of many files is already parallel and is left as
+    Text analysis is bound by the processor.  A table of many splits is already parallel and is left as
     it is, so large inputs are never shuffled here.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if len(df.inputFiles()) < slots else df
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 # -- admission --------------------------------------------------------------------------

@@ -127,7 +127,7 @@ SELECT 'https://site' || CAST(d.doc_id - d.doc_id % 3 AS STRING) || '.example/po
   'Privacy Policy' || chr(10) || chr(10) || f.heading || chr(10) || f.sentence || chr(10) || chr(10) || a.heading || chr(10) || a.sentence || chr(10) || chr(10)
   || b.heading || chr(10) || b.sentence || chr(10) || chr(10) || c.heading || chr(10) || c.sentence AS body
 FROM documents d
-JOIN fx_clauses f ON f.idx = 0
+JOIN fx_clauses f ON f.idx = d.doc_id % 1
 JOIN fx_clauses a ON a.idx = (d.doc_id - d.doc_id % 3 + 1) % 30
 JOIN fx_clauses b ON b.idx = ((d.doc_id - d.doc_id % 3) * 11 + 4) % 30
 JOIN fx_clauses c ON c.idx = ((d.doc_id - d.doc_id % 3) * 7 + (d.doc_id % 3) * (d.doc_id - d.doc_id % 3) % 4 * 5) % 30
