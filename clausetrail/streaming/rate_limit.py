@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clausetrail import rules as R
 from clausetrail.operators.sequences import with_previous, with_running_count
+from clausetrail.session import ship_package
 
 
 def admit(micros: np.ndarray, tokens: float, last: int | None, capacity: int, per_second: float) -> tuple[np.ndarray, float, int]:
@@ -34,6 +35,7 @@ def admit(micros: np.ndarray, tokens: float, last: int | None, capacity: int, pe
 
 def sample(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: float = R.REFILL_PER_SECOND) -> DataFrame:
     """(request_id, tab_id, allowed) for every request; top-level documents are always allowed."""
+    ship_package(requests.sparkSession)
     rows = requests.select("request_id", "tab_id", "ts", (F.col("resource_type") == "main_frame").alias("main"))
     marked = with_previous(rows, "tab_id", "ts", "request_id", F.struct("ts"))
     idle = F.unix_micros("ts") - F.unix_micros("previous.ts") >= F.lit(int(np.ceil(capacity / per_second * 1e6)))
@@ -77,6 +79,7 @@ def sample_stream(
 
     State goes once the watermark is past the time an idle bucket needs to be full again.
     """
+    ship_package(requests.sparkSession)
     rows = requests.withWatermark("ts", lateness).select(
         "request_id", "tab_id", "ts", F.unix_micros("ts").alias("micros"), (F.col("resource_type") == "main_frame").alias("main")
     )
