@@ -217,3 +217,21 @@ def test_report_json_holds_no_details(spark):
     assert set(record["analysis"]) == {"policy", "network", "form", "storage", "consent", "delta", "jurisdiction", "alignment"}
     assert all("detail" not in f for part in record["analysis"].values() for f in part.get("findings", []))
     assert RP.MAX_LISTED == 100
+
+
+def test_window_and_state_streams_run(spark, tmp_path):
+    from clausetrail.sources.sample_views import load_stream
+    from clausetrail.streaming import jobs
+
+    sf = "/root/testdata/sf0.001"
+    streams = {
+        "visits": (jobs.visits(load_stream(spark, sf, "fx_requests")), "complete"),
+        "batches": (jobs.cookie_batches(load_stream(spark, sf, "fx_cookie_changes"), "1 day"), "complete"),
+        "state": (jobs.cookie_state(load_stream(spark, sf, "fx_cookie_changes")), "update"),
+    }
+    for name, (stream, mode) in streams.items():
+        writer = stream.writeStream.format("noop").outputMode(mode).option("checkpointLocation", str(tmp_path / name))
+        running = writer.trigger(availableNow=True).start()
+        assert running.awaitTermination(90)
+        assert running.lastProgress["numInputRows"] == 1000
+        assert running.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
