@@ -28,20 +28,24 @@ from pyspark.sql.types import LongType
 from clausetrail.llm.common import crc32, prepare
 
 # Chunks that stay known in a worker, about 200 bytes each; later new ones are encoded every time.
-KNOWN_CHUNKS = 600_000
+KNOWN_CHUNKS = 1_000_000
 FILE_SCHEMA = "doc_id bigint, part bigint, part_start bigint, n_tokens bigint, ids array<int>"
 
-# White space that a plain cut at single spaces doesn't handle: control and Unicode white space,
-# a space between two other white space characters, and a space at the end after another.
-_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \t-\r] (?:[ \t-\r]|\\Z)")
+# White space that cuts at single characters don't handle: control and Unicode white space, runs of
+# three, and runs of two that end the text.
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \t-\r]{2}(?:[ \t-\r]|\\Z)")
+_BLANKS = " \t\n\r\x0b\x0c"
+_STOPS = ".,"
 
 
 class ChunkEncoder:
-    """Encodes whole texts; each chunk " word" goes through the tokenizer once.
+    """Encodes whole texts; each chunk goes through the tokenizer once.
 
-    A byte-level BPE splits a text before it merges, and it always splits before a single space that
-    other text surrounds.  So a text's ids are those of its chunks, one after the other.  Texts with
-    other white space, or with a special token's string, are encoded whole.
+    A byte-level BPE splits a text before it merges, and it always splits before a blank or a line feed
+    in a run of at most two white space characters before other text, and between an ASCII letter or
+    digit and a stop that ends a chunk.  So a text's ids are those of its chunks, one after the other.
+    A chunk is " word", or "\nword" where a line starts.  Texts with other white space, or with a special
+    token's string, are encoded whole.
     """
 
     def __init__(self, path: str, known_chunks: int = KNOWN_CHUNKS):
@@ -60,55 +64,63 @@ class ChunkEncoder:
             and not splitter.get("add_prefix_space", False)
         )
         self.specials = [token["content"] for token in spec.get("added_tokens", [])]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)
         self.known_chunks = known_chunks
         self.known: dict[str, bytes] = {}
+        self.stops = {stop: self.whole(stop) for stop in _STOPS}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of " word" for each of these, all in one text where their ends allow it."""
-        joined, out = [], {}
+    def _learn(self, words: list[str], out: dict[str, bytes]) -> None:
+        """Adds the ids of these chunks; where their ends allow it, all go through the tokenizer as one text."""
+        joined = []
         for word in words:
-            if word and word[-1] not in " \t\n\r\x0b\x0c":
+            if word and word[-1] not in _BLANKS:
                 joined.append(word)
             else:
-                out[word] = self.whole(" " + word)
+                out[word] = self.whole(word if word[:1] == "\n" else " " + word)
         if joined:
-            encoding = self.tokenizer.encode(" " + " ".join(joined), add_special_tokens=False)
-            starts = np.fromiter((a for a, _ in encoding.offsets), np.int64, len(encoding.offsets))
-            ends = np.cumsum(np.fromiter((len(w) + 1 for w in joined), np.int64, len(joined)))
-            raw = np.array(encoding.ids, "<u4").tobytes()
-            cuts = (np.searchsorted(starts, ends, "left") * 4).tolist()
-            at = 0
+            pieces = [word if word[0] == "\n" else " " + word for word in joined]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(x.encode()) for x in pieces), np.int64, len(pieces)))
+            cuts = (4 * (1 + np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, "left"))).tolist()
+            raw, at = ids.tobytes(), 0
             for word, cut in zip(joined, cuts):
                 out[word] = raw[at:cut]
                 at = cut
-        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.cuts:
             return [self.whole(text) for text in texts]
+        known = self.known
         split: list[list[str] | None] = []
         new: set[str] = set()
         for text in texts:
             if _UNUSUAL.search(text) or any(s in text for s in self.specials):
                 split.append(None)
                 continue
-            words = text.split(" ")
-            new.update(words[1:])
+            words = text.replace("\n", " \n").split(" ")
+            new.update([word for word in words[1:] if word not in known])
             split.append(words)
-        new.difference_update(self.known)
-        found = self._learn(list(new))
-        if len(self.known) + len(found) <= self.known_chunks:
-            self.known.update(found)
-            get = self.known.__getitem__
+        stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalnum()]
+        new.difference_update(stopped)
+        found: dict[str, bytes] = {}
+        self._learn([w for w in new.union(w[:-1] for w in stopped) if w not in known], found)
+        get = known.get
+        for word in stopped:
+            found[word] = (get(word[:-1]) or found[word[:-1]]) + self.stops[word[-1]]
+        if len(known) + len(found) <= self.known_chunks:
+            known.update(found)
+            ids = known.__getitem__
         else:
-            known = self.known
-            get = lambda w: found[w] if w in found else known[w]
+            ids = lambda w: get(w) or found[w]
         return [
-            self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(get, words[1:]))
+            self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(ids, words[1:]))
             for text, words in zip(texts, split)
         ]
 

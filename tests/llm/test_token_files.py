@@ -40,14 +40,14 @@ def test_sample_round_trip(spark):
 
 @settings(max_examples=400, deadline=None)
 @given(
-    st.text(alphabet=st.one_of(st.sampled_from(" \n\t'\rsx1.é  \x1c"), st.characters(exclude_categories=["Cs"])), max_size=40)
+    st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'\rsx1.é  \x1c"), st.characters(exclude_categories=["Cs"])), max_size=40)
 )
 def test_chunks_give_the_ids_of_the_whole(text):
     assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == plain(text)
 
 
 @pytest.mark.parametrize(
-    "text", ["a  b", "a \n b", " a", "a ", "a\n\nb c", "x<|endoftext|> y", "it's 'll  've", "", " ", "\n ", "a   b   "]
+    "text", ["a  b", "a \n b", " a", "a ", "a\n\nb c", "x<|endoftext|> y", "it's 'll  've", "", " ", "\n ", "a   b   ", "a\n b.\nc, d.", "x \ny.. z", "é. 1. a,", "a\n\n", "a\n\n\nb"]
 )
 def test_white_space(text):
     assert np.frombuffer(ENCODER.encode([text, "z " + text])[0], "<u4").tolist() == plain(text)
