@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausetrail.llm import decontaminate, mixing, sharding, simhash, token_files
+from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, token_files, topk
 from clausetrail.llm.common import read
 from clausetrail.plans.stages import stage_root
 
@@ -58,6 +58,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op4_top_products")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every fiftieth vector with all others."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), "pmod(vec_id, 50) = 0")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 @query("op7_shards")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the written shards."""
@@ -66,6 +84,18 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placements(sharding.read_shards(spark, path))
 
 
+@query("op8_chat")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted turns."""
+    columns = ["conv_id", "turn", "role", "text"]
+    tricky = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
+    path = folder(spark, "chat")
+    chat.write_turns(chat.linear_tree(rows), path)
+    return chat.digests(chat.read_turns(spark, path)).drop("branch")
+
+
 @query("op10_near_copies")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
