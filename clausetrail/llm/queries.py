@@ -80,8 +80,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every document in the written shards."""
     path = folder(spark, "shards")
-    sharding.write_shards(read(spark, sf_dir, "documents"), path)
-    return sharding.placements(sharding.read_shards(spark, path))
+    docs = read(spark, sf_dir, "documents")
+    sharding.write_shards(docs, path)
+    return sharding.placements(sharding.read_shards(spark, path, docs.schema))
 
 
 @query("op8_chat")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from clausetrail.llm.common import prepare, text_bytes
 
@@ -51,7 +52,7 @@ def _permute(seed: int):
         bucket = bucket.take(pa.compute.sort_indices(bucket, [("key_hash", "ascending"), ("row_hash", "ascending")]))
         order = fisher_yates(bucket.num_rows, np.random.default_rng([seed, shard, part]))
         out = bucket.take(pa.array(order))
-        slots = pa.array(np.arange(bucket.num_rows, dtype=np.int64)) 
+        slots = pa.array(np.arange(bucket.num_rows, dtype=np.int64))
         slots = pa.compute.add(slots, bucket.column("bucket_start")[0])
         return pa.table([out.column("shard"), slots, out.column("doc")], names=["shard", "slot", "doc"])
 
@@ -93,8 +94,10 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, bucket_bytes: int
     shard_documents(docs, shards, bucket_bytes, seed).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_shards(spark: SparkSession, path: str, documents: StructType) -> DataFrame:
+    """slot, doc and shard of written shards; ``documents`` is the schema of their rows."""
+    shape = StructType().add("slot", LongType()).add("doc", documents).add("shard", IntegerType())
+    return spark.read.schema(shape).parquet(path)
 
 
 def placements(written: DataFrame, shards: int = 16) -> DataFrame:

@@ -46,7 +46,7 @@ def test_grown_shards_take_rows_only_into_the_new_one(spark):
 def test_messy_with_many_buckets(spark, tmp_path):
     docs, path = messy.frame(spark), str(tmp_path / "s")
     sharding.write_shards(docs, path, shards=3, bucket_bytes=2000)
-    written = sharding.read_shards(spark, path)
+    written = sharding.read_shards(spark, path, docs.schema)
     rows = sharding.placements(written, 3).collect()
     assert gapless(rows)
     back = written.select("doc.*")
@@ -56,6 +56,7 @@ def test_messy_with_many_buckets(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     sharding.write_shards(messy.empty(spark), str(tmp_path / "s"))
+    assert sharding.read_shards(spark, str(tmp_path / "s"), messy.empty(spark).schema).count() == 0
     assert sharding.shard_documents(messy.empty(spark)).count() == 0
 
 
