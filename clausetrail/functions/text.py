@@ -14,7 +14,7 @@ from clausetrail import rules as R
 from clausetrail.functions.patterns import BLANKS, fold_blanks, holds_any, java_pattern, let, trim_blanks
 
 
-def bounded(body: Column, max_chars: int | None = R.MAX_POLICY_CHARS) -> Column:
+def bounded(body: Column, max_chars: int | None = None) -> Column:
     """Text limited to ``max_chars`` (no limit when None) without outer blanks."""
     text = F.coalesce(body, F.lit(""))
     return trim_blanks(F.substring(text, 1, max_chars) if max_chars else text)
@@ -87,9 +87,10 @@ def packed_blocks(text: Column) -> Column:
     )
 
 
-def blocks(heading: Column, packed: Column) -> Column:
-    """Heading blocks where there are at least three, else packed blocks."""
-    return F.slice(F.when(F.size(heading) >= 3, heading).otherwise(packed), 1, R.MAX_BLOCKS)
+def blocks(heading: Column, packed: Column, most: int | None = None) -> Column:
+    """Heading blocks where there are at least three, else packed blocks; all of them unless ``most`` is given."""
+    chosen = F.when(F.size(heading) >= 3, heading).otherwise(packed)
+    return F.slice(chosen, 1, most) if most else chosen
 
 
 def excerpt(text: Column, limit: int) -> Column:

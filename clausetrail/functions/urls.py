@@ -213,10 +213,11 @@ def safe_key(masked: Column) -> Column:
     )
 
 
-def field_keys(keys: Column) -> Column:
-    """Masked, distinct, bounded keys of one request."""
+def field_keys(keys: Column, most: int | None = None) -> Column:
+    """Masked, distinct keys of one request; the first ``most`` where a limit is given."""
     masked = F.filter(F.transform(keys, lambda k: masked_name(k, 4096)), safe_key)
-    return F.slice(F.array_distinct(masked), 1, R.MAX_FIELD_KEYS)
+    distinct = F.array_distinct(masked)
+    return F.slice(distinct, 1, most) if most else distinct
 
 
 def sensitive_query(query: Column) -> Column:
@@ -234,9 +235,38 @@ def is_ipv4(host: Column) -> Column:
     return shaped & F.forall(octets, lambda o: F.coalesce(o.try_cast("int") <= 255, F.lit(False)))
 
 
+def ipv4_of(host: Column) -> Column:
+    """The dotted form of an IPv4 address in any notation of URLs, NULL for other hosts.
+
+    One to four numbers, decimal, octal (leading 0) or hexadecimal (0x); the last fills the bytes left.
+    """
+
+    def number(part: Column) -> Column:
+        octal = part.rlike("^0[0-7]+$")
+        base16 = F.conv(F.substring(part, 3, 16), 16, 10).try_cast("bigint")
+        value = F.when(part.rlike("^0x[0-9a-f]{1,12}$"), base16).when(part == "0x", F.lit(0))
+        value = value.when(octal & (F.length(part) <= 14), F.conv(part, 8, 10).try_cast("bigint"))
+        return value.when(part.rlike("^(0|[1-9][0-9]{0,11})$"), part.try_cast("bigint"))
+
+    def dotted(numbers: Column) -> Column:
+        n = F.size(numbers)
+        last = F.element_at(numbers, -1)
+        room = F.element_at(F.array(*[F.lit(256 ** (4 - i)) for i in range(4)]), n)
+        heads = F.slice(numbers, 1, n - 1)
+        fits = F.forall(heads, lambda x: x <= 255) & (last < room)
+        shifted = F.aggregate(heads, F.lit(0).cast("bigint"), lambda total, x: total * 256 + x) * room + last
+        parts_ = [F.shiftright(shifted, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)]
+        return F.when(fits, F.concat_ws(".", *parts_))
+
+    shaped = host.rlike(r"^(0x[0-9a-f]*|[0-9]+)(\.(0x[0-9a-f]*|[0-9]+)){0,3}$")
+    numbers = F.transform(F.split(host, r"\."), number)
+    return F.when(shaped & F.forall(numbers, lambda x: x.isNotNull()), let(numbers, dotted))
+
+
 def private_host(host: Column) -> Column:
     """Hosts a public policy cannot live on: local names, single labels, reserved addresses."""
-    name = F.regexp_replace(F.lower(host), r"\.\z", "")
+    bare = F.regexp_replace(F.lower(host), r"\.\z", "")
+    name = F.coalesce(ipv4_of(bare), bare)
     o = [F.coalesce(F.try_element_at(F.split(name, r"\."), F.lit(i)).try_cast("int"), F.lit(-1)) for i in (1, 2, 3)]
     reserved = any_of(
         [
@@ -324,4 +354,5 @@ def country_of(host: Column) -> Column:
 
 def is_tracker(host: Column, path: Column) -> Column:
     """True for a known tracker domain or a tracker word in host or path; needs no join."""
-    return F.arrays_overlap(host_suffixes(host), text_list(R.TRACKER_DOMAINS)) | tracker_tokens(host, path)
+    name = F.regexp_replace(host, r"\.+\z", "")
+    return F.arrays_overlap(host_suffixes(name), text_list(R.TRACKER_DOMAINS)) | tracker_tokens(name, path)

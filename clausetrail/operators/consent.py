@@ -42,7 +42,7 @@ def parse_payloads(raw: DataFrame, payload: str = "payload") -> DataFrame:
         first_instant(F.col("_p.observed_from")).alias("observed_from"),
         first_instant(F.col("_p.choice_at")).alias("choice_at"),
         choice_kind(F.col("_p.choice_kind")).alias("choice_kind"),
-        F.slice(F.coalesce("_p.containers", F.array()), 1, 8).alias("containers"),
+        F.coalesce("_p.containers", F.array()).alias("containers"),
         F.coalesce("_p.detected", F.lit(False)).alias("detected"),
     )
 
@@ -317,7 +317,7 @@ def tracking_timing(lines: DataFrame, requests: DataFrame, cookies: DataFrame) -
 
 def analyze(consents: DataFrame, timing: DataFrame, toggles: DataFrame) -> DataFrame:
     """One row per tab: availability of choices, tracking counts and findings."""
-    kinds = F.transform(F.flatten(F.transform("containers", lambda c: F.slice(c["buttons"], 1, 32))), button_type)
+    kinds = F.transform(F.flatten(F.transform("containers", lambda c: c["buttons"])), button_type)
     banner = consents.select(
         "tab_id", "detected", F.size("containers").alias("banner_count"), kinds.alias("kinds")
     )

@@ -58,8 +58,8 @@ def fair_queue(changes: DataFrame, per_domain: int = R.QUEUE_PER_DOMAIN, total:
     return kept.filter(F.col("place") <= total).drop("queue_domain")
 
 
-def reconcile(changes: DataFrame, cap: int | None = R.COOKIES_PER_TAB) -> DataFrame:
-    """Current cookies and safe tombstones per tab.
+def reconcile(changes: DataFrame, cap: int | None = None) -> DataFrame:
+    """Current cookies and safe tombstones per tab; the first ``cap`` of a tab where one is given.
 
     Set times count as evidence only for partitioned cookies.  A delete without earlier set evidence
     removes the cookie; with evidence it leaves a tombstone.  The fold over changes is order-free
@@ -91,24 +91,50 @@ def reconcile(changes: DataFrame, cap: int | None = R.COOKIES_PER_TAB) -> DataFr
     return current.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= cap).drop("place")
 
 
+def _alone(tabs: DataFrame, *key: str) -> DataFrame:
+    """Tabs per key and, where it is one, that tab."""
+    return tabs.groupBy(*key).agg(F.count("*").alias("n"), F.min("tab_id").alias("tab_id"))
+
+
 def attribute(changes: DataFrame, tabs: DataFrame) -> DataFrame:
     """(change_id, tab_id) for every tab a change surely belongs to.
 
     A partitioned cookie belongs to tabs of its partition site, others to tabs whose host the cookie
     domain covers.  A set that fits several tabs is ambiguous and dropped; deletes may go to all.
-    Matching is by equality on host parents.  ``tabs``: (tab_id, url).
+    Matching is by equality on host parents.  ``tabs``: (tab_id, url), one row per tab.
+
+    Sets only need to know whether a site has one tab, so tabs are counted per site first and a set meets
+    one count: no row per set and tab.  Only deletes are given one row per tab, which is their result.
     """
     own = tabs.select("tab_id", let(U.parts(F.col("url")), lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"))).alias("p"))
     own = own.select("tab_id", "p.scheme", "p.host").filter(F.col("host") != "")
-    base = changes.drop("tab_id").withColumn("site", U.parts(F.col("partition")))
-    part = base.filter(F.col("partition") != "").select("change_id", "removed", F.col("site.scheme").alias("scheme"), F.col("site.host").alias("site_host"))
-    tab_parents = own.select("tab_id", "scheme", "host", F.explode(U.host_suffixes(F.col("host"))).alias("parent"))
-    below = part.join(tab_parents.select("tab_id", "scheme", F.col("parent").alias("site_host")), ["scheme", "site_host"])
-    above = part.withColumn("host", F.explode(U.host_suffixes(F.col("site_host")))).join(own, ["scheme", "host"])
-    domain = base.filter(F.col("partition") == "").select("change_id", "removed", bare_domain(F.col("domain")).alias("parent"))
-    first_party = domain.join(tab_parents.select("tab_id", "parent"), "parent")
-    keep = ("change_id", "removed", "tab_id")
-    matched = below.select(*keep).unionByName(above.select(*keep)).unionByName(first_party.select(*keep)).distinct()
-    # Count per change, then look at the count: no window over a popular domain.
-    single = matched.groupBy("change_id").agg(F.count("*").alias("tabs"))
-    return matched.join(single, "change_id").filter(F.col("removed") | (F.col("tabs") == 1)).select("change_id", "tab_id")
+    below = own.select("tab_id", "scheme", F.explode(U.host_suffixes(F.col("host"))).alias("parent"))
+    site = U.parts(F.col("partition"))
+    partitioned = F.col("partition") != ""
+    keyed = changes.select(
+        "change_id",
+        "removed",
+        F.when(partitioned, site["scheme"]).otherwise("").alias("scheme"),
+        F.when(partitioned, site["host"]).otherwise(bare_domain(F.col("domain"))).alias("place"),
+    )
+
+    def above(keys: DataFrame) -> DataFrame:
+        """Keys with each host above their site."""
+        suffixes = U.host_suffixes(F.col("place"))
+        return keys.filter("scheme <> ''").withColumn("host", F.explode(F.slice(suffixes, 2, F.size(suffixes))))
+
+    keys = keyed.filter(~F.col("removed")).select("scheme", "place").distinct()
+    any_scheme = below.withColumn("scheme", F.lit(""))
+    covered = _alone(below.unionByName(any_scheme), "scheme", "parent").withColumnRenamed("parent", "place")
+    exact = _alone(own, "scheme", "host")
+    counted = keys.join(covered, ["scheme", "place"]).unionByName(
+        above(keys).join(exact, ["scheme", "host"]).select("scheme", "place", "n", "tab_id")
+    )
+    single = counted.groupBy("scheme", "place").agg(F.sum("n").alias("n"), F.min("tab_id").alias("tab_id")).filter("n = 1")
+    sets = keyed.filter(~F.col("removed")).join(single, ["scheme", "place"])
+
+    gone = keyed.filter("removed")
+    below_site = gone.join(below.unionByName(any_scheme).withColumnRenamed("parent", "place"), ["scheme", "place"])
+    above_site = above(gone).join(own, ["scheme", "host"])
+    found = [df.select("change_id", "tab_id") for df in (sets, below_site, above_site)]
+    return found[0].unionByName(found[1]).unionByName(found[2])

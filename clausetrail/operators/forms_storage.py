@@ -17,9 +17,11 @@ from clausetrail.operators.network import sensitive_category
 DESCRIPTOR = ("name", "id", "autocomplete", "placeholder", "label", "type")
 
 
-def answer_fields(fields: DataFrame, per_page: int = R.FORM_FIELDS_PER_PAGE) -> DataFrame:
-    """Fields that hold an answer, the first ``per_page`` of each page."""
+def answer_fields(fields: DataFrame, per_page: int | None = None) -> DataFrame:
+    """Fields that hold an answer; the first ``per_page`` of each page where a limit is given."""
     kept = fields.filter(~F.coalesce("type", F.lit("")).isin(R.SKIPPED_FIELD_TYPES))
+    if per_page is None:
+        return kept
     place = F.row_number().over(Window.partitionBy("tab_id").orderBy("field_id"))
     return kept.withColumn("place", place).filter(F.col("place") <= per_page).drop("place")
 
@@ -44,13 +46,14 @@ def analyze_forms(fields: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per tab: field counts, categories and findings."""
     order = F.struct("field_id", field_name().alias("name"))
     cat_ord = F.create_map(*[x for i, (name, _) in enumerate(R.SENSITIVE_FIELDS) for x in (F.lit(name), F.lit(i))])
+    # Only the first five names of a category are shown, so only those are gathered.
+    first = Window.partitionBy("tab_id", "category").orderBy("field_id")
+    shown = fields.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= 5)
+    names = shown.groupBy("tab_id", "category").agg(F.transform(F.array_sort(F.collect_list(order)), lambda f: f["name"]).alias("names"))
+    counts = fields.groupBy("tab_id", "category").agg(F.count("*").alias("n"), F.count_if("required").alias("required"))
+    same = (F.col("c.tab_id") == F.col("s.tab_id")) & F.col("c.category").eqNullSafe(F.col("s.category"))
     by_category = (
-        fields.groupBy("tab_id", "category")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if("required").alias("required"),
-            F.slice(F.transform(F.array_sort(F.collect_list(order)), lambda f: f["name"]), 1, 5).alias("names"),
-        )
+        counts.alias("c").join(names.alias("s"), same).select("c.*", "s.names")
         .withColumn("cat_ord", F.element_at(cat_ord, F.col("category")))
     )
     sensitive = F.col("category").isNotNull()
@@ -83,7 +86,7 @@ def analyze_forms(fields: DataFrame, pages: DataFrame) -> DataFrame:
 
 def storage_keys(keys: DataFrame) -> DataFrame:
     """Distinct keys of each area: (tab_id, area, key)."""
-    return keys.select("tab_id", "area", F.substring("storage_key", 1, 160).alias("key")).distinct()
+    return keys.select("tab_id", "area", F.col("storage_key").alias("key")).distinct()
 
 
 def weak(secure: Column, same_site: Column) -> Column:
@@ -108,9 +111,16 @@ def cookie_flags(cookies: DataFrame, pages: DataFrame, host_facts: DataFrame) ->
 
 
 def _cookies_where(when: Column, label: Column) -> Column:
-    """At most eight cookies of a tab that meet a condition, in order of their last change."""
+    """The first eight cookies of a tab that meet a condition, in order of their last change.
+
+    ``place`` columns number them, so lists hold eight entries for a tab of any size.
+    """
     picked = F.array_sort(F.collect_list(F.when(when, F.struct(F.col("change_id").alias("change_id"), label.alias("label")))))
-    return F.slice(F.transform(picked, lambda c: c["label"]), 1, 8)
+    return F.transform(picked, lambda c: c["label"])
+
+
+def _place(flag: str) -> Column:
+    return F.row_number().over(Window.partitionBy("tab_id", flag).orderBy("change_id"))
 
 
 def analyze_storage(classified: DataFrame, keys: DataFrame, cookies: DataFrame, pages: DataFrame) -> DataFrame:
@@ -120,13 +130,15 @@ def analyze_storage(classified: DataFrame, keys: DataFrame, cookies: DataFrame,
     )
     areas = classified.groupBy("tab_id").agg(F.array_sort(F.collect_list(F.struct("cat_ord", "category", "keys"))).alias("classified"))
     named = F.concat(F.col("name"), F.lit(" ("), F.col("domain"), F.lit(")"))
-    # Tabs are bounded by the cookie cap, so these lists are too.
+    for flag in ("tracking", "third_party", "weak"):
+        cookies = cookies.withColumn(f"{flag}_place", _place(flag))
+    listed = lambda flag: F.col(flag) & (F.col(f"{flag}_place") <= 8)
     jar = cookies.groupBy("tab_id").agg(
         F.count("*").alias("cookie_count"),
         F.count_if("third_party").alias("third_party_cookies"),
-        _cookies_where(F.col("tracking"), named).alias("tracking_names"),
-        _cookies_where(F.col("third_party"), named).alias("third_names"),
-        _cookies_where(F.col("weak"), F.col("name")).alias("weak_names"),
+        _cookies_where(listed("tracking"), named).alias("tracking_names"),
+        _cookies_where(listed("third_party"), named).alias("third_names"),
+        _cookies_where(listed("weak"), F.col("name")).alias("weak_names"),
     )
     facts = pages.select("tab_id", "found_sections", "mentions_storage", "mentions_advertising", "mentions_third_party")
     joined = facts.join(counts, "tab_id", "left").join(areas, "tab_id", "left").join(jar, "tab_id", "left")

@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 from clausetrail import rules as R
 from clausetrail.functions import urls as U
 
-# Suffixes used by default; give ``suffix_rules`` a complete list for production.
-COMMON_SUFFIXES = (
-    "com net org io kr co.kr or.kr us de fr uk co.uk org.uk jp co.jp eu nl it es ie at ch be se no dk fi pl pt gr cz ca "
-    "au com.au nz co.nz cn in br com.br mx sg dev app me info biz network pages.example"
-).split()
+# Generic top-level names, country codes that register below themselves and below the
+# second-level names, and names that sites share.  ``suffix_rules`` reads a complete list from a file.
+GENERIC_SUFFIXES = ["com", "net", "org", "io", "eu", "dev", "app", "me", "info", "biz", "network", "edu", "gov"]
+COUNTRY_SUFFIXES = [
+    "ae", "ar", "at", "au", "be", "bg", "br", "ca", "ch", "cl", "cn", "co", "cy", "cz", "de", "dk", "ee", "eg", "es", "fi",
+    "fr", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "is", "it", "jp", "ke", "kr", "li", "lt", "lu", "lv", "mt", "mx",
+    "my", "ng", "nl", "no", "nz", "pe", "ph", "pk", "pl", "pt", "ro", "rs", "ru", "sa", "se", "sg", "si", "sk", "th", "tr",
+    "tw", "ua", "uk", "us", "vn", "za",
+]
+SECOND_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "govt", "mil", "ne", "net", "nom", "or", "org", "re", "sch"]
+SHARED_SUFFIXES = ["github.io", "gitlab.io", "pages.dev", "web.app", "pages.example"]
+COMMON_SUFFIXES = [
+    *GENERIC_SUFFIXES,
+    *COUNTRY_SUFFIXES,
+    *[f"{second}.{country}" for country in COUNTRY_SUFFIXES for second in SECOND_LEVELS],
+    *SHARED_SUFFIXES,
+]
 COMMON_WILDCARDS = ["ck", "kawasaki.jp"]
 COMMON_EXCEPTIONS = ["www.ck", "city.kawasaki.jp"]
-# Largest rule list that may be broadcast; the public list has about ten thousand rules.
-MAX_BROADCAST_RULES = 200_000
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -37,12 +47,7 @@ def suffix_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
     line = F.lower(F.trim("value"))
     kind = F.when(F.startswith(line, F.lit("!")), "exception").when(F.startswith(line, F.lit("*.")), "wildcard").otherwise("exact")
     lines = spark.read.text(path).filter((line != "") & ~F.startswith(line, F.lit("//")))
-    return bounded_broadcast(lines.select(F.regexp_replace(line, r"^(!|\*\.)", "").alias("suffix"), kind.alias("kind")))
-
-
-def bounded_broadcast(rules: DataFrame, limit: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """Broadcast a rule table whose size was checked; a larger one is left to the planner."""
-    return F.broadcast(rules) if rules.limit(limit + 1).count() <= limit else rules
+    return lines.select(F.regexp_replace(line, r"^(!|\*\.)", "").alias("suffix"), kind.alias("kind"))
 
 
 def host_dimension(hosts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from clausetrail import rules as R
 from clausetrail.functions import findings as FN
@@ -28,7 +29,10 @@ def sensitive_category(tokens: Column, category: str) -> Column:
 
 
 def pages_with_policy(sites: DataFrame, facts: DataFrame, host_facts: DataFrame) -> DataFrame:
-    """One row per tab: its host and what its policy says, the named domains reduced to sites and parents."""
+    """One row per tab: its host and what its policy says, the named domains reduced to sites and parents.
+
+    A page without a captured policy stays: nothing is found, named or mentioned there.
+    """
     wanted = facts.join(sites.select("doc_id").distinct(), "doc_id", "left_semi")
     named = wanted.select("doc_id", F.explode("policy_domains").alias("host"))
     domain_sites = H.with_host_facts(named, host_facts).groupBy("doc_id").agg(F.collect_set("registrable").alias("policy_sites"))
@@ -39,7 +43,13 @@ def pages_with_policy(sites: DataFrame, facts: DataFrame, host_facts: DataFrame)
         .withColumn("policy_sites", F.coalesce("policy_sites", F.array().cast("array<string>")))
     )
     page_site = host_facts.select(F.col("host").alias("page_host"), F.col("registrable").alias("page_site"))
-    return sites.join(page_site, "page_host", "left").join(policies, "doc_id")
+    pages = sites.join(page_site, "page_host", "left").join(policies, "doc_id", "left")
+    for field in policies.schema:
+        if isinstance(field.dataType, ArrayType):
+            pages = pages.withColumn(field.name, F.coalesce(field.name, F.array().cast(field.dataType)))
+        elif isinstance(field.dataType, BooleanType):
+            pages = pages.withColumn(field.name, F.coalesce(field.name, F.lit(False)))
+    return pages
 
 
 def all_hosts(requests: DataFrame, sites: DataFrame, facts: DataFrame, cookies: DataFrame | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ RULES = {rule.id: rule for rule in R.RISK_RULES}
 # -- preparation ------------------------------------------------------------------------
 
 
-def with_text(policies: DataFrame, body: str = "body", max_chars: int | None = R.MAX_POLICY_CHARS) -> DataFrame:
+def with_text(policies: DataFrame, body: str = "body", max_chars: int | None = None) -> DataFrame:
     """Adds ``text``; drops the raw body so it is not carried further."""
     return policies.withColumn("text", T.bounded(F.col(body), max_chars)).drop(body)
 
@@ -276,7 +276,7 @@ def positives(text: Column) -> Column:
 def analyze(
     policies: DataFrame,
     key: str = "doc_id",
-    max_chars: int | None = R.MAX_POLICY_CHARS,
+    max_chars: int | None = None,
     extend: Callable[[DataFrame], DataFrame] | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:

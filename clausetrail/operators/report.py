@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from clausetrail.functions import urls as U
 from clausetrail.functions.patterns import let
 
-MAX_LISTED = 100
-
 
 def bare_findings(found: Column) -> Column:
-    """Findings without their detail, at most a hundred."""
+    """Findings without their detail."""
     return F.transform(
-        F.slice(found, 1, MAX_LISTED),
+        found,
         lambda f: F.struct(f["id"].alias("id"), f["severity"].alias("severity"), F.coalesce(f["confidence"], F.lit("")).alias("confidence")),
     )
 
@@ -59,7 +57,7 @@ def site_reports(
     )
     bare = bare_findings(F.col("findings")).alias("findings")
     vendor = F.transform(
-        F.slice("vendor_summary", 1, MAX_LISTED),
+        "vendor_summary",
         lambda v: F.struct(*[v[n].alias(n) for n in ("vendor", "host", "category", "risk", "missing")]),
     )
     parts = {
@@ -67,8 +65,8 @@ def site_reports(
             network,
             [
                 "request_count",
-                F.slice("third_party_hosts", 1, MAX_LISTED).alias("third_party_hosts"),
-                F.slice("tracker_hosts", 1, MAX_LISTED).alias("tracker_hosts"),
+                "third_party_hosts",
+                "tracker_hosts",
                 vendor.alias("vendors"),
                 F.size("sensitive_fields").alias("sensitive_field_count"),
             ],

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausetrail import rules as R
 from clausetrail.functions import urls as U
 from clausetrail.functions.patterns import let
 
 
-def minimise(requests: DataFrame) -> DataFrame:
+def minimise(requests: DataFrame, max_url_chars: int | None = None) -> DataFrame:
     """Keeps scheme, host, shortened path and masked query keys; drops logins, values and fragments.
 
-    Rows whose URL is not http(s) or is oversized are dropped.
+    Rows whose URL is not http(s) are dropped.  ``max_url_chars`` also drops longer URLs.
     """
 
     def kept(p):
@@ -26,7 +25,9 @@ def minimise(requests: DataFrame) -> DataFrame:
             U.field_keys(F.transform(U.query_pairs(p["query"]), lambda q: q["key"])).alias("query_keys"),
         )
 
-    facts = F.when(F.length("url") <= R.MAX_RAW_URL_CHARS, let(U.parts(F.col("url")), lambda p: F.when(p.isNotNull(), kept(p))))
+    facts = let(U.parts(F.col("url")), lambda p: F.when(p.isNotNull(), kept(p)))
+    if max_url_chars:
+        facts = F.when(F.length("url") <= max_url_chars, facts)
     narrow = requests.select(
         "request_id", "tab_id", "ts", F.upper(F.substring("method", 1, 16)).alias("method"), "resource_type", F.inline_outer(F.array(facts))
     ).filter(F.col("host").isNotNull())

@@ -11,10 +11,11 @@ from clausetrail.functions.patterns import matches, text_list
 from clausetrail.operators.hosts import small_table
 
 
-def clean_custom_rules(rules: DataFrame) -> DataFrame:
-    """Valid user rules: trimmed, bounded, known categories and sections, one per id, first ones kept.
+def clean_custom_rules(rules: DataFrame, max_rules: int | None = None, max_patterns: int | None = None) -> DataFrame:
+    """Valid user rules: trimmed, known categories and sections, one per id, first ones kept.
 
-    Input: (id, vendor, patterns, category, risk, expected_sections, position).
+    Input: (id, vendor, patterns, category, risk, expected_sections, position).  Rules at the same position
+    go by id, and rows of one id at the same position by their content.
     """
 
     def domain(pattern: Column) -> Column:
@@ -27,7 +28,7 @@ def clean_custom_rules(rules: DataFrame) -> DataFrame:
     cleaned = rules.select(
         F.substring("id", 1, 128).alias("id"),
         F.substring(F.trim("vendor"), 1, 120).alias("vendor"),
-        F.slice(F.array_distinct(patterns), 1, R.MAX_CUSTOM_PATTERNS).alias("patterns"),
+        (F.slice(F.array_distinct(patterns), 1, max_patterns) if max_patterns else F.array_distinct(patterns)).alias("patterns"),
         F.when(F.trim("category").isin(R.CUSTOM_CATEGORIES), F.trim("category")).otherwise("unknown").alias("category"),
         F.when(F.trim("risk").isin(R.CUSTOM_RISKS), F.trim("risk")).otherwise("unknown").alias("risk"),
         F.array_distinct(sections).alias("expected_sections"),
@@ -39,8 +40,10 @@ def clean_custom_rules(rules: DataFrame) -> DataFrame:
         & F.forall("patterns", lambda p: matches(p, R.CUSTOM_PATTERN, False))
         & (F.size("expected_sections") > 0)
     )
-    first = valid.groupBy("id").agg(F.min_by(F.struct(*[c for c in valid.columns if c != "id"]), "position").alias("r"))
-    return first.select("id", "r.*").orderBy("position").limit(R.MAX_CUSTOM_RULES)
+    content = [c for c in valid.columns if c not in ("id", "position")]
+    first = valid.groupBy("id").agg(F.min(F.struct("position", *content)).alias("r"))
+    kept = first.select("id", *[f"r.{c}" for c in (*content, "position")])
+    return kept.orderBy("position", "id").limit(max_rules) if max_rules else kept
 
 
 def vendor_rules(spark: SparkSession, custom: DataFrame | None = None) -> DataFrame:
@@ -50,10 +53,11 @@ def vendor_rules(spark: SparkSession, custom: DataFrame | None = None) -> DataFr
         [(i, v, p, c, r, s) for i, (v, p, c, r, s) in enumerate(R.VENDOR_RULES)],
         "rule_ord bigint, vendor string, patterns array<string>, category string, risk string, expected array<string>",
     )
+    built_in = built_in.withColumn("rule_ord", F.struct(F.lit(1).alias("source"), F.col("rule_ord").alias("position"), F.lit("").alias("id")))
     rules = built_in
     if custom is not None:
         own = clean_custom_rules(custom).select(
-            (F.col("position") - F.lit(1_000_000)).alias("rule_ord"),
+            F.struct(F.lit(0).alias("source"), F.col("position").cast("bigint").alias("position"), "id").alias("rule_ord"),
             "vendor",
             "patterns",
             "category",
@@ -72,12 +76,12 @@ def vendor_rules(spark: SparkSession, custom: DataFrame | None = None) -> DataFr
 def classify(targets: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
     """Adds ``vendor`` (vendor, category, risk, expected) to distinct (host, path) targets.
 
-    The rules may be broadcast: user rules are cut to a hundred, of twenty patterns each, when cleaned.
     Each parent of the host looks for rules by equality; the earliest matching rule wins.
+    The built-in rules come marked for broadcast; a table of user rules is left to the planner.
     """
     unique = targets.select(host, path).distinct()
     bare = F.regexp_replace(F.lower(host), r"^www\.", "")
-    looked_up = unique.withColumn("suffix", F.explode(U.host_suffixes(bare))).join(F.broadcast(rules), "suffix", "left")
+    looked_up = unique.withColumn("suffix", F.explode(U.host_suffixes(bare))).join(rules, "suffix", "left")
     fits = (F.col("rule_path") == "") | (F.col(path) == F.col("rule_path")) | F.startswith(path, F.concat("rule_path", F.lit("/")))
     best = looked_up.groupBy(host, path).agg(F.min_by("vendor", F.when(fits, F.col("rule_ord"))).alias("vendor"))
     name, category, risk, expected = R.UNKNOWN_VENDOR

@@ -72,7 +72,7 @@ FROM fx_cookie_changes c JOIN o_cookie_names n USING (name)
 SELECT change_id, tab_id, ts, name, domain, removed, partition FROM o_changes
 
 -- name: o_fields
-SELECT field_id, tab_id, name, type, label, required FROM (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY field_id) AS place FROM fx_form_fields WHERE type NOT IN ('hidden', 'submit', 'button', 'reset', 'image')) WHERE place <= 120
+SELECT field_id, tab_id, name, type, label, required FROM fx_form_fields WHERE type NOT IN ('hidden', 'submit', 'button', 'reset', 'image')
 
 -- name: src_10_form_fields
 SELECT field_id, tab_id, name, type FROM o_fields
@@ -308,7 +308,7 @@ SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY removed, last_set_at D
   FROM o_cookie_groups) WHERE NOT removed OR observed
 
 -- name: o_cookies
-SELECT * FROM o_cookie_state WHERE place <= 120
+SELECT * FROM o_cookie_state
 
 -- name: str_9_cookie_identity
 SELECT change_id, identity FROM o_changes

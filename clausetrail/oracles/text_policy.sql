@@ -1,5 +1,5 @@
 -- name: o_text
-SELECT doc_id, body, trim(substring(body, 1, $MAX_POLICY_CHARS), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)) AS t FROM fx_policies
+SELECT doc_id, body, trim(body, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)) AS t FROM fx_policies
 
 -- name: o_sentence_lists
 SELECT doc_id, list_filter(list_transform(
@@ -59,10 +59,10 @@ FROM (SELECT doc_id, generate_subscripts(string_split(packed, chr(2)), 1) AS i,
 WHERE length(block) > 30
 
 -- name: o_blocks
-SELECT doc_id, idx, block FROM o_heading_blocks WHERE n_blocks >= 3 AND idx < $MAX_BLOCKS
+SELECT doc_id, idx, block FROM o_heading_blocks WHERE n_blocks >= 3
 UNION ALL
 SELECT doc_id, idx, block FROM o_packed_blocks
-WHERE idx < $MAX_BLOCKS AND doc_id NOT IN (SELECT doc_id FROM o_heading_blocks WHERE n_blocks >= 3)
+WHERE doc_id NOT IN (SELECT doc_id FROM o_heading_blocks WHERE n_blocks >= 3)
 
 -- name: o_titled
 SELECT doc_id, idx, block, CASE WHEN length(first_line) <= 90 THEN regexp_replace(first_line, '^\d{1,2}[.)]\s*', '')
@@ -214,7 +214,7 @@ SELECT doc_id, unnest(list_filter([CASE WHEN regexp_matches(t, $POSITIVE_delete_
 SELECT doc_id, lang, length(body) AS chars FROM fx_policies
 
 -- name: txt_1_bounded_text
-SELECT doc_id, t AS text, CASE WHEN t = '' THEN 'empty' ELSE 'text' END AS kind FROM o_text
+SELECT doc_id, t AS text, CASE WHEN t = '' THEN 'empty' ELSE 'text' END AS kind FROM (SELECT doc_id, trim(substring(body, 1, $MAX_POLICY_CHARS), chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(160)) AS t FROM fx_policies)
 
 -- name: txt_2_sentences
 SELECT doc_id, sent_idx, sentence FROM o_sentences

@@ -34,7 +34,8 @@ def _(spark, sf_dir):
 
 @query("txt_1_bounded_text")
 def _(spark, sf_dir):
-    return with_text(spark, sf_dir).withColumn("kind", F.when(F.col("text") == "", "empty").otherwise("text"))
+    bounded = P.with_text(policies(spark, sf_dir), max_chars=R.MAX_POLICY_CHARS)
+    return bounded.withColumn("kind", F.when(F.col("text") == "", "empty").otherwise("text"))
 
 
 @query("txt_2_sentences")

@@ -10,26 +10,15 @@ from clausetrail.functions import urls as U
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None, format: str = "parquet") -> DataFrame:
-    """A batch table with an explicit schema, spread over the cluster when it comes as a few big files."""
+    """A batch table with an explicit schema.  ``spark.sql.files.maxPartitionBytes`` sets how it is split."""
     reader = spark.read.format(format)
-    df = (reader.schema(schema) if schema else reader).load(path)
-    return spread(df)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, format: str = "parquet") -> DataFrame:
     return spark.readStream.format(format).schema(schema).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows only when the input has fewer splits than there are task slots.
-
-    Text analysis is bound by the processor.  A table of many splits is already parallel and is left as
-    it is, so large inputs are never shuffled here.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 # -- admission --------------------------------------------------------------------------
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausetrail.sources.documents import spread
 
 VIEWS: dict[str, str] = {
     "fx_clauses": r"""
@@ -160,6 +159,11 @@ JOIN (VALUES (0,'id=onetrust-banner','dialog','We value your privacy. Accept all
 DRIVER_TABLES = ("customer", "documents", "events", "pages")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a sample table over the task slots; these tables come as files that can't be split."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables of ``sf_dir``; only the views and columns it needs are read."""
     if name in DRIVER_TABLES:

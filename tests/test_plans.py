@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-import __spark_entry__ as entry
+from clausetrail.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = all_queries()
 PYTHON_ALLOWED = {"txt_11_visible_text", "str_5_rate_sampling", "str_5_rate_sampling_stream"}
 
 

@@ -6,9 +6,11 @@ import pytest
 from compare import compare, connect
 
 import __spark_entry__ as entry
+from clausetrail.oracles.build import statements
+from clausetrail.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+QUERIES, STATEMENTS = all_queries(), statements()
 # Results no statement can give: nested markup and nested JSON. They have their own tests.
 WITHOUT_STATEMENT = {"txt_11_visible_text", "snk_1_report_records"}
 
