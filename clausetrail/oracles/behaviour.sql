@@ -244,4 +244,4 @@ FROM fx_sites s LEFT JOIN (SELECT tab_id, max(CASE severity WHEN 'high' THEN 3 W
 -- name: rep_1_site_reports
 SELECT s.tab_id, s.page_url AS url, l.level AS policy_level, n.request_count AS requests, (SELECT count(*) FROM o_fields f WHERE f.tab_id = s.tab_id) AS fields, (SELECT count(*) FROM o_cookies c WHERE c.tab_id = s.tab_id AND NOT c.removed) AS cookies,
   b.detected::INT::BIGINT AS banners, d.request_delta, j.code AS jurisdiction, a.score AS alignment
-FROM fx_sites s JOIN o_levels l USING (doc_id) JOIN o_network n USING (tab_id) JOIN o_banner b USING (tab_id) JOIN o_delta d USING (tab_id) JOIN o_jurisdiction j USING (tab_id) JOIN o_alignment a USING (tab_id)
+FROM fx_sites s LEFT JOIN o_levels l USING (doc_id) JOIN o_network n USING (tab_id) JOIN o_banner b USING (tab_id) JOIN o_delta d USING (tab_id) JOIN o_jurisdiction j USING (tab_id) JOIN o_alignment a USING (tab_id)

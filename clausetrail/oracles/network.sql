@@ -190,8 +190,8 @@ SELECT * FROM (SELECT r.tab_id, r.host, r.request_id, v.vendor, v.category, v.ri
   FROM o_requests r JOIN o_vendors v USING (host, path)) WHERE rn = 1
 
 -- name: o_vendor_rows
-SELECT p.tab_id, p.host, p.request_id, p.vendor, p.category, p.risk, h.first_seen, h.doc_id, list_filter(p.expected, lambda e: NOT list_contains(f.found, e)) AS missing
-FROM o_preferred p JOIN o_host_rows h USING (tab_id, host) JOIN (SELECT t.doc_id, coalesce(list(f.section_id) FILTER (WHERE f.section_id IS NOT NULL), []) AS found FROM o_text t LEFT JOIN o_found f USING (doc_id) GROUP BY t.doc_id) f ON f.doc_id = h.doc_id
+SELECT p.tab_id, p.host, p.request_id, p.vendor, p.category, p.risk, h.first_seen, h.doc_id, list_filter(p.expected, lambda e: NOT list_contains(coalesce(f.found, []), e)) AS missing
+FROM o_preferred p JOIN o_host_rows h USING (tab_id, host) LEFT JOIN (SELECT t.doc_id, coalesce(list(f.section_id) FILTER (WHERE f.section_id IS NOT NULL), []) AS found FROM o_text t LEFT JOIN o_found f USING (doc_id) GROUP BY t.doc_id) f ON f.doc_id = h.doc_id
 WHERE h.third_party
 
 -- name: net_3_preferred_vendor_requests
@@ -221,10 +221,10 @@ SELECT tab_id, category, string_agg(k, '|' ORDER BY rn) AS keys FROM (SELECT t.t
 SELECT tab_id, category, keys FROM o_request_fields
 
 -- name: o_tab_policy
-SELECT s.tab_id, s.doc_id, regexp_matches(lower(t.t), $MENTIONS_advertising) AS ads, regexp_matches(lower(t.t), $MENTIONS_storage) AS storage, regexp_matches(lower(t.t), $MENTIONS_third_party) AS third,
-  regexp_matches(lower(t.t), $MENTIONS_special_category) AS special, regexp_matches(lower(t.t), $MENTIONS_sensitive_us) AS sensitive_us, regexp_matches(lower(t.t), $MENTIONS_parental) AS parental,
+SELECT s.tab_id, s.doc_id, regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_advertising) AS ads, regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_storage) AS storage, regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_third_party) AS third,
+  regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_special_category) AS special, regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_sensitive_us) AS sensitive_us, regexp_matches(lower(coalesce(t.t, '')), $MENTIONS_parental) AS parental,
   EXISTS (SELECT 1 FROM o_found f WHERE f.doc_id = s.doc_id AND f.section_id = 'cookies_tracking') AS has_cookies
-FROM fx_sites s JOIN o_text t USING (doc_id)
+FROM fx_sites s LEFT JOIN o_text t USING (doc_id)
 
 -- name: o_net_findings
 SELECT tab_id, 'undisclosed_third_parties' AS id, 'high' AS severity, string_agg(host, '|' ORDER BY first_seen) AS detail, 1 AS pos FROM (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY first_seen) AS rn FROM o_host_rows WHERE third_party AND NOT disclosed) WHERE rn <= 8 GROUP BY tab_id

@@ -63,7 +63,7 @@ JOIN fx_clauses e ON e.idx = (d.doc_id * 17 + 2) % 30
     "fx_sites": r"""
 SELECT u.user_id AS tab_id, d.doc_id, s.page_host, 'https://' || s.page_host || '/policy' AS page_url, s.language, s.time_zone, k.country_code
 FROM (SELECT DISTINCT user_id FROM events) u
-JOIN documents d ON d.doc_id = u.user_id
+LEFT JOIN documents d ON d.doc_id = u.user_id AND u.user_id % 13 <> 12
 JOIN (VALUES (0,'shop.example.co.kr','ko-KR','Asia/Seoul'),(1,'www.service.us','en-US','America/New_York'),(2,'app.dienst.de','de-DE','Europe/Berlin'),
  (3,'portal.example.co.uk','en-GB','Europe/London'),(4,'alice.pages.example','en-US','Europe/Paris'),(5,'bob.pages.example','ja-JP','Asia/Tokyo'),
  (6,'www.site.fr','fr-FR','Europe/Paris'),(7,'news.example.com','ko','America/Chicago')) AS s(idx, page_host, language, time_zone) ON s.idx = u.user_id % 8
@@ -108,23 +108,23 @@ JOIN (VALUES (0,'We use strictly necessary cookies and advertising cookies.','Ac
 """,
     "fx_form_fields": r"""
 SELECT c.c_custkey AS field_id, s.tab_id, f.name, f.type, f.label, c.c_custkey % 4 <> 0 AS required
-FROM customer c
-JOIN fx_sites s ON s.tab_id = c.c_custkey % 150
+FROM (SELECT c_custkey, (SELECT 1 + max(user_id) FROM events) AS tabs FROM customer) c
+JOIN fx_sites s ON s.tab_id = c.c_custkey % c.tabs
 JOIN (VALUES (0,'email','email','Email'),(1,'card_number','text','Card number'),(2,'birthdate','text','Date of birth'),(3,'q','search','Search'),
  (4,'userName','text','User name'),(5,'phone','tel','Phone'),(6,'account number','text','Bank'),(7,'agree','checkbox','I agree'),(8,'이메일','text','이메일'),
  (9,'go','submit','Send'),(10,'csrf','hidden','')) AS f(idx, name, type, label) ON f.idx = (c.c_custkey * 3 + 2) % 11
 """,
     "fx_storage_keys": r"""
 SELECT s.tab_id, CASE WHEN c.c_custkey % 2 = 0 THEN 'local' ELSE 'session' END AS area, k.storage_key
-FROM customer c
-JOIN fx_sites s ON s.tab_id = (c.c_custkey * 7) % 150
+FROM (SELECT c_custkey, (SELECT 1 + max(user_id) FROM events) AS tabs FROM customer) c
+JOIN fx_sites s ON s.tab_id = (c.c_custkey * 7) % c.tabs
 JOIN (VALUES (0,'auth_token'),(1,'user_email'),(2,'theme'),(3,'lastLocation'),(4,'cartItems'),(5,'deviceId'),(6,'profileName')) AS k(idx, storage_key) ON k.idx = c.c_custkey % 7
 """,
     "fx_policy_versions": r"""
 SELECT 'https://site' || CAST(d.doc_id - d.doc_id % 3 AS STRING) || '.example/policy' AS url_key, d.doc_id % 3 AS version,
   CASE d.doc_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '2024-01-01 06:00:00' ELSE TIMESTAMP '2024-01-01 12:00:00' END AS captured_at,
   'Privacy Policy' || chr(10) || chr(10) || f.heading || chr(10) || f.sentence || chr(10) || chr(10) || a.heading || chr(10) || a.sentence || chr(10) || chr(10)
-  || b.heading || chr(10) || b.sentence || chr(10) || chr(10) || c.heading || chr(10) || c.sentence AS body
+  || b.heading || chr(10) || b.sentence || chr(10) || chr(10) || c.heading || chr(10) || c.sentence || chr(10) || chr(10) || d.text AS body
 FROM documents d
 JOIN fx_clauses f ON f.idx = d.doc_id % 1
 JOIN fx_clauses a ON a.idx = (d.doc_id - d.doc_id % 3 + 1) % 30
@@ -149,8 +149,8 @@ JOIN (VALUES (0,'text/html; charset=utf-8'),(1,'text/plain'),(2,'application/pdf
 """,
     "fx_candidates": r"""
 SELECT c.c_custkey AS el_id, s.tab_id, x.attrs, x.role, x.txt AS text
-FROM customer c
-JOIN fx_sites s ON s.tab_id = (c.c_custkey * 11) % 150
+FROM (SELECT c_custkey, (SELECT 1 + max(user_id) FROM events) AS tabs FROM customer) c
+JOIN fx_sites s ON s.tab_id = (c.c_custkey * 11) % c.tabs
 JOIN (VALUES (0,'id=onetrust-banner','dialog','We value your privacy. Accept all or reject all cookies.'),(1,'class=promo','','Summer sale: accept our offer today.'),
  (2,'class=cookie-bar','','We use cookies. Accept'),(3,'id=main privacy policy','main','This privacy policy and these terms explain the agreement between you and the company about every condition of use of the service and its data.'),
  (4,'class=footer','','terms privacy'),(5,'class=article','article','A long story about soup, bread and the weather on the coast that never mentions any legal document, told slowly over many quiet evenings.')) AS x(idx, attrs, role, txt) ON x.idx = c.c_custkey % 6
