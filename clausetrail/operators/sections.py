@@ -135,32 +135,40 @@ def names_alias(text: Column, alias: str) -> Column:
     return F.contains(text, F.lit(alias.split()[0])) & text.rlike(rf"(?iu)(?:^|[^\p{{L}}\p{{N}}]){words}(?=$|[^\p{{L}}\p{{N}}])")
 
 
-def policy_facts(policies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Everything the behaviour checks need of a policy, in one narrow row per document.
+FACTS = ("found_sections", "disclosed", "policy_domains", "named_vendors", *(f"mentions_{name}" for name in R.MENTIONS))
 
-    The text itself is dropped, so joining these rows to pages moves a few hundred bytes.
-    """
-    base = with_sections(with_text(policies.select(key, "body"))).withColumn("lowered", F.lower("text"))
+
+def with_facts(prepared: DataFrame) -> DataFrame:
+    """Adds what the behaviour checks need of a policy (FACTS) to documents with ``text``."""
+    base = with_sections(prepared).withColumn("_lowered", F.lower("text"))
     domains = F.when(
-        F.col("lowered").rlike(r"[a-z0-9-]\.[a-z0-9-]"),
-        F.regexp_extract_all(F.col("lowered"), F.lit(java_pattern(R.POLICY_DOMAIN)), F.lit(0)),
+        F.col("_lowered").rlike(r"[a-z0-9-]\.[a-z0-9-]"),
+        F.regexp_extract_all(F.col("_lowered"), F.lit(java_pattern(R.POLICY_DOMAIN)), F.lit(0)),
     ).otherwise(F.array().cast("array<string>"))
     aliases = vendor_aliases([v[0] for v in R.VENDOR_RULES])
     named = F.array_compact(
         F.array(
             *[
-                F.when(any_of([names_alias(F.col("lowered"), a) for a in names]), F.lit(vendor))
+                F.when(any_of([names_alias(F.col("_lowered"), a) for a in names]), F.lit(vendor))
                 for vendor, names in aliases.items()
                 if names
             ]
         )
     )
     facts = base.select(
-        key,
+        *prepared.columns,
         found_ids(F.col("sections")).alias("found_sections"),
         disclosed_categories(F.col("sections"), F.col("text")).alias("disclosed"),
         F.array_distinct(F.transform(domains, lambda d: F.regexp_replace(d, r"^www\.", ""))).alias("policy_domains"),
         named.alias("named_vendors"),
-        *[quick_any(F.col("lowered"), F.col("lowered"), [p]).alias(f"mentions_{name}") for name, p in R.MENTIONS.items()],
+        *[quick_any(F.col("_lowered"), F.col("_lowered"), [p]).alias(f"mentions_{name}") for name, p in R.MENTIONS.items()],
     )
     return settle(facts)
+
+
+def policy_facts(policies: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The facts alone, in one narrow row per document.
+
+    The text itself is dropped, so joining these rows to pages moves a few hundred bytes.
+    """
+    return with_facts(with_text(policies.select(key, "body"))).select(key, *FACTS)

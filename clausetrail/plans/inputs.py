@@ -24,7 +24,7 @@ from clausetrail.operators import requests as RQ
 from clausetrail.operators import sections as S
 from clausetrail.operators import vendors as V
 from clausetrail.operators import versions as V2
-from clausetrail.plans.stages import stage
+from clausetrail.plans.stages import remove_stages, stage
 from clausetrail.sources import documents as D
 from clausetrail.sources.sample_views import load
 
@@ -41,7 +41,9 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
 
 
 def forget() -> None:
-    """Drop every stage, so the next query derives what it needs from the tables again."""
+    """Drop every stage and its files, so the next query derives what it needs from the tables again."""
+    for shared in _SHARED.values():
+        remove_stages(shared.spark)
     _SHARED.clear()
 
 
@@ -62,14 +64,18 @@ class Inputs:
     def requests(self) -> DataFrame:
         return stage(RQ.minimise(self.view("fx_requests")), "requests")
 
-    @cached_property
-    def facts(self) -> DataFrame:
-        """Policy facts of the documents some page shows."""
+    @property
+    def shown_policies(self) -> DataFrame:
+        """The documents some page shows."""
         shown = self.sites.select("doc_id").distinct()
         policies = self.view("fx_policies").select("doc_id", "body").join(shown, "doc_id", "left_semi")
         # Costly per row, small per row: keep the rows apart where merging by size would put them together.
-        policies = policies.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        return stage(S.policy_facts(policies), "policy_facts")
+        return policies.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Policy facts of the documents some page shows."""
+        return stage(S.policy_facts(self.shown_policies), "policy_facts")
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -204,15 +210,17 @@ class Inputs:
 
     @cached_property
     def policy(self) -> DataFrame:
-        shown = self.sites.select("doc_id").distinct()
-        policies = self.view("fx_policies").select("doc_id", "body").join(shown, "doc_id", "left_semi")
-        return P.analyze(policies.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"))
+        """The analysis of each shown document; where nothing has asked for the facts yet, they come from the same pass."""
+        both = stage(P.analyze(self.shown_policies, extend=S.with_facts, keep=S.FACTS), "policy")
+        self.__dict__.setdefault("facts", both.select("doc_id", *S.FACTS))
+        return both.drop(*S.FACTS)
 
     @cached_property
     def reports(self) -> DataFrame:
+        policy = self.policy  # first, so that the facts are taken along
         return RP.site_reports(
             self.sites,
-            self.policy,
+            policy,
             self.network,
             self.forms,
             self.storage,

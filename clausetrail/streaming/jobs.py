@@ -44,9 +44,18 @@ def sampled(raw: DataFrame, capacity: int, per_second: float) -> DataFrame:
     return sample_stream(raw.withColumn("ts", F.col("ts").cast("timestamp")), capacity, per_second)
 
 
-def once_per_key(changes: DataFrame) -> DataFrame:
-    """Change notices with each dedupe key at most once over the life of the stream."""
-    return V.with_dedupe_key(changes).dropDuplicates(["dedupe_key"])
+def once_per_key(changes: DataFrame, sent: DataFrame | None = None, event_time: str | None = None, lateness: str = LATENESS) -> DataFrame:
+    """Change notices with each dedupe key at most once.
+
+    With ``event_time`` the state holds only keys within ``lateness``; keys sent before are left out by an
+    anti join with ``sent``, a table of the keys already delivered.  Without it every key is remembered.
+    """
+    keyed = V.with_dedupe_key(changes)
+    if sent is not None:
+        keyed = keyed.join(sent.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+    if event_time is None:
+        return keyed.dropDuplicates(["dedupe_key"])
+    return keyed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int | None = None) -> StreamingQuery:
@@ -59,7 +68,8 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int
 def upsert_versions(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
     """Keeps the newest version per URL in a parquet table, one generation folder per micro-batch.
 
-    A replayed batch rewrites its own generation, so the result is the same after a failure.
+    A replayed batch rewrites its own generation from the one before, so the result is the same after a
+    failure.  Generations older than that are removed.
     """
     spark = stream.sparkSession
 
@@ -67,5 +77,7 @@ def upsert_versions(stream: DataFrame, table_path: str, checkpoint: str) -> Stre
         before = f"{table_path}/generation={epoch - 1}"
         saved = spark.read.schema(batch.schema).parquet(before) if epoch > 0 else batch.limit(0)
         V.upsert(saved, batch).write.mode("overwrite").parquet(f"{table_path}/generation={epoch}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/generation={epoch - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

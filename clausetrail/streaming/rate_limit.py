@@ -8,6 +8,7 @@ there ("bursts") and only a burst runs in order.  A burst is read batch by batch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from clausetrail import rules as R
 from clausetrail.operators.sequences import with_previous, with_running_count
+from clausetrail.plans.stages import stage
 from clausetrail.session import ship_package
 
 
@@ -36,12 +38,13 @@ def admit(micros: np.ndarray, tokens: float, last: int | None, capacity: int, pe
 def sample(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: float = R.REFILL_PER_SECOND) -> DataFrame:
     """(request_id, tab_id, allowed) for every request; top-level documents are always allowed."""
     ship_package(requests.sparkSession)
-    rows = requests.select("request_id", "tab_id", "ts", (F.col("resource_type") == "main_frame").alias("main"))
+    # Written once, as each step below looks at it several times.
+    rows = stage(requests.select("request_id", "tab_id", "ts", (F.col("resource_type") == "main_frame").alias("main")), "events")
     marked = with_previous(rows, "tab_id", "ts", "request_id", F.struct("ts"))
     idle = F.unix_micros("ts") - F.unix_micros("previous.ts") >= F.lit(int(np.ceil(capacity / per_second * 1e6)))
     starts = F.col("main") | F.col("previous").isNull() | idle
     bursts = with_running_count(marked.withColumn("_starts", starts), "tab_id", "ts", "request_id", F.col("_starts"), "burst")
-    ordered = bursts.select("request_id", "tab_id", "burst", "main", F.unix_micros("ts").alias("micros"))
+    ordered = stage(bursts.select("request_id", "tab_id", "burst", "main", F.unix_micros("ts").alias("micros")), "bursts")
     # A burst no longer than the bucket is let through whole and needs no walk.
     sizes = ordered.groupBy("tab_id", "burst").agg(F.count("*").alias("n"))
     joined = ordered.join(sizes, ["tab_id", "burst"])
@@ -53,19 +56,17 @@ def sample(requests: DataFrame, capacity: int = R.BURST_CAPACITY, per_second: fl
         for batch in batches:
             out = np.ones(len(batch), dtype=bool)
             # One partition holds many bursts, each in order; a new key starts with a full bucket.
-            keys = list(zip(batch["tab_id"], batch["burst"], strict=True))
-            begin = 0
-            while begin < len(keys):
-                end = begin
-                while end < len(keys) and keys[end] == keys[begin]:
-                    end += 1
-                if keys[begin] != key:
-                    key, tokens, last = keys[begin], float(capacity), None
+            tabs, numbers = batch["tab_id"].to_numpy(), batch["burst"].to_numpy()
+            edges = np.flatnonzero((tabs[1:] != tabs[:-1]) | (numbers[1:] != numbers[:-1])) + 1
+            for begin, end in pairwise([0, *edges.tolist(), len(batch)]):
+                if begin == end:
+                    continue
+                if (tabs[begin], numbers[begin]) != key:
+                    key, tokens, last = (tabs[begin], numbers[begin]), float(capacity), None
                 counted = ~batch["main"].to_numpy()[begin:end]
                 micros = batch["micros"].to_numpy()[begin:end][counted]
                 allowed, tokens, last = admit(micros, tokens, last, capacity, per_second)
                 out[begin:end][counted] = allowed
-                begin = end
             yield pd.DataFrame({"request_id": batch["request_id"], "tab_id": batch["tab_id"], "allowed": out})
 
     placed = long.repartition("tab_id", "burst").sortWithinPartitions("tab_id", "burst", "micros", "request_id")

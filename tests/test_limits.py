@@ -157,3 +157,16 @@ def test_long_markup_is_read_whole():
     assert visible_text("one two", max_chars=3) == "one"
     by_name = defaultdict(str, a=visible_text("<main>x<p hidden>y<b>z</p>w</main>"))
     assert by_name["a"] == "x w"
+
+
+def test_decomposed_hangul_is_put_together(spark):
+    import unicodedata
+
+    from clausetrail.functions import text as T
+
+    texts = ["이메일을 수집합니다.", "개인정보 처리방침 값 닭", "plain text", "가\u11a8 각\u11a8 \u1100 \u1161"]
+    rows = [(i, unicodedata.normalize("NFD", t) if i < 3 else t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "i int, t string")
+    got = frame.select("i", T.composed_hangul(F.col("t")).alias("c"), T.data_categories(T.tokens(F.col("t"))).alias("d")).orderBy("i").collect()
+    assert [r["c"] for r in got] == [unicodedata.normalize("NFKC", t) for _, t in rows]
+    assert [d["id"] for d in got[0]["d"]]
