@@ -16,7 +16,7 @@ look like a mark, and a single pass restores it.  The loss mask is the span of a
 points of the turn's formatted text.
 
 Reading back streams turns in order and keeps one running hash, never a whole conversation.  A hash
-over one conversation is sequential, so that one step works on a conversation in one task.
+over one conversation is sequential, so that one step reads a conversation in one task.
 
 Defined results: a null text or role is empty; a message whose parent isn't there, or is itself, is a
 root; messages with equal conversation and node are one, the smallest by role and text; messages on
@@ -55,12 +55,25 @@ def _key() -> Column:
 
 
 def linear_tree(conversations: DataFrame) -> DataFrame:
-    """Reply tree of conversations without branches: each row answers the one before it."""
+    """Reply tree of conversations without branches: each row answers the one before it.
+
+    Rows are dealt by ranges of conversation and turn and numbered in that order, so a long conversation
+    spans many tasks.  The row before is the number before or, at the start of a part, the last number of the
+    part before (one small row per part); the first of a conversation has no parent.
+    """
     rows = conversations.select("conv_id", "turn", "role", "text", _key().alias("key"))
-    order = Window.partitionBy("key").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
-    rows = rows.withColumn("node_id", F.row_number().over(order).cast("bigint"))
-    parent = F.when(F.col("node_id") > 1, F.col("node_id") - 1)
-    return rows.select("conv_id", "node_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
+    order = [F.col(c).asc_nulls_first() for c in ("key", "turn", "role")]
+    begins = F.substring("text", 1, 64).asc_nulls_first()  # enough to deal by, and in the order of whole texts
+    dealt = rows.repartitionByRange(*order, begins).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    rows = stage(dealt.withColumn("node_id", F.monotonically_increasing_id()), "turns")
+    part, inside = F.shiftright("node_id", 33), F.col("node_id").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("part")
+    last = rows.groupBy(part.alias("part")).agg(F.max("node_id").alias("last"))
+    last = last.select("part", F.lag("last").over(before).alias("last_before"))
+    firsts = rows.groupBy("key").agg(F.min("node_id").alias("node_id")).withColumn("is_first", F.lit(True))
+    placed = rows.withColumn("part", part).join(F.broadcast(last), "part").join(firsts, ["key", "node_id"], "left")
+    parent = F.when(F.col("is_first"), F.lit(None)).when(inside > 0, F.col("node_id") - 1).otherwise(F.col("last_before"))
+    return placed.select("conv_id", "node_id", parent.alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def _on(left: str, right: str) -> Column:
@@ -115,10 +128,11 @@ def _escaped(text: Column, escapes: dict[str, str]) -> Column:
     return text
 
 
-def format_turns(nodes: DataFrame, branches: int = 1) -> DataFrame:
+def format_turns(nodes: DataFrame, branches: int = 1, distinct_nodes: bool = False) -> DataFrame:
     """nodes: conv_id, node_id, parent_id, role, text, score.  Returns one row per turn of each path.
 
     Columns: conv_id, leaf, branch, back (turns to the end), formatted, loss_start, loss_end.
+    ``distinct_nodes`` says that no node occurs twice, which saves a pass.
     """
     prepare(nodes.sparkSession)
     content = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -128,7 +142,7 @@ def format_turns(nodes: DataFrame, branches: int = 1) -> DataFrame:
         F.col("node_id").alias("node"),
         F.struct(content.alias("content"), F.col("parent_id").alias("parent"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).alias("m"),
     )
-    unique = rows.groupBy("key", "conv_id", "node").agg(F.min("m").alias("m"))
+    unique = rows if distinct_nodes else rows.groupBy("key", "conv_id", "node").agg(F.min("m").alias("m"))
     messages = stage(unique.select("key", "conv_id", "node", "m.parent", "m.score", "m.content"), "messages")
     chosen = paths(messages.select("key", "node", "parent", "score"), branches)
     role, text = _escaped(F.col("content.role"), ESCAPES | ROLE_ESCAPES), _escaped(F.col("content.text"), ESCAPES)
@@ -146,10 +160,10 @@ def format_turns(nodes: DataFrame, branches: int = 1) -> DataFrame:
     )
 
 
-def write_turns(nodes: DataFrame, path: str, branches: int = 1) -> None:
+def write_turns(nodes: DataFrame, path: str, branches: int = 1, distinct_nodes: bool = False) -> None:
     """Parquet, one row per turn, dealt by ranges so that a conversation's turns stand in order."""
     order = [F.col("conv_id").asc_nulls_first(), F.col("branch"), F.col("leaf"), F.col("back").desc()]
-    format_turns(nodes, branches).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    format_turns(nodes, branches, distinct_nodes).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def read_turns(spark: SparkSession, path: str) -> DataFrame:

@@ -93,7 +93,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id bigint, turn bigint, role string, text string")
     rows = read(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
     path = folder(spark, "chat")
-    chat.write_turns(chat.linear_tree(rows), path)
+    chat.write_turns(chat.linear_tree(rows), path, distinct_nodes=True)
     return chat.digests(chat.read_turns(spark, path)).drop("branch")
 
 

@@ -43,7 +43,7 @@ def test_messy(spark, tmp_path):
             for c in (1, 2, None) for t in (0, 1, 2, 2, 3, None)]
     rows += [(9, t, "user", f"turn {t}") for t in range(700)] + [(8, 5, "assistant", "once")] + [(7, 1, "user", "same")] * 3
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, key string, back int")
-    chat.write_turns(chat.linear_tree(frame), str(tmp_path / "c"))
+    chat.write_turns(chat.linear_tree(frame), str(tmp_path / "c"), distinct_nodes=True)
     turns = chat.read_turns(spark, str(tmp_path / "c"))
     assert {tuple(r)[0:1] + tuple(r)[2:6] for r in chat.digests(turns).collect()} == expected(rows)
     chat.write_turns(chat.linear_tree(frame.limit(0)), str(tmp_path / "e"))
