@@ -33,7 +33,9 @@ FILE_SCHEMA = "doc_id bigint, part bigint, part_start bigint, n_tokens bigint, i
 
 # White space that cuts at single characters don't handle: control and Unicode white space, runs of
 # three, and runs of two that end the text.
-_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \t-\r]{2}(?:[ \t-\r]|\\Z)")
+_UNUSUAL_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_TWO_BLANKS = re.compile("[ \t-\r]{2}")
+_UNUSUAL_RUN = re.compile("[ \t-\r]{2}(?:[ \t-\r]|\\Z)")
 _BLANKS = " \t\n\r\x0b\x0c"
 _STOPS = ".,"
 
@@ -93,36 +95,45 @@ class ChunkEncoder:
                 out[word] = raw[at:cut]
                 at = cut
 
+    def _divides(self, text: str) -> bool:
+        """True where the text is the sum of its chunks."""
+        if _UNUSUAL_SPACE.search(text) or any(s in text for s in self.specials):
+            return False
+        return not (_TWO_BLANKS.search(text) and _UNUSUAL_RUN.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.cuts:
             return [self.whole(text) for text in texts]
-        known = self.known
-        split: list[list[str] | None] = []
+        get = self.known.get
+        divided: list[tuple[list[str], list[bytes | None]] | None] = []
         new: set[str] = set()
         for text in texts:
-            if _UNUSUAL.search(text) or any(s in text for s in self.specials):
-                split.append(None)
+            if not self._divides(text):
+                divided.append(None)
                 continue
             words = text.replace("\n", " \n").split(" ")
-            new.update([word for word in words[1:] if word not in known])
-            split.append(words)
+            ids = list(map(get, words))
+            ids[0] = self.whole(words[0])  # nothing stands before it
+            if None in ids:
+                new.update([word for word, known in zip(words, ids) if known is None])
+            divided.append((words, ids))
         stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalnum()]
         new.difference_update(stopped)
         found: dict[str, bytes] = {}
-        self._learn([w for w in new.union(w[:-1] for w in stopped) if w not in known], found)
-        get = known.get
+        self._learn([w for w in new.union(w[:-1] for w in stopped) if w not in self.known], found)
         for word in stopped:
             found[word] = (get(word[:-1]) or found[word[:-1]]) + self.stops[word[-1]]
-        if len(known) + len(found) <= self.known_chunks:
-            known.update(found)
-            ids = known.__getitem__
-        else:
-            ids = lambda w: get(w) or found[w]
-        return [
-            self.whole(text) if words is None else self.whole(words[0]) + b"".join(map(ids, words[1:]))
-            for text, words in zip(texts, split)
-        ]
+        if len(self.known) + len(found) <= self.known_chunks:
+            self.known.update(found)
+        out = []
+        for text, parts in zip(texts, divided):
+            if parts is None:
+                out.append(self.whole(text))
+                continue
+            words, ids = parts
+            out.append(b"".join([found[w] if known is None else known for w, known in zip(words, ids)] if None in ids else ids))
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
