@@ -15,21 +15,43 @@ def url_part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, URL, group)
 
 
+def resolved_path(path: Column) -> Column:
+    """The path without "." and ".." segments, also where their dots are percent-encoded."""
+    segments = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(r"(?i)^(\.|%2e){1,2}$"), F.regexp_replace(s, "(?i)%2e", ".")).otherwise(s))
+
+    def step(done: Column, segment: Column) -> Column:
+        shorter = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == "..", shorter).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    def whole(s: Column) -> Column:
+        kept = F.aggregate(F.slice(s, 2, F.size(s)), F.array(F.lit("")), step)
+        # A dot segment at the end leaves a folder.
+        return F.array_join(F.when(F.element_at(s, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+    return F.when(path.rlike(r"(?i)/(\.|%2e)"), let(segments, whole)).otherwise(path)
+
+
 def parts(url: Column) -> Column:
-    """(scheme, login, host, port, path, query, fragment) of an http(s) URL, or NULL."""
+    """(scheme, login, host, port, path, query, fragment) of an http(s) URL, or NULL.
+
+    IPv4 hosts come in their dotted form; a host that ends in a number and is no address makes no URL.
+    """
     text = trim_blanks(url)
     scheme = F.lower(url_part(text, 1))
     port = url_part(text, 4)
     usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     path = url_part(text, 5)
+    named = F.lower(url_part(text, 3))
+    numeric = named.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$")
+    host = F.when(numeric, ipv4_of(F.regexp_replace(named, r"\.$", ""))).otherwise(named)
     return F.when(
-        text.rlike(URL),
+        text.rlike(URL) & host.isNotNull(),
         F.struct(
             scheme.alias("scheme"),
             url_part(text, 2).alias("login"),
-            F.lower(url_part(text, 3)).alias("host"),
+            host.alias("host"),
             F.when(usual, F.lit("")).otherwise(port).alias("port"),
-            F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+            F.when(path == "", F.lit("/")).otherwise(resolved_path(path)).alias("path"),
             url_part(text, 6).alias("query"),
             url_part(text, 7).alias("fragment"),
         ),
@@ -263,12 +285,9 @@ def ipv4_of(host: Column) -> Column:
     return F.when(shaped & F.forall(numbers, lambda x: x.isNotNull()), let(numbers, dotted))
 
 
-def private_host(host: Column) -> Column:
-    """Hosts a public policy cannot live on: local names, single labels, reserved addresses."""
-    bare = F.regexp_replace(F.lower(host), r"\.\z", "")
-    name = F.coalesce(ipv4_of(bare), bare)
-    o = [F.coalesce(F.try_element_at(F.split(name, r"\."), F.lit(i)).try_cast("int"), F.lit(-1)) for i in (1, 2, 3)]
-    reserved = any_of(
+def _reserved(o: list[Column]) -> Column:
+    """True for the first three numbers of an IPv4 address that isn't public."""
+    return any_of(
         [
             o[0].isin(0, 10, 127),
             (o[0] == 100) & o[1].between(64, 127),
@@ -282,13 +301,66 @@ def private_host(host: Column) -> Column:
             o[0] >= 224,
         ]
     )
+
+
+# Beginnings of IPv6 addresses, as 32 hexadecimal digits, that are not public (unspecified,
+# loopback, local, link, site, multicast, documentation, discard, benchmark, ORCHID, local translation,
+# segment routing, Teredo), and where other ranges carry an IPv4 address.
+IPV6_RESERVED = (
+    "0{32}$|0{31}1$|f[cd]|fe[89ab]|fe[c-f]|ff|20010db8|3fff0|01000{12}|200100020000|2001001|2001002|0064ff9b0001|5f00|20010000"
+)
+IPV6_HOLDS_IPV4_LAST = "0{24}|0{20}ffff|0{16}ffff0000|0064ff9b0{16}|[0-9a-f]{16}0[02]005efe"
+IPV6_HOLDS_IPV4_FIRST = "2002"
+
+
+def ipv6_digits(host: Column) -> Column:
+    """An IPv6 address, without brackets, as 32 hexadecimal digits; NULL when it is none."""
+    dotted = F.regexp_extract(host, r"(?:^|:)(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    numbers = F.transform(F.split(dotted, r"\."), lambda n: F.lpad(F.lower(F.hex(n.try_cast("bigint"))), 2, "0"))
+    hexed = F.concat(F.array_join(F.slice(numbers, 1, 2), ""), F.lit(":"), F.array_join(F.slice(numbers, 3, 2), ""))
+    before = F.substring(host, F.lit(1), F.length(host) - F.length(dotted))
+    plain = F.when(dotted == "", host).when(is_ipv4(dotted), F.concat(before, hexed))
+
+    def digits(text: Column) -> Column:
+        sides = F.split(text, "::")
+        groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+        left, right = groups(sides[0]), groups(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
+        count = F.size(left) + F.size(right)
+        full = F.when(F.size(sides) == 1, count == 8).otherwise((F.size(sides) == 2) & (count < 8))
+        pad = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
+        zeros = F.repeat(F.lit("0000"), 8 - count)
+        shaped = text.rlike(r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::)?([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$")
+        return F.when(shaped & full, F.concat(pad(left), F.when(F.size(sides) == 2, zeros).otherwise(""), pad(right)))
+
+    return let(plain, digits)
+
+
+def _private_ipv6(host: Column) -> Column:
+    def octets(digits: Column) -> list[Column]:
+        return [F.conv(F.substring(digits, i, 2), 16, 10).cast("int") for i in (1, 3, 5)]
+
+    def judge(digits: Column) -> Column:
+        inside = F.when(digits.rlike(f"^(?:{IPV6_HOLDS_IPV4_LAST})"), _reserved(octets(F.substring(digits, 25, 8)))).when(
+            digits.rlike(f"^(?:{IPV6_HOLDS_IPV4_FIRST})"), _reserved(octets(F.substring(digits, 5, 8)))
+        )
+        return digits.isNull() | digits.rlike(f"^(?:{IPV6_RESERVED})") | F.coalesce(inside, F.lit(False))
+
+    return let(ipv6_digits(host), judge)
+
+
+def private_host(host: Column) -> Column:
+    """Hosts a public policy cannot live on: local names, single labels, reserved addresses."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(host), r"^\[|\]$", ""), r"\.\z", "")
+    name = F.coalesce(ipv4_of(bare), bare)
+    o = [F.coalesce(F.try_element_at(F.split(name, r"\."), F.lit(i)).try_cast("int"), F.lit(-1)) for i in (1, 2, 3)]
+    address = F.contains(name, F.lit(":"))
     return (
         (name == "")
         | name.isin(R.PRIVATE_HOST_NAMES)
         | any_of([F.endswith(name, F.lit(s)) for s in R.PRIVATE_HOST_SUFFIXES])
-        | ~F.contains(name, F.lit("."))
-        | F.contains(name, F.lit(":"))  # every IPv6 literal
-        | (is_ipv4(name) & reserved)
+        | (~F.contains(name, F.lit(".")) & ~address)
+        | (address & F.coalesce(_private_ipv6(name), F.lit(True)))
+        | (is_ipv4(name) & _reserved(o))
     )
 
 

@@ -7,7 +7,7 @@ Everything after it works on those few rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
@@ -153,9 +153,12 @@ def classified_keys(keys: DataFrame, *order: str) -> DataFrame:
         )
     )
     rows = keys.withColumn("tokens", tokens).select("tab_id", "key", *order, F.inline(hits))
-    placed = F.struct(*[F.col(o) for o in order], F.col("key").alias("key"))
+    # The group limit keeps the first keys before anything is gathered.
+    place = F.row_number().over(Window.partitionBy("tab_id", "category", "cat_ord").orderBy(*order, "key"))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= R.KEYS_PER_CATEGORY)
+    placed = F.struct("place", "key")
     grouped = rows.groupBy("tab_id", "category", "cat_ord").agg(F.array_sort(F.collect_list(placed)).alias("keys"))
-    return grouped.withColumn("keys", F.slice(F.transform("keys", lambda k: k["key"]), 1, R.KEYS_PER_CATEGORY))
+    return grouped.withColumn("keys", F.transform("keys", lambda k: k["key"]))
 
 
 def _hosts_where(when: Column, first: Column, limit: int | None = None) -> Column:

@@ -170,3 +170,29 @@ def test_decomposed_hangul_is_put_together(spark):
     got = frame.select("i", T.composed_hangul(F.col("t")).alias("c"), T.data_categories(T.tokens(F.col("t"))).alias("d")).orderBy("i").collect()
     assert [r["c"] for r in got] == [unicodedata.normalize("NFKC", t) for _, t in rows]
     assert [d["id"] for d in got[0]["d"]]
+
+
+@pytest.mark.parametrize(
+    ("host", "private"),
+    [
+        ("[2606:4700::1111]", False), ("[::1]", True), ("[::]", True), ("[fe80::1]", True), ("[fc00::1]", True), ("[2001:db8::1]", True),
+        ("[::ffff:10.0.0.1]", True), ("[::ffff:8.8.8.8]", False), ("[2002:0a00:0001::]", True), ("[2002:0808:0808::1]", False),
+        ("[64:ff9b::a00:1]", True), ("[64:ff9b::808:808]", False), ("[2001::1]", True), ("[ff02::1]", True), ("[1::2::3]", True),
+        ("[2a00:1450:4001:81b:0:0:0:200e]", False), ("[2a00:1450]", True), ("[::300.1.1.1]", True),
+    ],
+)
+def test_ipv6_hosts(spark, host, private):
+    assert spark.range(1).select(U.private_host(F.lit(host))).first()[0] is private
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path"),
+    [
+        ("https://a.example/x/../y/./z", "a.example", "/y/z"), ("https://a.example/../..", "a.example", "/"), ("https://a.example/x/..", "a.example", "/"),
+        ("https://a.example/x/%2e%2E/y", "a.example", "/y"), ("https://a.example/.well-known/p", "a.example", "/.well-known/p"),
+        ("https://0x7f.1/p", "127.0.0.1", "/p"), ("https://256.1.1.1/p", None, None), ("https://a.example./p", "a.example.", "/p"), ("https://a.example/x//y/.", "a.example", "/x//y/"),
+    ],
+)
+def test_urls_come_in_one_form(spark, url, host, path):
+    got = spark.range(1).select(U.parts(F.lit(url)).alias("p")).first()["p"]
+    assert (got and (got["host"], got["path"])) == (host and (host, path))
