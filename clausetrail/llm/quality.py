@@ -160,6 +160,17 @@ def _score_column(model: Discriminant, x: Column) -> Column:
     return score.asNondeterministic()(x)
 
 
+def _text_score_column(model: Discriminant, text: str = "text") -> Column:
+    """Statistics and score in one step, so that a task needs one Python worker."""
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        rows = np.array([statistics(x.as_py()) for x in texts], np.float64).reshape(len(texts), len(FEATURES))
+        return pa.array(model.scores(rows), pa.float64())
+
+    return score.asNondeterministic()(text_bytes(text))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     prepare(docs.sparkSession)
@@ -182,5 +193,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     features = stage(docs.select("doc_id", _statistics_column().alias("x")), "statistics")
     model = fit(features, labels)
-    scored = docs.select(F.struct("*").alias("doc"), _statistics_column().alias("x")).select("doc", _score_column(model, F.col("x")).alias("score"))
+    scored = docs.select(F.struct("*").alias("doc"), _text_score_column(model).alias("score"))
     return scored.filter(F.col("score") >= THRESHOLD).select("doc.*")
