@@ -7,7 +7,9 @@ from functools import lru_cache
 from pathlib import Path
 
 from clausetrail import rules as R
+from clausetrail.operators.hosts import COMMON_SUFFIXES
 from clausetrail.operators.labels import LABELS
+from clausetrail.sources.documents import ERROR_WORDS
 from clausetrail.sources.sample_views import VIEWS
 
 HERE = Path(__file__).parent
@@ -79,6 +81,11 @@ def constants() -> dict[str, str]:
         for i, (v, patterns, c, r, s) in enumerate(R.VENDOR_RULES)
         for p in patterns
     )
+    tests = [(category, [f"contains(lower(error_message), {_text(word)})" for word in words]) for category, words in ERROR_WORDS]
+    tests += [("http_status", [r"regexp_matches(lower(error_message), 'policy fetch failed:\s*\d{3}')"])]
+    tests += [("network", [f"contains(lower(error_message), '{word}')" for word in ("fetch", "network")])]
+    out["ERROR_CATEGORY"] = "CASE " + " ".join(f"WHEN {' OR '.join(t)} THEN {_text(c)}" for c, t in tests) + " ELSE 'unknown' END"
+    out["PUBLIC_SUFFIXES"] = _list(COMMON_SUFFIXES)
     out["LABEL_ROWS"] = ", ".join(f"({_text(p)}, {_text(en)}, {_text(ko)})" for p, en, ko in LABELS)
     out["COUNTRY_ROWS"] = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in R.COUNTRY_TLDS.items())
     return out

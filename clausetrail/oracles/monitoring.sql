@@ -15,8 +15,7 @@ SELECT url_key, max(version) AS version FROM fx_policy_versions GROUP BY url_key
 SELECT v.url_key, v.version, v.captured_at, sha256(v.folded) AS text_hash FROM o_vtext v JOIN o_vlive USING (url_key, version)
 
 -- name: o_vchecks
-SELECT c.check_id, c.url_key, c.checked_at, c.ok, CASE c.error_message WHEN 'Policy fetch timed out' THEN 'timeout' WHEN 'Policy redirects are not allowed' THEN 'redirect' WHEN 'Unsupported policy content type' THEN 'content_type'
-  WHEN 'Policy response exceeds the size limit' THEN 'response_too_large' WHEN 'Policy fetch failed: 503' THEN 'http_status' WHEN 'Failed to fetch' THEN 'network' WHEN 'Private policy hosts are not allowed' THEN 'invalid_url' ELSE 'unknown' END AS category
+SELECT c.check_id, c.url_key, c.checked_at, c.ok, $ERROR_CATEGORY AS category
 FROM fx_checks c JOIN o_vlive l USING (url_key) WHERE c.checked_at >= TIMESTAMP '2024-01-10 00:00:00' OR l.version = 0
 
 -- name: o_vhealth

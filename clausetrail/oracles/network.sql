@@ -27,9 +27,7 @@ SELECT request_id, query_key IN ('session', 'access_token') AS secret FROM fx_re
 SELECT host, host = '10.1.2.3' OR host LIKE '%.local' OR host LIKE '%.test' AS private FROM (SELECT host FROM o_url WHERE scheme IN ('http', 'https') UNION SELECT host FROM fx_requests) WHERE host <> ''
 
 -- name: src_6_error_categories
-SELECT check_id, CASE error_message WHEN 'Policy fetch timed out' THEN 'timeout' WHEN 'Policy redirects are not allowed' THEN 'redirect' WHEN 'Unsupported policy content type' THEN 'content_type'
-  WHEN 'Policy response exceeds the size limit' THEN 'response_too_large' WHEN 'Policy fetch failed: 503' THEN 'http_status' WHEN 'Failed to fetch' THEN 'network'
-  WHEN 'Private policy hosts are not allowed' THEN 'invalid_url' ELSE 'unknown' END AS category FROM fx_checks WHERE NOT ok
+SELECT check_id, $ERROR_CATEGORY AS category FROM fx_checks WHERE NOT ok
 
 -- name: o_paths
 SELECT * FROM (VALUES ('/collect','/collect'),('/v3/checkout','/v3/checkout'),('/users/12345/profile','/users/:id/profile'),('/recaptcha/api.js','/recaptcha/api.js'),('/static/app.js','/static/:file.js'),
@@ -45,12 +43,13 @@ SELECT * FROM (VALUES ('_ga','_ga','_ga',true),('_ga_AB12CD','_ga___identifier__
  ('csrftoken','','csrftoken',false),('cart','','cart',false),('mp_123_mixpanel','mp___identifier___mixpanel','mp___identifier___mixpanel',true),('visitor_77','','visitor___identifier__',true),('lang','','lang',false),
  ('auth_token','','auth_token',false),('prefs','','__identifier__',false),('__utmz','__utmz','__utmz',true)) AS n(name, family, masked, tracking)
 
+-- name: o_hosts
+SELECT host FROM fx_requests UNION SELECT page_host FROM fx_sites UNION SELECT ltrim(lower(domain), '.') FROM fx_cookie_changes UNION SELECT domain FROM o_domains
+
 -- name: o_sites_of
-SELECT * FROM (VALUES ('www.google-analytics.com','google-analytics.com'),('stats.doubleclick.net','doubleclick.net'),('connect.facebook.net','facebook.net'),('js.stripe.com','stripe.com'),('cdn.example.net','example.net'),
- ('static.hotjar.com','hotjar.com'),('api.segment.io','segment.io'),('alice.pages.example','alice.pages.example'),('bob.pages.example','bob.pages.example'),('o1.ingest.sentry.io','sentry.io'),('cdn.cloudflare.com','cloudflare.com'),
- ('tracker.unknown-ads.test','tracker.unknown-ads.test'),('api.example.co.kr','example.co.kr'),('www.google.com','google.com'),('media.dienst.de','dienst.de'),('notstripe.com','notstripe.com'),
- ('shop.example.co.kr','example.co.kr'),('www.service.us','service.us'),('app.dienst.de','dienst.de'),('portal.example.co.uk','example.co.uk'),('www.site.fr','site.fr'),('news.example.com','example.com'),
- ('facebook.com','facebook.com'),('example.co.kr','example.co.kr'),('service.us','service.us'),('example.com','example.com'),('doubleclick.net','doubleclick.net'),('site.fr','site.fr'),('stripe.com','stripe.com')) AS h(host, site)
+SELECT host, CASE WHEN len(l) <= 1 OR d = 0 OR len(l) <= d THEN host ELSE array_to_string(list_slice(l, len(l) - d, len(l)), '.') END AS site
+FROM (SELECT host, l, coalesce(list_max(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains($PUBLIC_SUFFIXES, array_to_string(list_slice(l, i, len(l)), '.'))), lambda i: len(l) - i + 1)), 0) AS d
+  FROM (SELECT host, string_split(host, '.') AS l FROM o_hosts))
 
 -- name: o_requests
 SELECT r.request_id, r.tab_id, r.ts, r.scheme, r.host, p.minimised AS path, r.scheme || '://' || r.host || p.minimised AS url, r.method, r.resource_type, r.path AS raw_path,

@@ -60,7 +60,7 @@ def admission_funnel(fetches: DataFrame) -> DataFrame:
 
 
 # Order matters: the first part found names the category.
-_ERROR_WORDS = [
+ERROR_WORDS = [
     ("timeout", ["timed out"]),
     ("redirect", ["redirect"]),
     ("content_type", ["content type"]),
@@ -85,7 +85,7 @@ def error_category(message: Column) -> Column:
     chain = F.when(text.rlike(r"policy fetch failed:\s*\d{3}"), "http_status").when(
         F.contains(text, F.lit("fetch")) | F.contains(text, F.lit("network")), "network"
     ).otherwise("unknown")
-    for category, words in reversed(_ERROR_WORDS):
+    for category, words in reversed(ERROR_WORDS):
         test = F.lit(False)
         for word in words:
             test = test | F.contains(text, F.lit(word))

@@ -133,10 +133,10 @@ JOIN fx_clauses c ON c.idx = ((d.doc_id - d.doc_id % 3) * 7 + (d.doc_id % 3) * (
 """,
     "fx_checks": r"""
 SELECT e.event_id AS check_id, 'https://site' || CAST(e.user_id - e.user_id % 3 AS STRING) || '.example/policy' AS url_key, e.ts AS checked_at,
-  e.event_id % 3 = 0 AS ok, CASE WHEN e.event_id % 3 = 0 THEN '' ELSE m.message END AS error_message
+  e.event_id % 3 = 0 AS ok, CASE WHEN e.event_id % 3 = 0 THEN '' WHEN m.idx = 4 THEN m.message || CAST(400 + e.event_id % 199 AS STRING) ELSE m.message || ' (attempt ' || CAST(e.event_id AS STRING) || ')' END AS error_message
 FROM events e
 JOIN (VALUES (0,'Policy fetch timed out'),(1,'Policy redirects are not allowed'),(2,'Unsupported policy content type'),(3,'Policy response exceeds the size limit'),
- (4,'Policy fetch failed: 503'),(5,'Failed to fetch'),(6,'Private policy hosts are not allowed'),(7,'boom')) AS m(idx, message) ON m.idx = e.event_id % 8
+ (4,'Policy fetch failed: '),(5,'Failed to fetch'),(6,'Private policy hosts are not allowed'),(7,'boom')) AS m(idx, message) ON m.idx = e.event_id % 8
 WHERE e.event_type = 'error'
 """,
     "fx_fetches": r"""
