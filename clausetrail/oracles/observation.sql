@@ -104,3 +104,12 @@ SELECT tab_id, max(ts) AS last_seen_at FROM o_requests GROUP BY tab_id ORDER BY
 
 -- name: str_16_changed_scans
 SELECT request_id, tab_id FROM (SELECT *, lag(scheme) OVER (PARTITION BY tab_id ORDER BY ts, request_id) AS before FROM o_requests) WHERE before IS NULL OR before <> scheme
+
+-- name: str_1_session_rotation_stream
+SELECT request_id, tab_id, session_no FROM o_rotated
+
+-- name: str_13_effective_updates_stream
+SELECT request_id, tab_id, explicit FROM o_updates WHERE explicit OR held IS NULL OR epoch_us(ts) - epoch_us(held) >= 43200000000
+
+-- name: str_16_changed_scans_stream
+SELECT request_id, tab_id FROM (SELECT *, lag(scheme) OVER (PARTITION BY tab_id ORDER BY ts, request_id) AS before FROM o_requests) WHERE before IS NULL OR before <> scheme

@@ -11,12 +11,14 @@ from clausetrail.operators import cookies as K
 from clausetrail.operators import labels as L
 from clausetrail.operators import pages as PG
 from clausetrail.operators import policy as P
+from clausetrail.operators import requests as RQ
 from clausetrail.plans.inputs import inputs
 from clausetrail.plans.registry import query
 from clausetrail.plans.stages import stage_root
 from clausetrail.sources.html import extract_text
 from clausetrail.sources.sample_views import load_stream
 from clausetrail.streaming import jobs
+from clausetrail.streaming import keyed as KE
 from clausetrail.streaming import sessions as SE
 from clausetrail.streaming.rate_limit import sample
 
@@ -107,6 +109,27 @@ def _(spark, sf_dir):
     return from_stream(spark, stream, "sampled")
 
 
+def request_stream(spark, sf_dir):
+    return RQ.minimise(load_stream(spark, sf_dir, "fx_requests").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("str_1_session_rotation_stream")
+def _(spark, sf_dir):
+    return from_stream(spark, KE.rotate_stream(request_stream(spark, sf_dir)), "rotated")
+
+
+@query("str_13_effective_updates_stream")
+def _(spark, sf_dir):
+    rows = request_stream(spark, sf_dir).withColumn("explicit", F.col("method") != "GET")
+    return from_stream(spark, KE.indicator_stream(rows, 12 * 3_600), "updates")
+
+
+@query("str_16_changed_scans_stream")
+def _(spark, sf_dir):
+    scans = request_stream(spark, sf_dir).withColumn("fingerprint", F.col("scheme"))
+    return from_stream(spark, KE.changed_scans_stream(scans), "scans")
+
+
 @query("src_7_minimised_requests_stream")
 def _(spark, sf_dir):
     stream = jobs.requests_in(load_stream(spark, sf_dir, "fx_requests")).select("request_id", "tab_id", "host", "path", "method")

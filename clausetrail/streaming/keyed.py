@@ -1,0 +1,79 @@
+"""Per-tab logic in event order as keyed stream state: session numbers, the held indicator, changed scans.
+
+A tab's state is one small row.  The new events of a trigger are put in order and worked on as arrays;
+state goes when the watermark is ``idle`` past the tab's last event, so it is bounded by the tabs
+seen in that time.  A late event is placed where it arrives: earlier decisions are not taken back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from clausetrail import rules as R
+from clausetrail.session import ship_package
+
+IDLE_SECONDS = 30 * 86_400
+LATENESS = "1 hour"
+# (ordered events, state before or None) -> (columns to add by name, rows to keep, state after)
+Step = Callable[[pd.DataFrame, tuple | None], tuple[dict[str, np.ndarray], np.ndarray, tuple]]
+
+
+def fold(stream: DataFrame, values: dict[str, Column], step: Step, state: str, added: str = "", idle_seconds: int = IDLE_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    """request_id, tab_id and the ``added`` columns of the events a step keeps."""
+    ship_package(stream.sparkSession)
+    rows = stream.withWatermark("ts", lateness).select(
+        "request_id", "tab_id", "ts", F.unix_micros("ts").alias("micros"), *[c.alias(name) for name, c in values.items()]
+    )
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        events = pd.concat(list(batches)).sort_values(["micros", "request_id"])
+        columns, kept, after = step(events, held.get if held.exists else None)
+        held.update(after)
+        held.setTimeoutTimestamp(max(int(events["micros"].iloc[-1]) // 1000, held.getCurrentWatermarkMs()) + idle_seconds * 1000)
+        yield events[["request_id", "tab_id"]].assign(**columns)[kept]
+
+    schema = "request_id bigint, tab_id bigint" + (f", {added}" if added else "")
+    return rows.groupBy("tab_id").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def rotate_stream(requests: DataFrame) -> DataFrame:
+    """Adds ``session_no``: every top-level document starts a new session of its tab."""
+
+    def step(events: pd.DataFrame, before: tuple | None) -> tuple:
+        numbers = (before[0] if before else 0) + np.cumsum(events["main"].to_numpy().astype(np.int64))
+        return {"session_no": numbers}, np.ones(len(events), bool), (int(numbers[-1]),)
+
+    return fold(requests, {"main": F.col("resource_type") == "main_frame"}, step, "session_no bigint", "session_no bigint")
+
+
+def indicator_stream(updates: DataFrame, hold_seconds: int = R.EXPLICIT_PRIORITY_SECONDS) -> DataFrame:
+    """Updates that take effect: an automatic scan is ignored while an explicit analysis is fresh."""
+    never = -(1 << 62)
+
+    def step(events: pd.DataFrame, before: tuple | None) -> tuple:
+        explicit, micros = events["explicit"].to_numpy().astype(bool), events["micros"].to_numpy()
+        latest = np.maximum.accumulate(np.concatenate(([before[0] if before else never], np.where(explicit, micros, never))))
+        kept = explicit | (micros - latest[:-1] >= hold_seconds * 1_000_000)
+        return {"explicit": explicit}, kept, (int(latest[-1]),)
+
+    return fold(updates, {"explicit": F.col("explicit")}, step, "explicit_at bigint", "explicit boolean")
+
+
+def changed_scans_stream(scans: DataFrame) -> DataFrame:
+    """Scans whose fingerprint differs from the scan before in the same tab."""
+
+    def step(events: pd.DataFrame, before: tuple | None) -> tuple:
+        prints = events["fingerprint"].to_numpy()
+        earlier = np.concatenate(([before[0] if before else None], prints[:-1]))
+        return {}, prints != earlier, (prints[-1],)
+
+    return fold(scans, {"fingerprint": F.col("fingerprint")}, step, "fingerprint string")

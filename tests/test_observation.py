@@ -276,3 +276,29 @@ def test_keys_are_sent_once_within_the_watermark_and_never_again(spark, tmp_path
     got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     every = {r[0] for r in keyed.select("dedupe_key").collect()}
     assert len(got) == len(set(got)) and set(got) == every - {r[0] for r in sent.collect()}
+
+
+def test_keyed_state_carries_over_triggers(spark, tmp_path):
+    from clausetrail.plans.inputs import inputs
+    from clausetrail.streaming import jobs
+    from clausetrail.streaming import keyed as KE
+
+    requests = inputs(spark, "/root/testdata/sf0.001").requests.select("request_id", "tab_id", "ts", "resource_type", "scheme", "method")
+    middle = requests.selectExpr("percentile_approx(unix_micros(ts), 0.5)").first()[0]
+    scans = requests.withColumn("fingerprint", F.col("scheme"))
+    explicit = requests.withColumn("explicit", F.col("method") != "GET").withColumn("level", F.lit("low"))
+    cases = {
+        "rotate": (requests, KE.rotate_stream, SE.rotate(requests).select("request_id", "tab_id", "session_no")),
+        "scans": (scans, KE.changed_scans_stream, SE.changed_scans(scans).select("request_id", "tab_id")),
+        "updates": (explicit, KE.indicator_stream, SE.indicator_updates(explicit).select("request_id", "tab_id", "explicit")),
+    }
+    for name, (rows, build, want) in cases.items():
+        base = tmp_path / name
+        (base / "in").mkdir(parents=True)
+        for n, part in enumerate((rows.filter(F.unix_micros("ts") <= middle), rows.filter(F.unix_micros("ts") > middle))):
+            part.coalesce(1).write.parquet(str(base / f"part{n}"))
+            (base / "in" / f"{n}.parquet").write_bytes(next((base / f"part{n}").glob("*.parquet")).read_bytes())
+            stream = build(spark.readStream.schema(rows.schema).parquet(str(base / "in")))
+            jobs.to_files(stream, str(base / "out"), str(base / "progress")).awaitTermination()
+        got = spark.read.parquet(str(base / "out"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
