@@ -106,7 +106,7 @@ class ChunkEncoder:
         if not self.cuts:
             return [self.whole(text) for text in texts]
         get = self.known.get
-        divided: list[tuple[list[str], list[bytes | None]] | None] = []
+        divided: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         new: set[str] = set()
         for text in texts:
             if not self._divides(text):
@@ -115,9 +115,9 @@ class ChunkEncoder:
             words = text.replace("\n", " \n").split(" ")
             ids = list(map(get, words))
             ids[0] = self.whole(words[0])  # nothing stands before it
-            if None in ids:
-                new.update([word for word, known in zip(words, ids) if known is None])
-            divided.append((words, ids))
+            open_ = [i for i, known in enumerate(ids) if known is None]
+            new.update([words[i] for i in open_])
+            divided.append((words, ids, open_))
         stopped = [w for w in new if w[-1:] in self.stops and w[-2:-1].isascii() and w[-2:-1].isalnum()]
         new.difference_update(stopped)
         found: dict[str, bytes] = {}
@@ -131,8 +131,10 @@ class ChunkEncoder:
             if parts is None:
                 out.append(self.whole(text))
                 continue
-            words, ids = parts
-            out.append(b"".join([found[w] if known is None else known for w, known in zip(words, ids)] if None in ids else ids))
+            words, ids, open_ = parts
+            for i in open_:
+                ids[i] = found[words[i]]
+            out.append(b"".join(ids))
         return out
 
 
