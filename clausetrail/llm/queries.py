@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, token_files, topk
+from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, token_files, topk
 from clausetrail.llm.common import read
 from clausetrail.plans.stages import stage_root
 
@@ -107,3 +107,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL: dict[str, str] = {}
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated content-defined chunks of every document."""
+    return substrings.repeats(read(spark, sf_dir, "documents"))
