@@ -66,7 +66,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct("row", "chunk", "doc_id"))
     seen = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1")
     met = rows.join(seen, "digest", "left")
-    later = F.struct("row", "chunk") != F.struct("first.row", "first.chunk")
+    later = F.col("n").isNotNull() & ((F.col("row") != F.col("first.row")) | (F.col("chunk") != F.col("first.chunk")))
     per_row = met.groupBy("row", "doc_id").agg(
         F.count("size").alias("n_chunks"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("size"))), F.lit(0)).cast("bigint").alias("repeated_bytes"),
