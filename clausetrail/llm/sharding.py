@@ -1,27 +1,32 @@
 """Two-pass shuffle into shards: scatter into buckets that fit in memory, then permute each bucket.
 
-Pass one deals every document to a bucket by hashes of its id: the shard by a consistent hash (one
-more shard takes rows only into itself), the bucket inside the shard by a seeded hash.  The number
-of buckets follows from the size of all texts, so a bucket has about ``bucket_bytes`` however large
-the table is.  Pass two loads one bucket at a time, permutes it with a seeded Fisher-Yates shuffle
+Pass one deals every document to a bucket: the shard by a consistent hash of its id (one more shard
+takes rows only into itself), the bucket inside the shard by a seeded hash of the whole row.  The
+number of buckets follows from the size of a shard's texts, so a bucket has about ``bucket_bytes``
+however large the table is and however many rows have one id.  Identical rows are told apart by how
+many of them stood before in their partition; what is dealt is written once and read back, so that
+number is fixed.  Pass two loads one bucket at a time, permutes it with a seeded Fisher-Yates shuffle
 and writes it.  A bucket's rows are first put in a fixed order, so a task that runs again (a lost
 executor) writes the same rows in the same order.
 
 Defined results: a null ``doc_id`` counts as one more key; a null text has no bytes and checksum 0;
-rows with equal ``doc_id`` go to one bucket, as the law asks; other columns are kept as they are,
+rows with equal ``doc_id`` go to one shard, as the law asks, but to any of its buckets; other columns are kept as they are,
 also where their names equal those made here (they travel inside one struct); an empty table gives
 an empty result.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from clausetrail.llm.common import prepare, text_bytes
+from clausetrail.llm.common import prepare, stage, text_bytes
 
 LAW = "key"
 
@@ -46,6 +51,21 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def _before():
+    @F.arrow_udf("int")
+    def before(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        """How many rows of the partition had the same hash before."""
+        seen: defaultdict[int, int] = defaultdict(int)
+        for batch in hashes:
+            out = []
+            for h in batch.to_pylist():
+                out.append(seen[h])
+                seen[h] += 1
+            yield pa.array(out, pa.int32())
+
+    return before.asNondeterministic()
+
+
 def _permute(seed: int):
     def run(bucket: pa.Table) -> pa.Table:
         shard, part = bucket.column("shard")[0].as_py(), bucket.column("bucket")[0].as_py()
@@ -65,25 +85,26 @@ def shard_documents(docs: DataFrame, shards: int = 16, bucket_bytes: int = 8 <<
 
     spark = docs.sparkSession
     prepare(spark)
-    total = docs.agg(F.sum(text_size()).alias("n")).first()["n"] or 0
-    per_shard = max(1, -(-int(total) // (shards * bucket_bytes)))
     key = F.col("doc_id")
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), key), F.lit(per_shard)).cast("int")
-    place = [shard_of(key, shards).cast("int").alias("shard"), bucket.alias("bucket")]
+    shard = shard_of(key, shards).cast("int")
+    # One row for each shard.
+    sizes = {r["shard"]: r["n"] for r in docs.groupBy(shard.alias("shard")).agg(F.sum(text_size()).alias("n")).collect()}
+    buckets = F.array(*[F.lit(max(1, -(-int(sizes.get(i) or 0) // bucket_bytes))) for i in range(shards)])
+    dealt = docs.select(
+        shard.alias("shard"),
+        F.xxhash64(F.lit(seed), key).alias("key_hash"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"),
+        F.struct("*").alias("doc"),
+    ).withColumn("copy", _before()("row_hash"))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "key_hash", "row_hash", "copy"), F.get(buckets, F.col("shard"))).cast("int")
+    rows = stage(dealt.withColumn("bucket", bucket).select("shard", "bucket", "key_hash", "row_hash", "doc"), "dealt", "zstd")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each bucket, whatever the number of documents in it.
     starts = (
-        docs.select(*place)
-        .groupBy("shard", "bucket")
+        rows.groupBy("shard", "bucket")
         .count()
         .select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("bigint").alias("bucket_start"))
     )
-    rows = docs.select(
-        *place,
-        F.xxhash64(F.lit(seed), key).alias("key_hash"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"),
-        F.struct("*").alias("doc"),
-    )
     placed = rows.join(starts, ["shard", "bucket"])
     doc = placed.schema["doc"].dataType.simpleString()
     return placed.groupBy("shard", "bucket").applyInArrow(_permute(seed), f"shard int, slot bigint, doc {doc}")
