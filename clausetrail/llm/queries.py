@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, token_files, topk
+from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, suffix_repeats, token_files, topk
 from clausetrail.llm.common import read
 from clausetrail.plans.stages import stage_root
 
@@ -113,3 +113,9 @@ ORACLE_SQL: dict[str, str] = {}
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated content-defined chunks of every document."""
     return substrings.repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op11_maximal_repeats")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without the 50-byte strings that a document with a smaller id holds."""
+    return suffix_repeats.removals(read(spark, sf_dir, "documents"))
