@@ -31,6 +31,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from clausetrail.plans.stages import stage_root
 LEAST, GRAM = 50, 20
 BLOCK_BYTES, ENTRIES, CROWD = 8 << 20, 1 << 20, 4096
 LAST_ID = (1 << 63) - 1
-_SEGMENT = 1 << 22
+_SEGMENT, _TOGETHER = 1 << 22, 1 << 15
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,6 +54,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+@cache
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_BASE, n, 1 << 64))
 
@@ -62,13 +64,17 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     part, width, out, done = _LETTERS[data], 1, None, 0
     while True:
         if size & width:
-            count = len(data) - done - width + 1
-            out = part if out is None else out[:count] * _power(width) + part[done : done + count]
+            if out is None:
+                out = part
+            else:
+                out = out[: len(data) - done - width + 1] * _power(width)
+                out += part[done : done + len(out)]
             done += width
         if done == size:
-            return _mixed(out)
-        part = part[:-width] * _power(width) + part[width:]
-        width *= 2
+            return out
+        longer = part[:-width] * _power(width)
+        longer += part[width:]
+        part, width = longer, 2 * width
 
 
 def _smallest(values: np.ndarray, size: int) -> np.ndarray:
@@ -81,56 +87,77 @@ def _smallest(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, anchor and hash of each stretch of a text; windows are those that begin from start to end - LEAST."""
-    raw = np.frombuffer(data, np.uint8)
-    found = [_segment(raw[at : at + _SEGMENT + LEAST - 1], at) for at in range(0, max(len(raw) - LEAST + 1, 0), _SEGMENT)]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Text, start, end, anchor and hash of each stretch; its windows begin from start to end - LEAST."""
+    found: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))]
+    some: list[tuple[int, int, bytes]] = []  # text, place of this part in it, part
+    size = 0
+    for number, text in enumerate(texts):
+        for at in range(0, max(len(text) - LEAST + 1, 0), _SEGMENT):
+            some.append((number, at, text[at : at + _SEGMENT + LEAST - 1]))
+            size += len(some[-1][2])
+            if size >= _TOGETHER:
+                found.append(_stretches(some))
+                some, size = [], 0
+    if some:
+        found.append(_stretches(some))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _segment(raw: np.ndarray, at: int) -> tuple[np.ndarray, ...]:
-    grams = gram_hashes(raw, GRAM)
+def _stretches(parts: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    number, at = (np.array(x, np.int64) for x in list(zip(*parts))[:2])
+    sizes = np.array([len(x[2]) for x in parts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    grams = gram_hashes(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), GRAM)
     low = np.uint64((1 << 24) - 1)
     # The place is in the low bits: of equal hashes the leftmost is the smallest.
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     place = (_smallest(ranked, LEAST - GRAM + 1) & low).astype(np.int64)
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1))
-    ends = np.concatenate((starts[1:], [len(place)])) + LEAST - 1
-    # Of two windows, the first and the last, that cover the whole stretch.
-    windows = gram_hashes(raw, LEAST)
-    whole = _mixed(windows[starts] + windows[ends - LEAST] * _power(3) + (ends - starts).astype(np.uint64))
-    return starts + at, ends + at, grams[place[starts]], whole
+    new = np.empty(len(place), bool)
+    new[0], new[1:] = True, place[1:] != place[:-1]
+    new[begin] = True
+    starts = np.flatnonzero(new)
+    own = np.searchsorted(begin, starts, side="right") - 1
+    last = begin[own] + sizes[own] - LEAST  # of the text's windows
+    ends = np.minimum(np.concatenate((starts[1:] - 1, [len(place) - 1])), last) + LEAST
+    inside = starts <= last
+    starts, ends, own = starts[inside], ends[inside], own[inside]
+    # Of four grams that cover the whole stretch, as it has 2 * LEAST - GRAM bytes at most.
+    whole = (ends - starts).astype(np.uint64)
+    for k, gram in enumerate((starts, starts + GRAM, ends - 2 * GRAM, ends - GRAM)):
+        whole += grams[gram] * _power(101 + k)
+    shift = at[own] - begin[own]
+    return number[own], starts + shift, ends + shift, _mixed(grams[place[starts]]), _mixed(whole)
 
 
 class Block:
-    """The distinct stretches of a block's texts, in order of anchor and hash."""
+    """The stretches of a block's texts, which come in order of ids, by bucket and key.
+
+    A bucket is the leading ``bits`` of the anchor; a key has 24 more bits of it and 40 of the stretch's hash.
+    """
 
-    def __init__(self, ids: list[int], texts: list[bytes]) -> None:
+    def __init__(self, ids: list[int], texts: list[bytes], bits: int) -> None:
         self.ids, self.texts = np.array(ids, np.int64), texts
-        own = [stretches(x) for x in texts]
-        self.text = np.repeat(np.arange(len(texts)), [len(x[0]) for x in own])
-        start, end, anchor, whole = (np.concatenate(x) for x in zip(*own))
-        order = np.lexsort((self.text, self.ids[self.text], whole, anchor))
-        self.text, self.start, self.end, self.anchor, self.whole = self.text[order], start[order], end[order], anchor[order], whole[order]
+        text, start, end, anchor, whole = stretches(texts)
+        key = anchor << np.uint64(bits) >> np.uint64(40) << np.uint64(40) | whole >> np.uint64(24)
+        bucket = (anchor >> np.uint64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(key), np.uint32)
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(bucket[order].astype(np.uint16) if bits <= 16 else bucket[order], kind="stable")]
+        self.text, self.start, self.end, self.anchor, self.whole = text[order], start[order], end[order], anchor[order], whole[order]
+        key, bucket = key[order], bucket[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.whole[1:] != self.whole[:-1])
-        self.first = np.flatnonzero(new)
+        new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+        self.first = np.flatnonzero(new)  # of each distinct stretch, the place with the smallest id
         self.kind = np.cumsum(new) - 1  # which distinct stretch each is
         self.again = np.bincount(self.kind, minlength=len(self.first)) > 1
+        self.keys, self.bucket = key[self.first], bucket[self.first]
 
-    def keys(self, bits: int) -> np.ndarray:
-        """Of each distinct stretch: 24 bits of its anchor after those of the bucket, and 40 of its hash."""
-        anchor = self.anchor[self.first] << np.uint64(bits) >> np.uint64(40) << np.uint64(40)
-        return anchor | self.whole[self.first] >> np.uint64(24)
-
-    def cells(self, bits: int) -> Iterator[tuple[int, slice]]:
-        """Each bucket, the leading bits of the anchor, with its distinct stretches."""
-        bucket = (self.anchor[self.first] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.first), np.int64)
-        edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-        for b in np.unique(bucket).tolist():
-            yield b, slice(edges[b], edges[b + 1])
+    def cells(self) -> Iterator[tuple[int, slice]]:
+        """Each bucket with its distinct stretches."""
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(self.bucket)) + 1, [len(self.bucket)])).tolist()
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                yield int(self.bucket[a]), slice(a, b)
 
 
 def _sent(bits: int):
@@ -138,11 +165,10 @@ def _sent(bits: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = _ordered(table)
-        block = Block(table["id"].to_pylist(), table["data"].to_pylist())
-        keys, out = block.keys(bits), []
-        for b, cell in block.cells(bits):
+        block, out = Block(table["id"].to_pylist(), table["data"].to_pylist(), bits), []
+        for b, cell in block.cells():
             texts, number = np.unique(block.text[block.first[cell]], return_inverse=True)
-            parts = keys[cell], number.astype(np.uint32 if len(texts) > 65535 else np.uint16), block.ids[texts]
+            parts = block.keys[cell], number.astype(np.uint32 if len(texts) > 65535 else np.uint16), block.ids[texts]
             out.append((table["block"][0].as_py(), b, *(x.tobytes() for x in parts)))
         kinds = [("block", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("keys", "numbers", "ids"))]
         return pa.table([pa.array(x, t) for x, (_, t) in zip(list(zip(*out)) or [[]] * 5, kinds)], names=[k for k, _ in kinds])
@@ -208,48 +234,43 @@ def _found(bits: int, every: bool):
     """
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, out = _ordered(texts), []
-        if not texts.num_rows:
-            return _table(out)
-        block = Block(texts["id"].to_pylist(), texts["data"].to_pylist())
-        name, rows = texts["block"][0].as_py(), texts["row"].to_pylist()
+        texts = _ordered(texts)
+        name, rows = texts["block"][0].as_py(), texts["row"].to_numpy()
+        block = Block(texts["id"].to_pylist(), texts["data"].to_pylist(), bits)
         flags = np.zeros(len(block.first), np.uint8)
         said = dict(zip(answers["bucket"].to_pylist(), answers["flags"].to_pylist()))
-        for b, cell in block.cells(bits):
+        for b, cell in block.cells():
             flags[cell] = np.frombuffer(said[b], np.uint8)
         own = block.ids[block.text]
         held = (flags[block.kind] & EARLIER > 0) | (own > own[block.first][block.kind])
-        picked = np.flatnonzero(held)
-        picked = picked[np.lexsort((block.start[picked], block.text[picked]))]
-        edges = np.searchsorted(block.text[picked], np.arange(len(rows) + 1))
-        for t in np.unique(block.text[picked]).tolist():
-            part = picked[edges[t] : edges[t + 1]]
-            for a, b in zip(*(x.tolist() for x in _runs(block.start[part], block.end[part]))):
-                out.append(("span", name, rows[t], int(block.ids[t]), a, b, None, None, None))
-        for k in np.flatnonzero((flags & BESIDE > 0) & (flags & OWNER > 0)).tolist():
-            i = block.first[k]
-            t, a, b = int(block.text[i]), int(block.start[i]), int(block.end[i])
-            kind = "crowded" if flags[k] & CROWDED else "piece"
-            out.append((kind, name, rows[t], int(block.ids[t]), a, b, _signed(block.anchor[i]), _signed(block.whole[i]), block.texts[t][a:b]))
-        for i in np.flatnonzero(~held & (flags & BESIDE > 0)[block.kind]).tolist():
-            t = int(block.text[i])
-            out.append(("first", name, rows[t], None, int(block.start[i]), None, _signed(block.anchor[i]), _signed(block.whole[i]), None))
-        if every:
-            for i in np.flatnonzero((flags & (REPEATED | BESIDE) > 0)[block.kind] | block.again[block.kind]).tolist():
-                t = int(block.text[i])
-                out.append(("place", name, rows[t], int(block.ids[t]), int(block.start[i]), int(block.end[i]), _signed(block.anchor[i]), _signed(block.whole[i]), None))
-        return _table(out)
-
-    return run
-
+        out = []
 
-def _signed(x: np.uint64) -> int:
-    return int(np.uint64(x).astype(np.int64))
+        def put(kind: str, at: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, named: bool = True, pieces: list[bytes] | None = None) -> None:
+            names = [pa.array(x[at].view(np.int64)) if named else pa.nulls(len(text), pa.int64()) for x in (block.anchor, block.whole)]
+            whole = pa.array(pieces, pa.binary()) if pieces is not None else pa.nulls(len(text), pa.binary())
+            kinds, blocks = (pa.array([x]).take(pa.array(np.zeros(len(text), np.int64))) for x in (kind, name))
+            columns = [kinds, blocks, pa.array(rows[text]), pa.array(block.ids[text]), pa.array(start), pa.array(end), *names, whole]
+            out.append(pa.table(columns, names=[x.split()[0] for x in FOUND.split(", ")]))
 
+        # Texts follow one another on one line, so that runs of all of them are found at once.
+        picked = np.flatnonzero(held)
+        long = np.int64(max(map(len, block.texts)) + 1)
+        line = block.text[picked] * long + block.start[picked]
+        order = np.argsort(line)
+        if len(picked):
+            begin, end = _runs(line[order], line[order] + (block.end - block.start)[picked][order])
+            put("span", picked, begin % long, begin % long + end - begin, begin // long, named=False)
+        beside = flags & BESIDE > 0
+        for kind, crowded in (("piece", False), ("crowded", True)):
+            at = block.first[beside & (flags & OWNER > 0) & ((flags & CROWDED > 0) == crowded)]
+            text, start, end = block.text[at], block.start[at], block.end[at]
+            put(kind, at, start, end, text, pieces=[block.texts[t][a:b] for t, a, b in zip(text.tolist(), start.tolist(), end.tolist())])
+        for kind, at in (("first", np.flatnonzero(~held & beside[block.kind])), ("place", np.flatnonzero((flags & (REPEATED | BESIDE) > 0)[block.kind] | block.again[block.kind]))):
+            if kind == "first" or every:
+                put(kind, at, block.start[at], block.end[at], block.text[at])
+        return pa.concat_tables(out)
 
-def _table(out: list[tuple]) -> pa.Table:
-    kinds = [("kind", pa.string()), *((c, pa.int64()) for c in ("block", "row", "id", "start", "end", "anchor", "whole")), ("piece", pa.binary())]
-    return pa.table([pa.array(x, t) for x, (_, t) in zip(list(zip(*out)) or [[]] * 9, kinds)], names=[k for k, _ in kinds])
+    return run
 
 
 class SuffixArray:
