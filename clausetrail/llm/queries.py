@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausetrail.llm import chat, decontaminate, mixing, quality, secrets, sharding, simhash, substrings, suffix_repeats, token_files, topk
+from clausetrail.llm import (
+    chat,
+    conversation_repair,
+    decontaminate,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    spelling,
+    substrings,
+    suffix_repeats,
+    token_files,
+    topk,
+)
 from clausetrail.llm.common import read
 from clausetrail.plans.stages import stage_root
 
@@ -119,3 +133,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every text without the 50-byte strings that a document with a smaller id holds."""
     return suffix_repeats.removals(read(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after seeded damage."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.reports(conversation_repair.damage(rows), rows.select("conv_id"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents."""
+    return spelling.misspelt(read(spark, sf_dir, "documents"))
