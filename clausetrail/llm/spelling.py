@@ -3,7 +3,7 @@
 One edit changes few letter counts: a replaced letter lowers one count and raises another by one, an added letter
 raises one.  So words are points of letter counts in k-d trees, one for each length, and a word is searched for in the
 trees of its own length (one count up and one down at most) and of the next smaller (one down).  A search goes to the far
-side of a split only while such a change is left; what it meets is compared letter by letter.
+side of a split only while such a change is left; the words of the leaves it reaches are compared letter by letter.
 
 The upper levels of the trees are fitted on a bounded sample (``sample`` words) and deal words to cells; a word
 lives in one cell and visits every cell that its box meets, so the sample changes balance, never results.  A cell that
@@ -144,17 +144,25 @@ class KdTree:
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a != b).sum(axis=1) == 1
+    """For words a and b of one length, letters by place first: which pairs differ in one letter."""
+    differ = np.zeros((a.shape[1], b.shape[1]), np.uint16)
+    for x, y in zip(a, b):
+        differ += x[:, None] != y[None, :]
+    return differ == 1
 
 
 def one_longer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether dropping one letter of a gives b."""
-    size = b.shape[1]
-    differs = a[:, :size] != b
-    first = np.where(differs.any(axis=1), differs.argmax(axis=1), size)
-    shifted = a[:, 1:] == b
-    rest = np.logical_and.accumulate(shifted[:, ::-1], axis=1)[:, ::-1]
-    return (first == size) | rest[np.arange(len(a)), np.minimum(first, size - 1)]
+    """For words a, a letter longer than words b: which pairs are equal without one letter of a."""
+    shape = a.shape[1], b.shape[1]
+    equal, shared = np.ones(shape, bool), np.zeros(shape, np.uint16)
+    for x, y in zip(a, b):  # from the front
+        equal &= x[:, None] == y[None, :]
+        shared += equal
+    equal = np.ones(shape, bool)
+    for x, y in zip(a[::-1], b[::-1]):  # from the end
+        equal &= x[:, None] == y[None, :]
+        shared += equal
+    return shared >= len(b)
 
 
 class Cell:
@@ -162,7 +170,7 @@ class Cell:
 
     def __init__(self, words: list[bytes], counts: list[int]) -> None:
         self.words, self.counts = words, counts
-        self.letters, self.points = letters_of(words), letter_counts(words)
+        self.letters, self.points = np.ascontiguousarray(letters_of(words).T), letter_counts(words)
         self.tree = KdTree(self.points, LEAF)
         order = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))
         self.rank = np.empty(len(words), np.int64)
@@ -171,20 +179,15 @@ class Cell:
 
     def near(self, words: list[bytes], longer: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (visitor, member) that one edit parts."""
-        points, letters, pairs = letter_counts(words), letters_of(words), []
+        points, letters, pairs = letter_counts(words), np.ascontiguousarray(letters_of(words).T), []
         check = one_longer if longer else one_replaced
         for leaf, own in self.tree.reached(points, 0 if longer else 1, 1):
             members = self.tree.leaves[leaf]
-            some = max(1, (1 << 21) // (len(members) * 90))
+            some = max(1, (1 << 22) // len(members))
             for at in range(0, len(own), some):
                 part = own[at : at + some]
-                apart = np.abs(points[part][:, None, :] - self.points[members][None, :, :]).sum(axis=2)
-                q, m = np.nonzero(apart <= 2)
-                q, m = part[q], members[m]
-                step = max(1, (1 << 22) // letters.shape[1])
-                for k in range(0, len(q), step):
-                    ok = check(letters[q[k : k + step]], self.letters[m[k : k + step]])
-                    pairs.append((q[k : k + step][ok], m[k : k + step][ok]))
+                q, m = np.nonzero(check(letters[:, part], self.letters[:, members]))
+                pairs.append((part[q], members[m]))
         if not pairs:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*pairs))
