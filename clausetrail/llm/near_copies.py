@@ -1,31 +1,42 @@
 """Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash can't find all of these: at 0.8 two fingerprints differ in about 10 of 64 bits, often in 15, and no cut into
-bit blocks is selective at such a radius.  So candidates come from prefixes: with the shingles of all texts in one
-order, two sets that are similar enough share a shingle among the first ``n - ceil(similarity * n) + 1`` of each.  Any
-order gives all pairs; rare shingles first gives few candidates.  How common a shingle is comes from a sample of texts,
-which changes work, never results.  Candidates that sizes and positions don't rule out are compared by whole sets.
+Candidates come from two sides, and each is compared by whole sets before it links anything:
 
-Texts with equal sets are one node.  A shingle with few nodes gives all its pairs.  One with many (a large group of
-near copies) compares all with one of them first; where that joins them all, nothing is left to do.  After ``rounds``
-of these, what is still apart is compared pair by pair, so no link is lost.
+* Fingerprints of five-word shingles and their BK-trees (``simhash``) give the bulk: most copies differ in a few of 64 bits.
+* At 0.8 two fingerprints differ in about 10 bits, often in 15, and no cut into bit blocks is selective at such a radius.
+  What they miss comes from prefixes: with the shingles of all texts in one order, two sets that are similar enough
+  share a shingle among the first ``n - ceil(similarity * n) + 1`` of each.  Any order gives all pairs; rare shingles
+  first gives few candidates.  How common a shingle is comes from a sample of texts, which changes work, never results.
+
+Only texts that aren't linked yet are candidates.  In each of some rounds every shingle with two groups compares all its
+texts with one of them, the pivot, which then leaves; linked groups are found again.  What is apart after the rounds is
+compared pair by pair, so no link is lost.
+
+Texts with equal sets are one node.  The texts are kept as a table bucketed by node, so they are dealt out once; a
+comparison sends the text of a node to its pivot, once for each pivot, and the pivot's to each task that needs it.
 
 Defined results: null and empty texts have equal (empty) sets; a text of fewer words than a shingle is one shingle;
-words are split at ASCII white space, and only A-Z are folded; shingles are compared by 64-bit hashes.
+words are split at ASCII white space, and only A-Z are folded; shingles are compared by 64-bit hashes; of a group the
+row with the smallest ``doc_id`` stays, null last, then by whole content, and one of equal rows; other columns, of any
+name, are kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausetrail.llm.common import prepare, stage, text_bytes
 from clausetrail.llm.components import components
+from clausetrail.llm.simhash import fingerprint_column, fingerprint_links
+from clausetrail.plans.stages import discard, stage_root
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLE, COMMON = 20_000, 200_000
@@ -86,96 +97,118 @@ def _prefixes(words: int, least: Fraction, common: np.ndarray, counts: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for node, root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = shingles(text.as_py(), words)
                 keys, hot = prefix(own, common, counts, least)
-                out.append((keys.view(np.int64), np.full(len(keys), node), np.full(len(keys), len(own), np.int32), np.arange(len(keys), dtype=np.int32), hot))
+                size = len(keys)
+                out.append((keys.view(np.int64), np.full(size, node), np.full(size, root), np.full(size, len(own), np.int32), np.arange(size, dtype=np.int32), hot))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "node", "n", "pos", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "node", "root", "n", "pos", "hot"])
 
     return run
 
 
-def _possible(least: Fraction, n, pos, other_n, other_pos, lower=min):
-    """Whether sets of these sizes that share the shingles at these positions can be similar; of numbers or columns."""
-    shared = lower(pos, other_pos) + 1 + lower(n - pos - 1, other_n - other_pos - 1)
-    return shared * (least.numerator + least.denominator) >= (n + other_n) * least.numerator
-
+KEYED = "key bigint, node bigint, root bigint, n int, pos int"
 
-def _pairs(least: Fraction, small: int):
-    """Rows in order of key: pairs (v set) of keys with up to ``small`` nodes; the rows (v null) of all others."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, passing, last = None, [], False, None
+def _shared(most: int = 1 << 16):
+    """Rows in order of key: those of keys that stand in texts of two groups, and all that are known to be common.
 
-        def finished(out: list[tuple]) -> None:
-            if passing:
-                return
-            for i, (node, n, pos) in enumerate(own):
-                for other, m, at in own[:i]:
-                    if _possible(least, n, pos, m, at):
-                        out.append((min(node, other), max(node, other), None, None, None))
+    The rows of the last key wait for the next batch; a key with more than ``most`` of them passes through.
+    """
 
-        def packed(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names=["u", "v", "key", "n", "pos"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        passing: int | None = None
+
+        def kept(table: pa.Table) -> pa.Table:
+            key, root, hot = (table[c].to_numpy() for c in ("key", "root", "hot"))
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            run_of = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+            apart = (np.maximum.reduceat(root, starts) != np.minimum.reduceat(root, starts))[run_of]
+            keep = apart | hot | (key == passing if passing is not None else False)
+            return table.filter(pa.array(keep)).drop_columns(["hot"])
 
         for batch in batches:
-            out: list[tuple] = []
-            for k, node, n, pos, hot in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    finished(out)
-                    key, own, passing, last = k, [], hot, None
-                if node == last:
-                    continue
-                last = node
-                if not passing and len(own) == small:
-                    passing = True
-                    out += [(x, None, k, m, at) for x, m, at in own]
-                    own = []
-                if passing:
-                    out.append((node, None, k, n, pos))
-                else:
-                    own.append((node, n, pos))
-            yield packed(out)
-        out = []
-        finished(out)
-        yield packed(out)
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.num_rows
+            last = batch.column(0)[-1].as_py()
+            table = pa.Table.from_batches(waiting)
+            cut = int(np.searchsorted(table["key"].to_numpy(), last))
+            if held - cut > most:
+                passing = last
+                yield from kept(table).to_batches()
+                waiting, held = [], 0
+            elif cut:
+                yield from kept(table.slice(0, cut)).to_batches()
+                waiting = table.slice(cut).combine_chunks().to_batches()
+                held -= cut
+                passing = passing if passing == last else None
+        if waiting:
+            yield from kept(pa.Table.from_batches(waiting)).to_batches()
 
     return run
 
 
-def _sets(words: int):
-    @F.arrow_udf("binary")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(x.as_py(), words).tobytes() for x in texts], pa.binary())
+def _possible(least: Fraction, n, pos, other_n, other_pos, lower=min):
+    """Whether sets of these sizes that share the shingles at these positions can be similar; of numbers or columns."""
+    shared = lower(pos, other_pos) + 1 + lower(n - pos - 1, other_n - other_pos - 1)
+    return shared * (least.numerator + least.denominator) >= (n + other_n) * least.numerator
 
-    return of.asNondeterministic()
 
+def _alike(words: int, least: Fraction):
+    """Rows of a pivot and part, the pivot's own first: the pairs that are similar."""
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """The pairs u, v whose whole sets are similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+        for batch in batches:
+            out = []
+            for pivot, part, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                found = shingles(text.as_py(), words)
+                if (pivot, part) != key:
+                    key, own = (pivot, part), found
+                elif node != pivot and similar(own, found, least):
+                    out.append((pivot, node))
+            u, v = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    @F.arrow_udf("boolean")
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        numbers = lambda x: np.frombuffer(x.as_py(), np.uint64)
-        return pa.array([similar(numbers(x), numbers(y), least) for x, y in zip(a, b)], pa.bool_())
+    return run
 
-    first = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    second = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    met = pairs.distinct().join(first, "u").join(second, "v")
-    return stage(met.select("u", "v", alike.asNondeterministic()("a", "b").alias("alike")).filter("alike").select("u", "v"), "verified")
 
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: Fraction, per_task: int = 2000) -> DataFrame:
+    """The pairs (pivot, node) whose whole sets are similar, as u, v.  A pivot of many pairs is sent to several tasks."""
+    pairs = pairs.filter("pivot <> node").distinct()
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(per_task)).cast("int").alias("parts"))
+    members = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
+    pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"))
+    met = texts.join(members.unionByName(pivots), "node").select("pivot", "part", "node", "data")
+    placed = met.repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc(F.col("node") == F.col("pivot")))
+    return stage(placed.mapInArrow(_alike(words, least), "u bigint, v bigint"), "verified")
 
-def _pair(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
+def fingerprint_candidates(nodes: DataFrame, radius: int = 4) -> DataFrame:
+    """nodes: node, fp.  Pairs (pivot, node) that the BK-trees of fingerprints put together."""
+    firsts = stage(nodes.groupBy("fp").agg(F.min("node").alias("pivot")), "fingerprints")
+    equal = nodes.join(firsts, "fp").select("pivot", "node")
+    roots = components(fingerprint_links(firsts.select("fp"), radius))
+    names = firsts.select(F.col("fp").alias("root"), F.col("pivot").alias("first"))
+    linked = firsts.join(roots.withColumnRenamed("node", "fp"), "fp").join(names, "root")
+    return equal.unionByName(linked.select(F.col("first").alias("pivot"), F.col("pivot").alias("node"))).filter("pivot <> node")
 
-def similar_nodes(texts: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, small: int = 64, rounds: int = 3, sample: int = SAMPLE) -> DataFrame:
-    """texts: node and data (UTF-8), rows of a node with equal shingle sets.  Returns node, root of linked nodes."""
+
+def similar_nodes(
+    texts: DataFrame, candidates: DataFrame | None = None, similarity: float = SIMILARITY, words: int = WORDS, small: int = 4, rounds: int = 3, sample: int = SAMPLE
+) -> DataFrame:
+    """texts: node and data (UTF-8), one row for each node.  Returns node, root of linked nodes.
+
+    ``candidates``: pairs (pivot, node) to compare before any others.
+    """
     prepare(texts.sparkSession)
     least = Fraction(str(similarity))
-    every = max(1, texts.count() // sample)
+    every = max(1, texts.select("node").count() // sample)
     picked = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(every)) == 0).select("data")
     counted = picked.mapInArrow(_all_shingles(words), "key bigint").groupBy("key").count().filter("count > 2")
     known = counted.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
@@ -183,64 +216,69 @@ def similar_nodes(texts: DataFrame, similarity: float = SIMILARITY, words: int =
     order = np.argsort(common)
     common, counts = common[order], counts[order]
 
-    keyed = texts.mapInArrow(_prefixes(words, least, common, counts), "key bigint, node bigint, n int, pos int, hot boolean")
+    none = texts.sparkSession.createDataFrame([], "u bigint, v bigint")
+    links = none if candidates is None else _verified(candidates, texts, words, least)
+    roots = stage(components(links), "roots")
+    rooted = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "data")
+    keyed = rooted.mapInArrow(_prefixes(words, least, common, counts), KEYED + ", hot boolean")
     # Keys known to be common only pass through, so they are spread.
     spread = keyed.repartition("key", F.when(F.col("hot"), F.pmod("node", F.lit(1024))))
-    found = stage(
-        spread.sortWithinPartitions("key", "node").mapInArrow(_pairs(least, small), "u bigint, v bigint, key bigint, n int, pos int"),
-        "candidates",
-    )
-    pairs = found.filter("v is not null").select("u", "v")
-    hot = found.filter("v is null").select("key", F.col("u").alias("node"), "n", "pos")
-    lone = hot.groupBy("key").count().filter("count > 1")
-    hot = stage(hot.join(lone.select("key"), "key"), "hot")
-
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(hot.select("node")).distinct()
-    one = texts.join(wanted, "node", "left_semi")
-    sets = stage(one.select("node", _sets(words)("data").alias("shingles")).dropDuplicates(["node"]), "sets")
-    links = _verified(pairs, sets, least)
+    hot = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
     for turn in range(rounds + 1):
-        roots = stage(components(links), "roots")
-        named = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "root", "n", "pos")).alias("pivot")
-        groups = named.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), pivot)
-        groups = stage(groups.filter("low < high").select("key", "size", "pivot"), "groups")
-        if groups.isEmpty():
+        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "node", "root", "n", "pos")).alias("pivot")
+        groups = hot.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), pivot)
+        met = stage(hot.join(groups.filter("low < high").select("key", "size", "pivot"), "key"), "groups")
+        discard(hot)
+        if met.isEmpty():
             return roots
         whole = F.col("size") <= (small if turn < rounds else 1 << 62)
-        hot = stage(named.join(groups, "key"), "hot")
-        lower = F.least
-        near = _possible(least, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), lower)
-        to_pivot = hot.filter(~whole & (F.col("root") != F.col("pivot.root")) & near).select(*_pair(F.col("node"), F.col("pivot.node")))
-        left = hot.filter(whole).select("key", "node", "root", "n", "pos")
+        near = _possible(least, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), F.least)
+        to_pivot = met.filter(~whole & (F.col("root") != F.col("pivot.root")) & near).select("pivot.node", F.col("node").alias("other"))
+        left = met.filter(whole).select("key", "node", "root", "n", "pos")
         right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "pos")])
-        near = _possible(least, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"), lower)
+        near = _possible(least, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"), F.least)
         crossed = left.join(right, "key").filter((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near)
-        links = stage(links.unionByName(_verified(to_pivot.unionByName(crossed.select(*_pair(F.col("node"), F.col("other_node")))), sets, least)), "links")
-        hot = stage(hot.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos"), "hot")
-    return components(links)
+        pairs = to_pivot.toDF("pivot", "node").unionByName(crossed.select(F.col("node").alias("pivot"), F.col("other_node").alias("node")))
+        links = links.unionByName(_verified(pairs, texts, words, least))
+        roots = stage(components(links), "roots")
+        rest = met.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos")
+        hot = stage(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos"), "rest")
+        discard(met)
+    return roots
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, **limits: int) -> DataFrame:
+BUCKET_BYTES = 16 << 20
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 4, **limits: int) -> DataFrame:
     """Keeps one row of each group of linked texts: the one with the smallest ``doc_id``.
 
     Rows with that same ``doc_id`` are told apart by their whole content; of equal rows one stays.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
+    data = text_bytes("text")
     whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    numbered = stage(
-        docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), whole.alias("whole"), _nodes(words)(text_bytes("text")).alias("node")).withColumn("row_number", F.monotonically_increasing_id()),
-        "numbered",
+    numbered = docs.select(
+        F.struct("*").alias("doc"),
+        F.col("doc_id").alias("id"),
+        whole.alias("whole"),
+        _nodes(words)(data).alias("node"),
+        fingerprint_column("text", words).alias("fp"),
+        F.monotonically_increasing_id().alias("row_number"),
     )
-    texts = numbered.select("node", text_bytes(F.col("doc.text")).alias("data"))
-    roots = similar_nodes(texts, similarity, words, **limits)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    name = f"texts_{uuid.uuid4().hex}"
+    writer = numbered.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node")
+    writer.option("path", f"{stage_root(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "whole", "row_number")
-    kept = (
-        numbered.groupBy("node")
-        .agg(F.min(first).alias("first"))
-        .join(roots, "node", "left")
-        .groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row_number").alias("row_number"))
-    )
-    return numbered.join(kept, "row_number", "left_semi").select("doc.*")
+    nodes = stage(table.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "nodes")
+    # Of rows with equal sets one stands for all.  Joins are by node alone, by which the table is bucketed.
+    ones = nodes.select("node", F.col("first.row_number").alias("one"))
+    texts = table.join(ones, "node").filter("row_number = one").select("node", text_bytes("doc.text").alias("data"))
+    roots = similar_nodes(texts, fingerprint_candidates(nodes.select("node", "fp"), radius), similarity, words, **limits)
+    named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
+    kept = named.agg(F.min(F.struct("first", "node")).alias("kept")).select("kept.node", F.col("kept.first.row_number").alias("one"))
+    return table.join(kept, "node").filter("row_number = one").select("doc.*")

@@ -24,6 +24,7 @@ from clausetrail.llm import (
     topk,
 )
 from clausetrail.llm.common import read
+from clausetrail.llm.statements import STATEMENTS
 from clausetrail.plans.stages import stage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,12 +121,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(STATEMENTS)
 
 
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated content-defined chunks of every document."""
+    """Repeated passages of every document, from content-defined chunks."""
     return substrings.repeats(read(spark, sf_dir, "documents"))
 
 

@@ -4,18 +4,22 @@ The patterns give the base spans.  They also label the tokens of a bounded sampl
 (first token of a secret value: begin, its others: inside, all else: outside), on which the random
 field is trained.  Its features are a token's shape (length and kinds of characters), its share of digits,
 what stands before and after it, how far back a word like "token" stands, and features of the whole
-text (share of digits, of punctuation, presence of such words).  Every whole text is tagged by
-Viterbi decoding; runs of begin and inside of ``min_chars`` or more that touch no base span are added.
+text (share of digits, of punctuation, presence of such words).  Each labelled window is learnt in four forms: as it is; with
+the words hidden that the patterns look for; with the secret in another format too (other kinds of characters,
+another length); and with other neighbours too.  So no single word, format or mark has to be there.  Every
+whole text is tagged by Viterbi decoding; runs of begin and inside of ``min_chars`` or more that touch no base span are
+added.
 
 Decoding is skipped only where it can't find anything: scores are relative to "outside", and if no
 token's best score plus the best transition is above zero, no run of other tags can beat "outside"
 throughout.
 
-The sample: the ``sample_docs`` documents with the smallest hash of their id, and of these at most
-``sample_windows`` windows of tokens, each around a token with a digit or a label.  Everything but the
-fit sees all documents.
+The sample: all documents are searched for base spans; of those with some, and of those without, the
+``sample_docs`` with the smallest hash of their id and text are taken, equal rows once.  Of a document at most
+``per_document`` windows of tokens are, those with the smallest hash among all around a token with a digit or a label, and
+``sample_windows`` windows in all, labelled ones first.  Everything but the fit sees all documents.
 
-Defined results: a null text is an empty text and has no span; without a base span in the sample
+Defined results: a null text is an empty text and has no span; without a base span in any document
 nothing is learnt and only base spans are returned; rows with equal ``doc_id`` each get a result; an
 empty table gives an empty result.
 """
@@ -30,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from clausetrail.llm.common import prepare, text_bytes
+from clausetrail.llm.common import prepare, stage, text_bytes
 
 KINDS = ("assign", "access", "hex", "crf")
 # The base patterns and their least lengths.
@@ -228,31 +233,66 @@ def train(features: np.ndarray, tags: np.ndarray, steps: int = 150, rate: float
     return RandomField(weights, moves)
 
 
+_BACK, _WHOLE = 3, 6  # families of features that tell of the patterns' words
+
+
+def without_words(features: np.ndarray) -> np.ndarray:
+    """The features of tokens as if none of the patterns' words stood in the text."""
+    out = features.copy()
+    real = out[:, 0] >= 0
+    out[real, _BACK] = OFFSETS[_BACK]
+    whole = out[real, _WHOLE] - OFFSETS[_WHOLE]
+    out[real, _WHOLE] = OFFSETS[_WHOLE] + whole // 2 * 2
+    return out
+
+
+# Formats of secrets, as kinds of characters (lower, upper, digits, marks), lengths and shares of digits.
+_FORMATS, _LENGTHS, _SHARES = (5, 6, 7, 7, 7, 13, 14, 15, 15), (4, 5, 5, 6, 6, 7), (1, 1, 2, 2, 3)
+_MIX, _SIZE, _SHARE, _AROUND, _AFTER = 0, 1, 2, 4, 5
+
+
+def forms_of(features: np.ndarray, tags: np.ndarray, seed: int) -> list[np.ndarray]:
+    """A labelled window as it is, and with known words, format and neighbours of its secrets hidden one after the other."""
+    pick = np.random.default_rng(seed)
+    hidden = without_words(features)
+    secret = np.flatnonzero(tags > 0)
+    other = hidden.copy()
+    for family, values in ((_MIX, _FORMATS), (_SIZE, _LENGTHS), (_SHARE, _SHARES)):
+        other[secret, family] = OFFSETS[family] + pick.choice(values, len(secret))
+    alone = other.copy()
+    plain = np.flatnonzero((tags == 0) & (hidden[:, 0] >= 0))
+    if len(plain):
+        for family in (_AROUND, _AFTER):
+            alone[secret, family] = hidden[pick.choice(plain, len(secret)), family]
+    return [features, hidden, other, alone]
+
+
 def _windows(width: int, per_document: int):
     """Feature windows around tokens with a digit or a label, as bytes, with their tags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, bool, bytes, bytes]] = []
-            for order, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = Tokens(data)
                 if not len(tokens.starts):
                     continue
                 tags = tokens.labels(base_spans(data)[1])
-                centres = np.flatnonzero(tokens.has_digit | (tags > 0)).tolist() or [len(tags) // 2]
-                covered, own = -1, 0
+                spread = np.random.default_rng(place & 0xFFFFFFFF)
+                labelled, others = np.flatnonzero(tags > 0), np.flatnonzero(tokens.has_digit & (tags == 0))
+                # By hash over the whole text; of labelled tokens before others.
+                centres = [*spread.permutation(labelled).tolist(), *spread.permutation(others).tolist()] or [len(tags) // 2]
+                covered, own = np.zeros(len(tags), bool), 0
                 for centre in centres:
-                    if centre <= covered or own == per_document:
+                    if covered[centre] or own == per_document:
                         continue
                     a, b = max(0, centre - width), min(len(tags), centre + width + 1)
-                    while b < len(tags) and tags[b] == 2:
-                        b += 1
-                    covered, own = b - 1, own + 1
+                    covered[a:b] = True
+                    own += 1
                     block = np.full((2 * width + 1, len(SIZES)), -1, np.int32)
                     marks = np.zeros(2 * width + 1, np.int8)
-                    b = min(b, a + 2 * width + 1)
                     block[: b - a], marks[: b - a] = tokens.features[a:b], tags[a:b]
-                    found.append((order, bool(marks.any()), block.tobytes(), marks.tobytes()))
+                    found.append((place, bool(marks.any()), block.tobytes(), marks.tobytes()))
             types = [pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
             columns = list(zip(*found)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -262,21 +302,37 @@ def _windows(width: int, per_document: int):
     return run
 
 
-def fit(docs: DataFrame, sample_docs: int = 8000, sample_windows: int = 3000, width: int = 15, per_document: int = 8) -> RandomField | None:
-    """Trains on windows of a bounded sample; None where no base span is in it."""
+@F.arrow_udf(BooleanType())
+def _has_base_span(texts: pa.Array) -> pa.Array:
+    return pa.array([bool(base_spans(x.as_py())[0]) for x in texts], pa.bool_())
+
+
+def fit(docs: DataFrame, sample_docs: int = 4000, sample_windows: int = 3000, width: int = 15, per_document: int = 8) -> RandomField | None:
+    """Trains on windows of a bounded sample; None where no document has a base span."""
     prepare(docs.sparkSession)
-    place = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    chosen = docs.filter("doc_id is not null").select("doc_id").orderBy(place, "doc_id").limit(sample_docs).distinct()
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(place.alias("place"), text_bytes("text").alias("data"))
-    windows = rows.mapInArrow(_windows(width, per_document), "place bigint, labelled boolean, features binary, tags binary")
-    # Labelled ones first: they are few.
-    picked = windows.orderBy(F.col("labelled").desc(), "place", "features").limit(sample_windows).collect()
-    if not any(row["labelled"] for row in picked):
+    place = F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))
+    rows = docs.select(place.alias("place"), text_bytes("text").alias("data"))
+    # Only hashes are kept of all documents; the texts of the sample are read once more.
+    known = stage(rows.select("place", _has_base_span.asNondeterministic()("data").alias("labelled")), "labelled")
+    chosen = None
+    for flag in (True, False):
+        part = known.filter(F.col("labelled") == flag).select("place").distinct().orderBy("place").limit(sample_docs)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if known.filter("labelled").isEmpty():
         return None
+    sampled = rows.join(F.broadcast(chosen), "place").dropDuplicates(["place"])
+    windows = sampled.mapInArrow(_windows(width, per_document), "place bigint, labelled boolean, features binary, tags binary")
+    # Labelled ones first: they are few.
+    picked = windows.orderBy(F.col("labelled").desc(), F.xxhash64("place", "features"), "place").limit(sample_windows).collect()
     length = 2 * width + 1
-    features = np.stack([np.frombuffer(row["features"], np.int32).reshape(length, len(SIZES)) for row in picked])
-    tags = np.stack([np.frombuffer(row["tags"], np.int8) for row in picked]).astype(np.int64)
-    return train(features, tags)
+    features, tags = [], []
+    for row in picked:
+        block = np.frombuffer(row["features"], np.int32).reshape(length, len(SIZES))
+        marks = np.frombuffer(row["tags"], np.int8)
+        for seen in forms_of(block, marks, len(features)) if row["labelled"] else [block]:
+            features.append(seen)
+            tags.append(marks)
+    return train(np.stack(features), np.stack(tags).astype(np.int64))
 
 
 def spans_of(data: bytes, field: RandomField | None, min_chars: int = 12) -> list[Span]:

@@ -2,22 +2,30 @@
 
 A cut stands where the rolling hash of the last 16 bytes meets a mask, at least ``MIN_BYTES`` after the
 cut before; so cuts move with the text and an insertion changes only the chunks around it.  Chunks with
-equal digests are repeats; a digest's occurrences are counted with partial sums, never gathered.
+equal digests are repeats.  A digest's smallest ``doc_id`` holds the passage first; its chunks in documents with larger ids
+are later copies.  Successive later copies form a passage, and passages of ``least_bytes`` or more are the result:
+single chunks are short, and common phrases would be taken for copies.
 
-Defined results: null and empty texts have no chunk; repeated rows each get a result; an empty table
-gives an empty result.
+Digests are counted with partial sums, never gathered.  What is gathered are the later chunks of one document.
+
+Defined results: null and empty texts have no chunk; a null ``doc_id`` counts as the largest; rows with equal ``doc_id`` take
+nothing from one another, and repeats inside a document stay; a chunk holds up to ``MAX_BYTES`` bytes, so a very long text
+is many chunks; other columns, of any name, pass through ``remove_repeats`` untouched; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausetrail.llm.common import prepare, stage, text_bytes
 
 MIN_BYTES, MAX_BYTES, MASK_BITS = 24, 256, 4
+LEAST_BYTES = 160
+LAST_ID = (1 << 63) - 1
 _GEAR = np.random.default_rng(20240101).integers(0, 1 << 16, 256, dtype=np.uint16)
 
 
@@ -39,38 +47,82 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """row, doc_id, chunk, size and digest of every chunk."""
+    """row, id, chunk, start, end and digest of every chunk; start and end in bytes."""
     prepare(docs.sparkSession)
 
-    @F.arrow_udf("array<struct<size:int,digest:binary>>")
+    @F.arrow_udf("array<struct<start:int,end:int,digest:binary>>")
     def chunks(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
-        out = []
+        starts, ends, digests, sizes = [], [], [], [0]
         for text in texts:
-            data, start, own = text.as_py(), 0, []
-            for end in cuts(data):
-                own.append({"size": end - start, "digest": xxh3_128_digest(data[start:end])})
-                start = end
-            out.append(own)
-        return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("digest", pa.binary())])))
-
-    numbered = docs.select("doc_id", text_bytes("text").alias("data")).withColumn("row", F.monotonically_increasing_id())
-    found = numbered.select("row", "doc_id", chunks.asNondeterministic()("data").alias("c"))
-    return found.select("row", "doc_id", F.posexplode_outer("c").alias("chunk", "c")).select("row", "doc_id", "chunk", "c.size", "c.digest")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per document: chunks, bytes in chunks that occur elsewhere, bytes seen first elsewhere, and where."""
-    rows = stage(chunk_rows(docs), "chunks")
-    first = F.min(F.struct("row", "chunk", "doc_id"))
-    seen = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).filter("n > 1")
-    met = rows.join(seen, "digest", "left")
-    later = F.col("n").isNotNull() & ((F.col("row") != F.col("first.row")) | (F.col("chunk") != F.col("first.chunk")))
-    per_row = met.groupBy("row", "doc_id").agg(
-        F.count("size").alias("n_chunks"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("size"))), F.lit(0)).cast("bigint").alias("repeated_bytes"),
-        F.coalesce(F.sum(F.when(later, F.col("size"))), F.lit(0)).cast("bigint").alias("removable_bytes"),
-        F.sort_array(F.collect_set(F.when(later & (F.col("first.row") != F.col("row")), F.col("first.doc_id")))).alias("first_doc_ids"),
+            data = text.as_py()
+            own = cuts(data)
+            before = [0, *own[:-1]] if own else []
+            starts += before
+            ends += own
+            digests += [xxh3_128_digest(data[a:b]) for a, b in zip(before, own)]
+            sizes.append(len(ends))
+        fields = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "digest"]))
+
+    found = docs.select("row", "id", chunks.asNondeterministic()(text_bytes("text")).alias("c"))
+    return found.select("row", "id", F.posexplode("c").alias("chunk", "c")).select("row", "id", "chunk", "c.*")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)), "row": F.monotonically_increasing_id()})
+
+
+def later_passages(numbered: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """row, start, end of every passage that documents with smaller ids hold."""
+    chunks = stage(chunk_rows(numbered.select("row", "id", "text")), "chunks")
+    holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    later = chunks.join(holders.select("digest", "first"), "digest").filter("id > first").select("row", "chunk", "start", "end")
+    # Chunks that follow one another have the same difference to their rank.
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("chunk"))
+    runs = later.withColumn("run", F.col("chunk") - rank).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.filter(F.col("end") - F.col("start") >= least_bytes).select("row", "start", "end")
+
+
+def _per_row(passages: DataFrame) -> DataFrame:
+    return passages.groupBy(F.col("row").alias("own_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Per document: its bytes, the repeated passages that an earlier document holds, their bytes and spans."""
+    numbered = stage(_numbered(docs.select("doc_id", "text")), "numbered", "zstd")
+    found = _per_row(later_passages(numbered, least_bytes))
+    rows = numbered.select("row", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    met = rows.join(found, rows["row"] == found["own_row"], "left")
+    removable = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s["end"] - s["start"])
+    named = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return met.select(
+        "doc_id",
+        "n_bytes",
+        F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_passages"),
+        F.coalesce(removable, F.lit(0)).alias("removable_bytes"),
+        F.coalesce(named, F.lit("")).alias("spans"),
     )
-    return per_row.drop("row")
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The parts of a text, as bytes, between its spans."""
+    data = text.cast("binary")
+    edges = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), spans)
+    until = lambda i: F.coalesce(F.try_element_at(spans, i + 1)["start"], F.octet_length(text))
+    kept = F.transform(edges, lambda s, i: F.substring(data, s["end"] + 1, until(i) - s["end"]))
+    return F.make_valid_utf8(F.aggregate(kept, F.lit(b""), lambda a, b: F.concat(a, b)).cast("string"))
+
+
+def remove_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The documents, each text without the passages that documents with smaller ids hold.
+
+    Where a cut splits a character, its remaining bytes become replacement characters.
+    """
+    whole = docs.select(F.struct("*").alias("doc"), "doc_id", "text")
+    numbered = stage(_numbered(whole), "numbered", "zstd")
+    found = _per_row(later_passages(numbered.select("row", "id", "text"), least_bytes))
+    met = numbered.join(found, numbered["row"] == found["own_row"], "left")
+    text = F.when(F.col("spans").isNull(), F.col("doc.text")).otherwise(_without(F.col("doc.text"), F.col("spans")))
+    return met.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])

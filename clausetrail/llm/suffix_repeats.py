@@ -482,5 +482,5 @@ def remove_repeats(docs: DataFrame, **limits: int) -> DataFrame:
     """
     texts = Texts(docs, **limits)
     kept = texts.table().join(_results(texts, False).select("block", "row", "n_removed", "kept"), ["block", "row"])
-    text = F.when(F.col("n_removed") > 0, F.decode("kept", "UTF-8")).otherwise(F.col("doc.text"))
+    text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept").cast("string"))).otherwise(F.col("doc.text"))
     return kept.select(*[text.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 import test_decontaminate
 import test_mixing
+import test_near_copies
 import test_quality
-import test_simhash
 
 import corpus_pipeline
 from clausetrail.llm import quality
@@ -43,8 +43,7 @@ def test_stages(spark, tmp_path):
     kept = sorted(i for i, s in zip(stats, scores) if s >= 0.3)
     assert sorted(r.doc_id for r in results[0].collect()) == kept
 
-    names = test_simhash.groups([test_simhash.fingerprint(text[i]) for i in kept])
-    kept = [kept[i] for i in sorted(set(names.values()))]
+    kept = sorted(test_near_copies.first_ids([(i, text[i]) for i in kept]))
     assert sorted(r.doc_id for r in results[1].collect()) == kept
 
     items = [(r.item_id, r.text) for r in read(spark, SMALL, "benchmark").collect()]

@@ -98,6 +98,48 @@ def test_field_finds_what_patterns_miss(spark):
     assert hit >= 0.8 * clean * 0.9
 
 
+FORMS = ["auth: {}", "bearer {}", "use {} to sign in", 'key id "{}"', "export CREDENTIAL={}", "login {} now", "pass phrase '{}'"]
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def planted(spark, field):
+    """Share of planted secrets found, without a word the patterns know beside them, and of other texts left alone."""
+    pick = random.Random(11)
+    hit = total = wrong = clean = 0
+    for row in read(spark, LARGE, "documents").filter("doc_id % 7 = 0").collect():
+        words = row.text.split(" ")
+        if secrets.base_spans(row.text.encode())[0] or len(words) < 8:
+            continue
+        clean += 1
+        wrong += len(secrets.spans_of(row.text.encode(), field)) > 0
+        value = "".join(pick.choice(LETTERS) for _ in range(pick.randint(16, 40)))
+        at = pick.randrange(len(words))
+        text = " ".join([*words[:at], FORMS[total % len(FORMS)].format(value), *words[at:]])
+        start = text.encode().index(value.encode())
+        total += 1
+        hit += any(k == 3 and a < start + len(value) and start < b for a, k, b in secrets.spans_of(text.encode(), field))
+    return hit / total, 1 - wrong / clean
+
+
+def test_secrets_without_known_words_are_found(spark):
+    """Fitted on documents whose id 7 doesn't divide, judged on the others."""
+    recall, left_alone = planted(spark, secrets.fit(read(spark, LARGE, "documents").filter("doc_id % 7 <> 0")))
+    print(f"recall {recall:.3f}, left alone {left_alone:.3f}")
+    assert recall >= 0.8 and left_alone >= 0.95
+
+
+def test_rare_labels_are_found_for_the_fit(spark):
+    """50 of 9 000 documents hold a base span; a row that stands there often counts once; all with one id."""
+    rows = [(5, messy.words(i, 12) + (f" token = 'Zk{i}xQ9fL2mQ8vR4' end" if i % 180 == 0 else "")) for i in range(9000)]
+    rows += [(5, "the same row again and again")] * 2000
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    field = secrets.fit(frame, sample_docs=300)
+    assert field is not None
+    assert secrets.fit(frame.filter("text NOT LIKE '%token%'")) is None
+    spans = secrets.spans_of(b"abcde bbcda is Zk77xQ9fL2mQ8vR4 cad", field)
+    assert spans and spans[0][1] == 3
+
+
 def test_decoding_is_exact(spark):
     """The best path by full enumeration, and the short cut for texts without candidates."""
     import itertools
