@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from clausetrail import rules as R
 from clausetrail.functions.patterns import BLANKS, fold_blanks, holds_any, java_pattern, let, trim_blanks
@@ -112,68 +107,24 @@ def block_title(block: Column) -> Column:
     )
 
 
-@lru_cache(maxsize=1)
-def _compatibility_letters() -> tuple[str, str]:
-    """One-to-one compatibility forms (full-width letters and the like) of the characters tokens keep."""
-    source, target = [], []
-    for code in range(0x80, 0x1_0000):
-        char = chr(code)
-        plain = unicodedata.normalize("NFKC", char)
-        if plain != char and len(plain) == 1 and (plain.isascii() and plain.isalnum() or "가" <= plain <= "힣"):
-            source.append(char)
-            target.append(plain)
-    return "".join(source), "".join(target)
-
-
-# Hangul letters by rule: a syllable is lead, vowel and optional tail, in this order of code points.
-_LEADS = "".join(map(chr, range(0x1100, 0x1113)))
-_VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
-_TAILS = "".join(map(chr, range(0x11A8, 0x11C3)))
-_SYLLABLES = "".join(map(chr, range(0xAC00, 0xD7A4)))
-_LOOSE = rf"[{_LEADS[0]}-{_LEADS[-1]}][{_VOWELS[0]}-{_VOWELS[-1]}]|[가-힣][{_TAILS[0]}-{_TAILS[-1]}]"
-_PIECES = (
-    rf"[{_LEADS[0]}-{_LEADS[-1]}][{_VOWELS[0]}-{_VOWELS[-1]}][{_TAILS[0]}-{_TAILS[-1]}]?"
-    rf"|[가-힣][{_TAILS[0]}-{_TAILS[-1]}]|[^{_LEADS[0]}-{_LEADS[-1]}가-힣]+|[\s\S]"
-)
-
-
-def composed_hangul(text: Column) -> Column:
-    """Text with decomposed Hangul put together, as NFKC does; other text passes untouched."""
-
-    def at(letters: str, char: Column) -> Column:
-        return F.position(char, F.lit(letters))
-
-    def syllable(index: Column) -> Column:
-        return F.substring(F.lit(_SYLLABLES), index + 1, F.lit(1))
-
-    def whole(piece: Column) -> Column:
-        first, second, third = (F.substring(piece, i, 1) for i in (1, 2, 3))
-        tail = F.when(third != "", at(_TAILS, third)).otherwise(0)
-        lead_vowel = ((at(_LEADS, first) - 1) * len(_VOWELS) + at(_VOWELS, second) - 1) * (len(_TAILS) + 1) + tail
-        open_ = at(_SYLLABLES, first) - 1
-        closes = (F.char_length(piece) == 2) & piece.rlike(rf"^[가-힣][{_TAILS[0]}-{_TAILS[-1]}]") & (open_ % (len(_TAILS) + 1) == 0)
-        return (
-            F.when(piece.rlike(rf"^[{_LEADS[0]}-{_LEADS[-1]}][{_VOWELS[0]}-{_VOWELS[-1]}]"), syllable(lead_vowel))
-            .when(closes, syllable(open_ + at(_TAILS, second)))
-            .otherwise(piece)
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    return F.when(text.rlike(_LOOSE), F.array_join(F.transform(pieces, whole), "")).otherwise(text)
+# Spark's own collations bring this library; the method takes a text and whether compatibility forms are folded.
+_NORMALIZER = ("com.ibm.icu.text.Normalizer", "compose")
+# Below U+00A0 a text is as NFKC has it.
+_OTHER_LETTERS = r"[^\x00-\x9F]"
 
 
-@F.pandas_udf(StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Full NFKC, for sources that carry decomposed or many-letter forms (run it once at ingest)."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def nfkc(text: Column) -> Column:
+    """The text in NFKC; only rows with letters beyond ASCII are looked at."""
+    composed = F.java_method(F.lit(_NORMALIZER[0]), F.lit(_NORMALIZER[1]), text, F.lit(True))
+    return F.when(text.rlike(_OTHER_LETTERS), composed).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words of ASCII letters, digits and Hangul with single spaces.
+    """Lower-case words of ASCII letters, digits and Hangul with single spaces, of the text in NFKC.
 
-    Compatibility letters are folded and decomposed Hangul is put together, both in the JVM.
+    Ligatures, full-width and decomposed letters, and marks that join letters count as what they stand for.
     """
-    plain = F.translate(composed_hangul(F.coalesce(text, F.lit(""))), *_compatibility_letters())
+    plain = nfkc(F.coalesce(text, F.lit("")))
     spaced = F.regexp_replace(plain, "([a-z0-9])([A-Z])", "$1 $2")
     spaced = F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2")
     return F.btrim(F.regexp_replace(F.lower(spaced), "[^a-z0-9가-힣]+", " "))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clausetrail import rules as R
+from clausetrail.functions.idna import ascii_host
 from clausetrail.functions.patterns import any_of, let, matches, text_list, trim_blanks
 
 URL = r"(?i)^(https?)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:@\s]+)(?::(\d{1,5}))?(/[^?#]*)?(?:\?([^#]*))?(?:#(.*))?$"
@@ -34,14 +35,15 @@ def resolved_path(path: Column) -> Column:
 def parts(url: Column) -> Column:
     """(scheme, login, host, port, path, query, fragment) of an http(s) URL, or NULL.
 
-    IPv4 hosts come in their dotted form; a host that ends in a number and is no address makes no URL.
+    IPv4 hosts come in their dotted form, international names in ASCII; a host that ends in a number and is no
+    address makes no URL.
     """
     text = trim_blanks(url)
     scheme = F.lower(url_part(text, 1))
     port = url_part(text, 4)
     usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
     path = url_part(text, 5)
-    named = F.lower(url_part(text, 3))
+    named = ascii_host(url_part(text, 3))
     numeric = named.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$")
     host = F.when(numeric, ipv4_of(F.regexp_replace(named, r"\.$", ""))).otherwise(named)
     return F.when(

@@ -111,7 +111,7 @@ def cookie_risk(consent: DataFrame, storage: DataFrame, network: DataFrame, choi
     found = [r.select("tab_id", F.explode(F.transform("findings", lambda f: f["severity"])).alias("severity")) for r in (consent, storage, network)]
     every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(choices.select("tab_id", F.col("risk_level").alias("severity")))
     worst = every.groupBy("tab_id").agg(F.max(FN.severity_rank(F.col("severity"))).alias("worst"))
-    joined = consent.select("tab_id").join(worst, "tab_id", "left")
+    joined = network.select("tab_id").join(worst, "tab_id", "left")
     level = F.when(F.col("worst") == 3, "high").when(F.col("worst") == 2, "medium").otherwise("low")
     points = F.when(F.col("worst") == 3, 82).when(F.col("worst") == 2, 52).otherwise(18)
     return joined.select("tab_id", level.alias("level"), points.alias("score"))

@@ -9,6 +9,8 @@ from clausetrail import rules as R
 from clausetrail.functions import findings as FN
 from clausetrail.functions import urls as U
 from clausetrail.functions.patterns import first_match, let, matches, matches_any
+from clausetrail.operators.cookies import reconcile
+from clausetrail.operators.sequences import running_count, scanned
 from clausetrail.sources.schemas import CONSENT_PAYLOAD, TOGGLE
 
 TOGGLES = f"array<{TOGGLE.lower()}>"
@@ -266,13 +268,32 @@ def bucket(at: Column, observed_from: Column, boundary: Column, window_ms: int =
     )
 
 
-def request_timing(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """Tracker requests of each tab counted by bucket."""
-    tracked = requests.filter(U.is_tracker(F.col("host"), F.col("path"))).select("tab_id", "ts")
-    placed = tracked.join(lines, "tab_id").select(
-        "tab_id", bucket(F.col("ts"), F.col("observed_from"), F.col("boundary_at")).alias("bucket")
+def request_counts(requests: DataFrame, lines: DataFrame, times: DataFrame) -> DataFrame:
+    """All counts of requests that a tab's boundary and baseline give, in one pass over the requests.
+
+    ``lines``: the timeline; ``times``: (tab_id, created_at), one baseline per tab.  A tab may have either or both.
+    """
+    marks = lines.select("tab_id", "observed_from", "boundary_at", F.lit(True).alias("lined")).join(
+        times.select("tab_id", "created_at"), "tab_id", "full"
     )
-    return placed.groupBy("tab_id").agg(*[F.count_if(F.col("bucket") == b).alias(f"requests_{b}") for b in BUCKETS])
+    tracks = U.is_tracker(F.col("host"), F.col("path"))
+    writes = F.col("method").isin("POST", "PUT", "PATCH") & (F.col("host") != "")
+    seen = requests.select("tab_id", "ts", writes.alias("writes"), tracks.alias("tracks")).join(marks, "tab_id")
+    seen = seen.withColumn("bucket", F.when(F.col("tracks") & F.col("lined"), bucket(F.col("ts"), F.col("observed_from"), F.col("boundary_at"))))
+    later = F.col("ts") > F.col("created_at")
+    return seen.groupBy("tab_id").agg(
+        F.count("*").alias("requests"),
+        F.count_if(F.col("ts") <= F.col("created_at")).alias("requests_until"),
+        F.count_if(later & F.col("tracks")).alias("tracking_requests"),
+        F.count_if(later & F.col("writes")).alias("new_writes"),
+        F.count("bucket").alias("tracked"),
+        *[F.count_if(F.col("bucket") == b).alias(f"requests_{b}") for b in BUCKETS],
+    )
+
+
+def request_timing(counts: DataFrame) -> DataFrame:
+    """Tracker requests of each tab counted by bucket, from ``request_counts``."""
+    return counts.filter("tracked > 0").select("tab_id", *[f"requests_{b}" for b in BUCKETS])
 
 
 def cookie_evidence(cookies: DataFrame) -> DataFrame:
@@ -379,28 +400,25 @@ def finding_rows(result: DataFrame, *ids: str) -> DataFrame:
 # -- after a saved baseline -------------------------------------------------------------
 
 
-def delta(baselines: DataFrame, requests: DataFrame, cookies: DataFrame) -> DataFrame:
-    """What came after the latest baseline of each tab.  ``baselines``: (tab_id, created_at, request_count, cookie_count)."""
-    latest = baselines.groupBy("tab_id").agg(F.max_by(F.struct("created_at", "request_count", "cookie_count"), "created_at").alias("b")).select("tab_id", "b.*")
-    writes = F.col("method").isin("POST", "PUT", "PATCH") & (F.col("host") != "")
-    later = F.col("ts") > F.col("created_at")
-    cut = latest.select("tab_id", "created_at")
-    seen = requests.select("tab_id", "ts", writes.alias("writes"), U.is_tracker(F.col("host"), F.col("path")).alias("tracks")).join(cut, "tab_id")
-    by_requests = seen.groupBy("tab_id").agg(
-        F.count("*").alias("requests"),
-        F.count_if(later & F.col("tracks")).alias("tracking_requests"),
-        F.count_if(later & F.col("writes")).alias("new_writes"),
-    )
+def delta(baselines: DataFrame, counts: DataFrame, cookies: DataFrame) -> DataFrame:
+    """What came after the baseline of each tab.
+
+    ``baselines``: (tab_id, created_at, request_count, cookie_count), one per tab (``latest_baselines``); ``counts``:
+    ``request_counts`` with these baselines.
+    """
+    cut = baselines.select("tab_id", "created_at")
     jar = cookies.select(
         "tab_id",
         F.col("removed"),
         F.when(F.col("observed"), F.col("last_set_at")).alias("ts"),
         U.tracking_cookie(F.col("name")).alias("tracks"),
     ).join(cut, "tab_id")
+    later = F.col("ts") > F.col("created_at")
     by_cookies = jar.groupBy("tab_id").agg(
         F.count_if(~F.col("removed")).alias("live_cookies"), F.count_if(later & F.col("tracks")).alias("tracking_cookies")
     )
-    joined = latest.join(by_requests, "tab_id", "left").join(by_cookies, "tab_id", "left")
+    by_requests = counts.select("tab_id", "requests", "tracking_requests", "new_writes")
+    joined = baselines.join(by_requests, "tab_id", "left").join(by_cookies, "tab_id", "left")
     joined = joined.fillna(0, ["requests", "tracking_requests", "new_writes", "live_cookies", "tracking_cookies"])
     found = FN.findings(
         FN.finding((F.col("tracking_requests") > 0) | (F.col("tracking_cookies") > 0), "tracking_after_snapshot", "high"),
@@ -416,16 +434,32 @@ def delta(baselines: DataFrame, requests: DataFrame, cookies: DataFrame) -> Data
     )
 
 
-def baselines_at(times: DataFrame, requests: DataFrame, cookies: DataFrame) -> DataFrame:
+def latest_baselines(baselines: DataFrame) -> DataFrame:
+    """The newest baseline of each tab."""
+    newest = F.max_by(F.struct("created_at", "request_count", "cookie_count"), "created_at").alias("b")
+    return baselines.groupBy("tab_id").agg(newest).select("tab_id", "b.*")
+
+
+def baselines_at(times: DataFrame, counts: DataFrame, cookies: DataFrame) -> DataFrame:
     """Counts when a baseline was saved: requests and live cookies up to that moment.
 
-    ``times``: (tab_id, created_at), one baseline per tab.  Cookie changes before the moment are reconciled as of it.
+    ``times``: (tab_id, created_at), one baseline per tab; ``counts``: ``request_counts`` with these.  Cookie changes
+    before the moment are reconciled as of it.
     """
-    from clausetrail.operators.cookies import reconcile
-
     before = F.col("ts") <= F.col("created_at")
-    asked = requests.join(times, "tab_id").groupBy("tab_id").agg(F.count_if(before).alias("request_count"))
+    asked = counts.select("tab_id", F.col("requests_until").alias("request_count"))
     state = reconcile(cookies.join(times, "tab_id").filter(before).drop("created_at"), cap=None)
     live = state.filter(~F.col("removed")).groupBy("tab_id").agg(F.count("*").alias("cookie_count"))
     joined = times.join(asked, "tab_id", "left").join(live, "tab_id", "left")
     return joined.fillna(0, ["request_count", "cookie_count"])
+
+
+def request_counts_at(times: DataFrame, requests: DataFrame) -> DataFrame:
+    """``times`` (tab_id, created_at), any number per tab, with the requests of the tab up to each.
+
+    Moments and requests are one ordered scan, so no request meets every moment of its tab.
+    """
+    marks = times.select("tab_id", F.col("created_at").alias("ts"), F.lit((1 << 63) - 1).alias("request_id"), F.lit(True).alias("mark"))
+    events = requests.select("tab_id", "ts", "request_id", F.lit(False).alias("mark")).unionByName(marks)
+    counted = scanned(events, "tab_id", "ts", "request_id", running_count(~F.col("mark"), "request_count"))[0]
+    return counted.filter("mark").select("tab_id", F.col("ts").alias("created_at"), "request_count")

@@ -49,23 +49,27 @@ def coalesce_changes(changes: DataFrame, width: str = f"{R.COOKIE_BATCH_MS} mill
     )
 
 
+def newest_of_domain(changes: DataFrame, per_domain: int, batch: str) -> DataFrame:
+    """The newest ``per_domain`` changes of every batch and ``queue_domain``, with their ``turn`` from 1."""
+    newest = Window.partitionBy(batch, "queue_domain").orderBy(F.desc("ts"), F.desc("change_id"))
+    return changes.withColumn("turn", F.row_number().over(newest)).filter(F.col("turn") <= per_domain)
+
+
 def fair_queue(changes: DataFrame, per_domain: int = R.QUEUE_PER_DOMAIN, total: int = R.QUEUE_TOTAL, batch: str = "batch_start") -> DataFrame:
     """Bounded share of each batch: the newest of every domain, then domains in turn until the batch is full."""
-    newest = Window.partitionBy(batch, "queue_domain").orderBy(F.desc("ts"), F.desc("change_id"))
     turns = Window.partitionBy(batch).orderBy("turn", F.desc("ts"), F.desc("change_id"))
-    shared = changes.withColumn("queue_domain", bare_domain(F.col("domain"))).withColumn("turn", F.row_number().over(newest))
-    kept = shared.filter(F.col("turn") <= per_domain).withColumn("place", F.row_number().over(turns))
-    return kept.filter(F.col("place") <= total).drop("queue_domain")
+    shared = newest_of_domain(changes.withColumn("queue_domain", bare_domain(F.col("domain"))), per_domain, batch)
+    return shared.withColumn("place", F.row_number().over(turns)).filter(F.col("place") <= total).drop("queue_domain")
 
 
-def reconcile(changes: DataFrame, cap: int | None = None) -> DataFrame:
-    """Current cookies and safe tombstones per tab; the first ``cap`` of a tab where one is given.
+def fold_changes(changes: DataFrame) -> DataFrame:
+    """One row per tab and cookie: its last change, first and last set, last delete.
 
-    Set times count as evidence only for partitioned cookies.  A delete without earlier set evidence
-    removes the cookie; with evidence it leaves a tombstone.  The fold over changes is order-free
-    once written as smallest and largest (time, id), so it aggregates before the shuffle.
+    The fold over changes is order-free once written as smallest and largest (time, id), so it aggregates before
+    the shuffle, and states of parts of the changes merge.
     """
-    state = changes.groupBy("tab_id", "identity").agg(
+    return changes.groupBy("tab_id", "identity").agg(
+        F.max(F.struct("ts", "change_id")).alias("last_change"),
         F.max_by(
             F.struct("name", "domain", "secure", "same_site", "removed", "partition", "change_id"), F.struct("ts", "change_id")
         ).alias("last"),
@@ -73,6 +77,25 @@ def reconcile(changes: DataFrame, cap: int | None = None) -> DataFrame:
         F.max(_at(~F.col("removed"))).alias("last_set"),
         F.max(_at(F.col("removed"))).alias("last_delete"),
     )
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of the same cookie, folded from parts of its changes, as one."""
+    return states.groupBy("tab_id", "identity").agg(
+        F.max("last_change").alias("last_change"),
+        F.max_by("last", "last_change").alias("last"),
+        F.min("first_set").alias("first_set"),
+        F.max("last_set").alias("last_set"),
+        F.max("last_delete").alias("last_delete"),
+    )
+
+
+def current_cookies(state: DataFrame, cap: int | None = None) -> DataFrame:
+    """Current cookies and safe tombstones of folded changes; the first ``cap`` of a tab where one is given.
+
+    Set times count as evidence only for partitioned cookies.  A delete without earlier set evidence
+    removes the cookie; with evidence it leaves a tombstone.
+    """
     observed = (F.col("last.partition") != "") & F.col("first_set").isNotNull()
     live = ~F.col("last.removed")
     current = state.filter(live | observed).select(
@@ -91,50 +114,78 @@ def reconcile(changes: DataFrame, cap: int | None = None) -> DataFrame:
     return current.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= cap).drop("place")
 
 
+def reconcile(changes: DataFrame, cap: int | None = None) -> DataFrame:
+    """Current cookies and safe tombstones per tab (``fold_changes``, then ``current_cookies``)."""
+    return current_cookies(fold_changes(changes), cap)
+
+
 def _alone(tabs: DataFrame, *key: str) -> DataFrame:
     """Tabs per key and, where it is one, that tab."""
     return tabs.groupBy(*key).agg(F.count("*").alias("n"), F.min("tab_id").alias("tab_id"))
 
 
-def attribute(changes: DataFrame, tabs: DataFrame) -> DataFrame:
-    """(change_id, tab_id) for every tab a change surely belongs to.
+def _open_tabs(tabs: DataFrame) -> DataFrame:
+    """tab_id, scheme and host of every tab whose address has a host."""
+    own = tabs.select("tab_id", let(U.parts(F.col("url")), lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"))).alias("p"))
+    return own.select("tab_id", "p.scheme", "p.host").filter(F.col("host") != "")
 
-    A partitioned cookie belongs to tabs of its partition site, others to tabs whose host the cookie
-    domain covers.  A set that fits several tabs is ambiguous and dropped; deletes may go to all.
-    Matching is by equality on host parents.  ``tabs``: (tab_id, url), one row per tab.
 
-    Sets only need to know whether a site has one tab, so tabs are counted per site first and a set meets
-    one count: no row per set and tab.  Only deletes are given one row per tab, which is their result.
-    """
-    own = tabs.select("tab_id", let(U.parts(F.col("url")), lambda p: F.struct(p["scheme"].alias("scheme"), p["host"].alias("host"))).alias("p"))
-    own = own.select("tab_id", "p.scheme", "p.host").filter(F.col("host") != "")
-    below = own.select("tab_id", "scheme", F.explode(U.host_suffixes(F.col("host"))).alias("parent"))
+def _below(own: DataFrame) -> DataFrame:
+    """Tabs by each parent of their host, with their scheme and with none."""
+    parents = own.select("tab_id", "scheme", F.explode(U.host_suffixes(F.col("host"))).alias("place"))
+    return parents.unionByName(parents.withColumn("scheme", F.lit("")))
+
+
+def _above(keys: DataFrame) -> DataFrame:
+    """Partition sites with each host above them."""
+    suffixes = U.host_suffixes(F.col("place"))
+    return keys.filter("scheme <> ''").withColumn("host", F.explode(F.slice(suffixes, 2, F.size(suffixes))))
+
+
+def site_key(scheme: Column, place: Column) -> Column:
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), place)).otherwise(place)
+
+
+def _places(changes: DataFrame) -> DataFrame:
+    """change_id, removed, and the scheme (if partitioned) and host that tell which tabs a change fits."""
     site = U.parts(F.col("partition"))
     partitioned = F.col("partition") != ""
-    keyed = changes.select(
+    return changes.select(
         "change_id",
         "removed",
         F.when(partitioned, site["scheme"]).otherwise("").alias("scheme"),
         F.when(partitioned, site["host"]).otherwise(bare_domain(F.col("domain"))).alias("place"),
     )
 
-    def above(keys: DataFrame) -> DataFrame:
-        """Keys with each host above their site."""
-        suffixes = U.host_suffixes(F.col("place"))
-        return keys.filter("scheme <> ''").withColumn("host", F.explode(F.slice(suffixes, 2, F.size(suffixes))))
-
-    keys = keyed.filter(~F.col("removed")).select("scheme", "place").distinct()
-    any_scheme = below.withColumn("scheme", F.lit(""))
-    covered = _alone(below.unionByName(any_scheme), "scheme", "parent").withColumnRenamed("parent", "place")
-    exact = _alone(own, "scheme", "host")
-    counted = keys.join(covered, ["scheme", "place"]).unionByName(
-        above(keys).join(exact, ["scheme", "host"]).select("scheme", "place", "n", "tab_id")
+
+def attribute(changes: DataFrame, tabs: DataFrame) -> DataFrame:
+    """(change_id, tab_id, site): one row for every change that surely belongs to some tab.
+
+    A partitioned cookie belongs to tabs of its partition site, others to tabs whose host the cookie
+    domain covers.  A set that fits several tabs is ambiguous and dropped; one that fits a single tab is given that
+    tab.  A delete may go to all tabs of its site, so it is given the site, and ``site_tabs`` lists the tabs of
+    each site apart: no row per delete and tab.  Matching is by equality on host parents.  ``tabs``: (tab_id, url), one
+    row per tab.
+
+    Tabs are counted per distinct site; a change meets one count.
+    """
+    own, keyed = _open_tabs(tabs), _places(changes)
+    keys = keyed.select("scheme", "place").distinct()
+    below = keys.join(_alone(_below(own), "scheme", "place"), ["scheme", "place"])
+    above = _above(keys).join(_alone(own, "scheme", "host"), ["scheme", "host"]).select("scheme", "place", "n", "tab_id")
+    fits = below.unionByName(above).groupBy("scheme", "place").agg(F.sum("n").alias("n"), F.min("tab_id").alias("tab_id"))
+    met = keyed.join(fits, ["scheme", "place"]).filter(F.col("removed") | (F.col("n") == 1))
+    return met.select(
+        "change_id",
+        F.when(~F.col("removed"), F.col("tab_id")).alias("tab_id"),
+        F.when(F.col("removed"), site_key(F.col("scheme"), F.col("place"))).alias("site"),
     )
-    single = counted.groupBy("scheme", "place").agg(F.sum("n").alias("n"), F.min("tab_id").alias("tab_id")).filter("n = 1")
-    sets = keyed.filter(~F.col("removed")).join(single, ["scheme", "place"])
-
-    gone = keyed.filter("removed")
-    below_site = gone.join(below.unionByName(any_scheme).withColumnRenamed("parent", "place"), ["scheme", "place"])
-    above_site = above(gone).join(own, ["scheme", "host"])
-    found = [df.select("change_id", "tab_id") for df in (sets, below_site, above_site)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def site_tabs(changes: DataFrame, tabs: DataFrame) -> DataFrame:
+    """(site, tab_id): the tabs of every site that has deletes."""
+    own = _open_tabs(tabs)
+    keys = _places(changes).filter("removed").select("scheme", "place").distinct()
+    below = keys.join(_below(own), ["scheme", "place"]).select("scheme", "place", "tab_id")
+    above = _above(keys).join(own, ["scheme", "host"]).select("scheme", "place", "tab_id")
+    return below.unionByName(above).select(site_key(F.col("scheme"), F.col("place")).alias("site"), "tab_id")

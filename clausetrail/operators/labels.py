@@ -61,7 +61,8 @@ def with_label(df: DataFrame, labels: DataFrame, path: Column, locale: str, name
     """
     wanted = labels.filter(F.col("locale").isin(locale, FALLBACK_LOCALE))
     chosen = wanted.groupBy("path").agg(F.max_by("label", F.col("locale") == locale).alias(name))
-    joined = df.withColumn("_path", path).join(F.broadcast(chosen), F.col("_path") == F.col("path"), "left")
+    # A user may add rows, so the join is left to the optimizer.
+    joined = df.withColumn("_path", path).join(chosen, F.col("_path") == F.col("path"), "left")
     return joined.withColumn(name, F.coalesce(name, "_path")).drop("_path", "path")
 
 

@@ -83,7 +83,7 @@ def tab_hosts(requests: DataFrame, pages: DataFrame, host_facts: DataFrame, rule
     seen = host_paths(requests)
     vendors = V.classify(seen, rules)
     facts = H.with_host_facts(seen, host_facts).join(vendors, ["host", "path"])
-    tracks = F.col("tracker_domain") | U.tracker_tokens(F.col("host"), F.col("path"))
+    tracks = F.col("tracker_domain") | U.tracker_tokens(H.without_dots(F.col("host")), F.col("path"))
     unknown = F.col("vendor.vendor") == R.UNKNOWN_VENDOR[0]
     rows = facts.groupBy("tab_id", "host").agg(
         F.sum("n").alias("n"),
@@ -95,7 +95,7 @@ def tab_hosts(requests: DataFrame, pages: DataFrame, host_facts: DataFrame, rule
         F.min("first_insecure").alias("first_insecure"),
         F.min_by(F.struct("vendor", "first", "path"), F.struct(unknown, F.col("first"))).alias("preferred"),
     )
-    bare = F.regexp_replace("host", r"^www\.", "")
+    bare = F.regexp_replace(H.without_dots(F.col("host")), r"^www\.", "")
     # The vendor a policy may name is told from the host alone.
     by_host = V.classify(rows.select(bare.alias("host"), F.lit("/").alias("path")), rules)
     by_host = by_host.select(F.col("host").alias("bare_host"), F.col("vendor.vendor").alias("host_vendor"))
@@ -161,11 +161,26 @@ def classified_keys(keys: DataFrame, *order: str) -> DataFrame:
     return grouped.withColumn("keys", F.transform("keys", lambda k: k["key"]))
 
 
-def _hosts_where(when: Column, first: Column, limit: int | None = None) -> Column:
-    """Hosts of a tab that meet a condition, in order of first sight."""
+def _hosts_where(when: Column, first: Column) -> Column:
+    """All hosts of a tab that meet a condition, in order of first sight."""
     picked = F.array_sort(F.collect_list(F.when(when, F.struct(first.alias("first"), F.col("host").alias("host")))))
-    names = F.transform(picked, lambda h: h["host"])
-    return F.slice(names, 1, limit) if limit else names
+    return F.transform(picked, lambda h: h["host"])
+
+
+def first_hosts(hosts: DataFrame, lists: dict[str, tuple[Column, Column, int]]) -> DataFrame:
+    """tab_id and, for each list (condition, order, limit), its first hosts; ranked before anything is gathered."""
+    most = max(limit for _, _, limit in lists.values())
+    entries = [F.when(when, F.struct(F.lit(name).alias("list"), F.lit(limit).alias("limit"), first.alias("first"))) for name, (when, first, limit) in lists.items()]
+    rows = hosts.select("tab_id", "host", F.inline(F.array_compact(F.array(*entries))))
+    place = F.row_number().over(Window.partitionBy("tab_id", "list").orderBy("first", "host"))
+    # A fixed bound first, which Spark applies ahead of the shuffle.
+    kept = rows.withColumn("place", place).filter(F.col("place") <= most).filter(F.col("place") <= F.col("limit"))
+
+    def own(name: str) -> Column:
+        placed = F.array_sort(F.collect_list(F.when(F.col("list") == name, F.struct("place", "host"))))
+        return F.transform(placed, lambda h: h["host"]).alias(name)
+
+    return kept.groupBy("tab_id").agg(*[own(name) for name in lists])
 
 
 def analyze(requests: DataFrame, pages: DataFrame, hosts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -177,20 +192,26 @@ def analyze(requests: DataFrame, pages: DataFrame, hosts: DataFrame, keys: DataF
         F.sum("n").alias("request_count"),
         _hosts_where(F.col("third_party"), F.col("first")).alias("third_party_hosts"),
         _hosts_where(F.col("first_tracked").isNotNull(), F.col("first_tracked")).alias("tracker_hosts"),
-        _hosts_where(F.col("third_party") & ~F.col("disclosed"), F.col("first"), 8).alias("undisclosed"),
-        _hosts_where(F.col("third_party") & F.col("first_write").isNotNull(), F.col("first_write"), 8).alias("posted"),
-        _hosts_where(F.col("first_insecure").isNotNull(), F.col("first_insecure"), 6).alias("insecure"),
-        _hosts_where(gap, F.col("first"), 6).alias("gaps"),
         F.bool_or(gap & serious).alias("serious_gap"),
         F.array_sort(F.collect_list(F.when(F.col("third_party"), F.struct(F.col("first").alias("first"), vendor.alias("v"))))).alias("vendors"),
     )
+    limited = first_hosts(
+        hosts,
+        {
+            "undisclosed": (F.col("third_party") & ~F.col("disclosed"), F.col("first"), 8),
+            "posted": (F.col("third_party") & F.col("first_write").isNotNull(), F.col("first_write"), 8),
+            "insecure": (F.col("first_insecure").isNotNull(), F.col("first_insecure"), 6),
+            "gaps": (gap, F.col("first"), 6),
+            "trackers": (F.col("first_tracked").isNotNull(), F.col("first_tracked"), 8),
+        },
+    )
     per_key = keys.groupBy("tab_id").agg(
         F.array_sort(F.collect_list(F.struct("cat_ord", "category", "keys"))).alias("sensitive_fields")
     )
     facts = pages.select("tab_id", "found_sections", "disclosed", "mentions_advertising")
-    joined = facts.join(per_tab, "tab_id", "left").join(per_key, "tab_id", "left")
+    joined = facts.join(per_tab, "tab_id", "left").join(limited, "tab_id", "left").join(per_key, "tab_id", "left")
     none = F.array().cast("array<string>")
-    for name in ("third_party_hosts", "tracker_hosts", "undisclosed", "posted", "insecure", "gaps"):
+    for name in ("third_party_hosts", "tracker_hosts", "undisclosed", "posted", "insecure", "gaps", "trackers"):
         joined = joined.withColumn(name, F.coalesce(name, none))
     fields = F.coalesce("sensitive_fields", F.array().cast("array<struct<cat_ord:int,category:string,keys:array<string>>>"))
     joined = joined.withColumn("sensitive_fields", fields)
@@ -199,7 +220,7 @@ def analyze(requests: DataFrame, pages: DataFrame, hosts: DataFrame, keys: DataF
     found = FN.findings(
         FN.finding(F.size("undisclosed") > 0, "undisclosed_third_parties", "high", F.col("undisclosed")),
         FN.finding(F.size("gaps") > 0, "vendor_policy_section_gap", F.when(F.col("serious_gap"), "high").otherwise("medium"), F.col("gaps")),
-        FN.finding((F.size("tracker_hosts") > 0) & quiet, "tracker_without_disclosure", "high", F.slice("tracker_hosts", 1, 8)),
+        FN.finding((F.size("tracker_hosts") > 0) & quiet, "tracker_without_disclosure", "high", F.col("trackers")),
         FN.finding(
             F.size(hidden_fields) > 0, "sensitive_fields_without_category", "medium", F.transform(hidden_fields, lambda f: f["category"])
         ),

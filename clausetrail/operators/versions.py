@@ -77,7 +77,7 @@ def high_impact(change: Column) -> Column:
 def compare(versions: DataFrame) -> DataFrame:
     """Each version against the one before it of the same URL; first versions are not listed."""
     held = F.struct("captured_at", "text_hash", "sections", "risk_ids")
-    pairs = with_previous(versions, "url_key", "captured_at", "version", held, width=30 * 86_400)
+    pairs = with_previous(versions, "url_key", "captured_at", "version", held)
     pairs = pairs.filter(F.col("previous").isNotNull())
     step = (
         pairs.withColumn("section_changes", section_changes(F.col("previous.sections"), F.col("sections")))

@@ -174,11 +174,11 @@ LEFT JOIN (SELECT r.tab_id, count(*) AS n, count(k.code) AS known, count(*) FILT
 SELECT tab_id, source, overseas_status FROM o_overseas
 
 -- name: o_observed
-SELECT s.tab_id, n.third_party_hosts > 0 OR coalesce(k.third, 0) > 0 AS has_third_party, n.tracker_hosts > 0 OR x.r_observed > 0 OR x.c_observed > 0 AS has_tracking,
+SELECT s.tab_id, n.third_party_hosts > 0 OR coalesce(k.third, 0) > 0 AS has_third_party, n.tracker_hosts > 0 OR coalesce(x.r_observed, 0) > 0 OR coalesce(x.c_observed, 0) > 0 AS has_tracking,
   EXISTS (SELECT 1 FROM o_form_rows f WHERE f.tab_id = s.tab_id AND f.category IN ('payment', 'location')) OR EXISTS (SELECT 1 FROM o_storage_rows f WHERE f.tab_id = s.tab_id AND f.category IN ('payment', 'location')) AS has_sensitive,
   o.overseas_status = 'detected' AS has_overseas, o.overseas_status, EXISTS (SELECT 1 FROM o_form_rows f WHERE f.tab_id = s.tab_id) AS has_form_data,
-  EXISTS (SELECT 1 FROM fx_storage_keys f WHERE f.tab_id = s.tab_id) OR coalesce(k.n, 0) > 0 AS has_storage, EXISTS (SELECT 1 FROM o_storage_rows f WHERE f.tab_id = s.tab_id AND f.category = 'account') AS has_auth_storage, n.tracker_hosts > 0 OR x.r_observed > 0 AS has_profiling
-FROM fx_sites s JOIN o_network n USING (tab_id) JOIN o_consent x USING (tab_id) JOIN o_overseas o USING (tab_id) LEFT JOIN (SELECT tab_id, count(*) AS n, count(*) FILTER (WHERE third_party) AS third FROM o_cookie_flags GROUP BY tab_id) k USING (tab_id)
+  EXISTS (SELECT 1 FROM fx_storage_keys f WHERE f.tab_id = s.tab_id) OR coalesce(k.n, 0) > 0 AS has_storage, EXISTS (SELECT 1 FROM o_storage_rows f WHERE f.tab_id = s.tab_id AND f.category = 'account') AS has_auth_storage, n.tracker_hosts > 0 OR coalesce(x.r_observed, 0) > 0 AS has_profiling
+FROM fx_sites s JOIN o_network n USING (tab_id) LEFT JOIN o_consent x USING (tab_id) JOIN o_overseas o USING (tab_id) LEFT JOIN (SELECT tab_id, count(*) AS n, count(*) FILTER (WHERE third_party) AS third FROM o_cookie_flags GROUP BY tab_id) k USING (tab_id)
 
 -- name: obs_1_observed_signals
 SELECT * FROM o_observed
@@ -241,7 +241,13 @@ SELECT tab_id, applicable, aligned, score, CASE WHEN score >= 80 THEN 'high' WHE
 SELECT s.tab_id, CASE m.worst WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS level, CAST(CASE m.worst WHEN 3 THEN 82 WHEN 2 THEN 52 ELSE 18 END AS BIGINT) AS score
 FROM fx_sites s LEFT JOIN (SELECT tab_id, max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS worst FROM (SELECT tab_id, severity FROM o_net_findings UNION ALL SELECT tab_id, severity FROM o_storage_findings UNION ALL SELECT tab_id, severity FROM o_consent_findings UNION ALL SELECT tab_id, risk_level FROM o_choice_risks) GROUP BY tab_id) m USING (tab_id)
 
--- name: rep_1_site_reports
+-- name: o_report
 SELECT s.tab_id, s.page_url AS url, l.level AS policy_level, n.request_count AS requests, (SELECT count(*) FROM o_fields f WHERE f.tab_id = s.tab_id) AS fields, (SELECT count(*) FROM o_cookies c WHERE c.tab_id = s.tab_id AND NOT c.removed) AS cookies,
   b.detected::INT::BIGINT AS banners, d.request_delta, j.code AS jurisdiction, a.score AS alignment
-FROM fx_sites s LEFT JOIN o_levels l USING (doc_id) JOIN o_network n USING (tab_id) JOIN o_banner b USING (tab_id) JOIN o_delta d USING (tab_id) JOIN o_jurisdiction j USING (tab_id) JOIN o_alignment a USING (tab_id)
+FROM fx_sites s LEFT JOIN o_levels l USING (doc_id) JOIN o_network n USING (tab_id) LEFT JOIN o_banner b USING (tab_id) LEFT JOIN o_delta d USING (tab_id) JOIN o_jurisdiction j USING (tab_id) JOIN o_alignment a USING (tab_id)
+
+-- name: rep_1_site_reports
+SELECT * FROM o_report
+
+-- name: snk_1_report_fields
+SELECT * FROM o_report

@@ -7,10 +7,10 @@ from functools import lru_cache
 from pathlib import Path
 
 from clausetrail import rules as R
-from clausetrail.operators.hosts import COMMON_SUFFIXES
 from clausetrail.operators.labels import LABELS
 from clausetrail.sources.documents import ERROR_WORDS
 from clausetrail.sources.sample_views import VIEWS
+from clausetrail.sources.suffixes import default_rules
 
 HERE = Path(__file__).parent
 
@@ -85,7 +85,8 @@ def constants() -> dict[str, str]:
     tests += [("http_status", [r"regexp_matches(lower(error_message), 'policy fetch failed:\s*\d{3}')"])]
     tests += [("network", [f"contains(lower(error_message), '{word}')" for word in ("fetch", "network")])]
     out["ERROR_CATEGORY"] = "CASE " + " ".join(f"WHEN {' OR '.join(t)} THEN {_text(c)}" for c, t in tests) + " ELSE 'unknown' END"
-    out["PUBLIC_SUFFIXES"] = _list(COMMON_SUFFIXES)
+    for kind in ("exact", "wildcard", "exception"):
+        out[f"SUFFIXES_{kind.upper()}"] = _list([s for s, k in default_rules() if k == kind] or [""])
     out["LABEL_ROWS"] = ", ".join(f"({_text(p)}, {_text(en)}, {_text(ko)})" for p, en, ko in LABELS)
     out["COUNTRY_ROWS"] = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in R.COUNTRY_TLDS.items())
     return out
@@ -130,7 +131,9 @@ def statement(name: str) -> str:
     for need in _needs(parts()[name]):
         if need not in order:
             visit(need)
-    ctes = ",\n".join(f"{n} AS (\n{_fill(parts()[n])}\n)" for n in order)
+    # Parts with long lists are worked out once, not put in wherever they are named.
+    kind = lambda n: "AS MATERIALIZED" if n in ("o_suffixes", "o_sites_of") else "AS"
+    ctes = ",\n".join(f"{n} {kind(n)} (\n{_fill(parts()[n])}\n)" for n in order)
     body = _fill(parts()[name])
     return f"WITH {ctes}\n{body}" if ctes else body
 

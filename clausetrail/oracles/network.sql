@@ -46,10 +46,17 @@ SELECT * FROM (VALUES ('_ga','_ga','_ga',true),('_ga_AB12CD','_ga___identifier__
 -- name: o_hosts
 SELECT host FROM fx_requests UNION SELECT page_host FROM fx_sites UNION SELECT ltrim(lower(domain), '.') FROM fx_cookie_changes UNION SELECT domain FROM o_domains
 
+-- name: o_suffixes
+SELECT unnest($SUFFIXES_EXACT) AS suffix, 'exact' AS kind UNION ALL SELECT unnest($SUFFIXES_WILDCARD), 'wildcard' UNION ALL SELECT unnest($SUFFIXES_EXCEPTION), 'exception'
+
+-- name: o_host_parents
+SELECT host, l, i, array_to_string(list_slice(l, i, len(l)), '.') AS suffix, len(l) - i + 1 AS size FROM (SELECT host, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT host, string_split(trim(lower(host), '.'), '.') AS l FROM o_hosts))
+
 -- name: o_sites_of
-SELECT host, CASE WHEN len(l) <= 1 OR d = 0 OR len(l) <= d THEN host ELSE array_to_string(list_slice(l, len(l) - d, len(l)), '.') END AS site
-FROM (SELECT host, l, coalesce(list_max(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_contains($PUBLIC_SUFFIXES, array_to_string(list_slice(l, i, len(l)), '.'))), lambda i: len(l) - i + 1)), 0) AS d
-  FROM (SELECT host, string_split(host, '.') AS l FROM o_hosts))
+SELECT host, CASE WHEN len(l) <= 1 OR d = 0 OR len(l) <= d THEN array_to_string(l, '.') ELSE array_to_string(list_slice(l, len(l) - d, len(l)), '.') END AS site
+FROM (SELECT host, l, CASE WHEN max(CASE WHEN kind = 'exception' THEN size END) IS NOT NULL THEN max(CASE WHEN kind = 'exception' THEN size END) - 1
+    ELSE coalesce(greatest(max(CASE WHEN kind = 'exact' THEN size END), max(CASE WHEN kind = 'wildcard' AND i > 1 THEN size + 1 END)), 0) END AS d
+  FROM o_host_parents LEFT JOIN o_suffixes USING (suffix) GROUP BY host, l)
 
 -- name: o_requests
 SELECT r.request_id, r.tab_id, r.ts, r.scheme, r.host, p.minimised AS path, r.scheme || '://' || r.host || p.minimised AS url, r.method, r.resource_type, r.path AS raw_path,
@@ -341,9 +348,12 @@ SELECT el_id, tab_id FROM fx_candidates WHERE length(text) < 3000 AND (len(list_
   AND (regexp_matches(lower(text), $RECORDED_reject_all) OR regexp_matches(lower(text), $RECORDED_accept_all) OR regexp_matches(lower(text), $RECORDED_save_preferences) OR role = 'dialog' OR regexp_matches(lower(attrs), $CONSENT_MANAGER))
 
 -- name: o_cookie_tabs
-SELECT c.change_id, c.removed, s.tab_id FROM o_changes c JOIN fx_sites s ON CASE WHEN c.partition <> '' THEN
+SELECT c.change_id, c.removed, CASE WHEN c.partition <> '' THEN c.partition ELSE ltrim(c.domain, '.') END AS site, s.tab_id FROM o_changes c JOIN fx_sites s ON CASE WHEN c.partition <> '' THEN
     'https' = split_part(c.partition, '://', 1) AND (s.page_host = split_part(c.partition, '://', 2) OR ends_with(s.page_host, '.' || split_part(c.partition, '://', 2)) OR ends_with(split_part(c.partition, '://', 2), '.' || s.page_host))
     ELSE s.page_host = ltrim(c.domain, '.') OR ends_with(s.page_host, '.' || ltrim(c.domain, '.')) END
 
 -- name: str_11_cookie_attribution
-SELECT change_id, tab_id FROM (SELECT *, count(*) OVER (PARTITION BY change_id) AS n FROM o_cookie_tabs) WHERE removed OR n = 1
+SELECT change_id, CASE WHEN NOT removed THEN min(tab_id) END AS tab_id, CASE WHEN removed THEN site END AS site FROM o_cookie_tabs GROUP BY change_id, removed, site HAVING removed OR count(*) = 1
+
+-- name: str_11_site_tabs
+SELECT DISTINCT site, tab_id FROM o_cookie_tabs WHERE removed

@@ -88,7 +88,13 @@ SELECT change_id, batch_start, turn, place FROM (SELECT *, row_number() OVER (PA
   SELECT change_id, ts, date_trunc('day', ts) AS batch_start, row_number() OVER (PARTITION BY date_trunc('day', ts), ltrim(lower(domain), '.') ORDER BY ts DESC, change_id DESC) AS turn FROM o_changes) WHERE turn <= 10) WHERE place <= 50
 
 -- name: str_12_exclusion_after_attribution
-SELECT m.change_id, m.tab_id FROM (SELECT *, count(*) OVER (PARTITION BY change_id) AS n FROM o_cookie_tabs) m JOIN fx_sites s USING (tab_id) WHERE (m.removed OR m.n = 1) AND s.page_host NOT IN (SELECT page_host FROM fx_sites WHERE language = 'fr-FR')
+SELECT change_id, CASE WHEN NOT removed THEN min(tab_id) END AS tab_id, CASE WHEN removed THEN site END AS site
+FROM (SELECT m.*, count(*) OVER (PARTITION BY change_id) AS n, s.page_host IN (SELECT page_host FROM fx_sites WHERE language = 'fr-FR') AS out FROM o_cookie_tabs m JOIN fx_sites s USING (tab_id))
+WHERE NOT out AND (removed OR n = 1) GROUP BY change_id, removed, site
+
+-- name: str_11_attribution_stream
+SELECT change_id, CASE WHEN NOT removed THEN min(tab_id) END AS tab_id, CASE WHEN removed THEN site END AS site
+FROM o_cookie_tabs WHERE tab_id IN (SELECT tab_id FROM o_requests WHERE resource_type = 'main_frame') GROUP BY change_id, removed, site HAVING removed OR count(*) = 1
 
 -- name: o_updates
 SELECT tab_id, ts, request_id, method <> 'GET' AS explicit, CASE WHEN scheme = 'http' THEN 'high' ELSE 'low' END AS level, max(CASE WHEN method <> 'GET' THEN ts END) OVER (PARTITION BY tab_id ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM o_requests
@@ -113,3 +119,25 @@ SELECT request_id, tab_id, explicit FROM o_updates WHERE explicit OR held IS NUL
 
 -- name: str_16_changed_scans_stream
 SELECT request_id, tab_id FROM (SELECT *, lag(scheme) OVER (PARTITION BY tab_id ORDER BY ts, request_id) AS before FROM o_requests) WHERE before IS NULL OR before <> scheme
+
+-- name: str_2_visit_numbers_stream
+SELECT request_id, tab_id, visit_no FROM o_visits
+
+-- name: o_starts
+SELECT tab_id, max(struct_pack(ts := ts, id := request_id)) AS start FROM o_requests WHERE resource_type = 'main_frame' GROUP BY tab_id
+
+-- name: str_3_session_members_stream
+SELECT r.request_id, r.tab_id FROM o_requests r JOIN o_starts s USING (tab_id) WHERE struct_pack(ts := r.ts, id := r.request_id) >= s.start
+
+-- name: str_4_stale_rejection_stream
+SELECT request_id, tab_id, session_no FROM o_current
+
+-- name: o_closed_days
+SELECT *, date_trunc('day', ts) AS batch_start FROM o_changes WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM o_changes) - INTERVAL 1 HOUR
+
+-- name: str_8_fair_queue_stream
+SELECT change_id, batch_start, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY batch_start ORDER BY turn, ts DESC, change_id DESC) AS place FROM (
+  SELECT change_id, ts, batch_start, row_number() OVER (PARTITION BY batch_start, ltrim(lower(domain), '.') ORDER BY ts DESC, change_id DESC) AS turn FROM o_closed_days) WHERE turn <= 10) WHERE place <= 50
+
+-- name: str_10_cookie_state_stream
+SELECT tab_id, identity, name, domain, removed, observed, first_set_at, last_set_at, deleted_at FROM o_cookies

@@ -198,3 +198,22 @@ def _(spark, sf_dir):
 @query("snk_1_report_records")
 def _(spark, sf_dir):
     return RP.as_json(inputs(spark, sf_dir).reports)
+
+
+@query("snk_1_report_fields")
+def _(spark, sf_dir):
+    """Fields of the written records, read from their text."""
+    records = RP.as_json(inputs(spark, sf_dir).reports)
+    field = lambda path, kind: F.get_json_object("record", f"$.{path}").cast(kind)
+    return records.select(
+        "tab_id",
+        field("source.url", "string").alias("url"),
+        field("analysis.policy.level", "string").alias("policy_level"),
+        field("analysis.network.request_count", "bigint").alias("requests"),
+        field("analysis.form.field_count", "bigint").alias("fields"),
+        field("analysis.storage.cookie_count", "bigint").alias("cookies"),
+        field("analysis.consent.banner_count", "bigint").alias("banners"),
+        field("analysis.delta.request_delta", "bigint").alias("request_delta"),
+        field("analysis.jurisdiction.code", "string").alias("jurisdiction"),
+        field("analysis.alignment.score", "bigint").alias("alignment"),
+    )

@@ -150,7 +150,7 @@ class Inputs:
 
     @cached_property
     def request_timing(self) -> DataFrame:
-        return C.request_timing(self.requests, self.timeline)
+        return C.request_timing(self.request_counts)
 
     @cached_property
     def cookie_timing(self) -> DataFrame:
@@ -169,17 +169,26 @@ class Inputs:
         return C.judge_choices(C.choices(self.consents), self.timing)
 
     @cached_property
-    def baselines(self) -> DataFrame:
+    def baseline_times(self) -> DataFrame:
         """One baseline per tab, saved halfway between its first and last request."""
         span = self.requests.groupBy("tab_id").agg(
             F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")
         )
         times = span.select("tab_id", F.timestamp_micros(F.expr("(lo + hi) div 2")).alias("created_at"))
-        return C.baselines_at(times, self.requests, self.changes)
+        return stage(times, "baseline_times")
+
+    @cached_property
+    def request_counts(self) -> DataFrame:
+        """What boundary and baseline of a tab make of its requests, counted in one pass."""
+        return stage(C.request_counts(self.requests, self.timeline, self.baseline_times), "request_counts")
+
+    @cached_property
+    def baselines(self) -> DataFrame:
+        return C.baselines_at(self.baseline_times, self.request_counts, self.changes)
 
     @cached_property
     def delta(self) -> DataFrame:
-        return stage(C.delta(self.baselines, self.requests, self.cookies), "delta")
+        return stage(C.delta(self.baselines, self.request_counts, self.cookies), "delta")
 
     # -- regimes, alignment, report -----------------------------------------------------
 

@@ -337,3 +337,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     x = inputs(spark, sf_dir)
     return K.attribute(x.changes, x.sites.select("tab_id", F.col("page_url").alias("url")))
+
+
+@query("str_11_site_tabs")
+def _(spark, sf_dir):
+    """The tabs of every site that has deletes, apart from the deletes themselves."""
+    x = inputs(spark, sf_dir)
+    return K.site_tabs(x.changes, x.sites.select("tab_id", F.col("page_url").alias("url")))

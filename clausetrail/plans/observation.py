@@ -18,9 +18,9 @@ from clausetrail.plans.stages import stage_root
 from clausetrail.sources.html import extract_text
 from clausetrail.sources.sample_views import load_stream
 from clausetrail.streaming import jobs
-from clausetrail.streaming import keyed as KE
+from clausetrail.streaming import ordered as OR
 from clausetrail.streaming import sessions as SE
-from clausetrail.streaming.rate_limit import sample
+from clausetrail.streaming.rate_limit import sample, sample_stream
 
 # Small parameters, so that limits are reached by the sparse sample events.
 BUCKET, REFILL = 2, 1 / 43_200
@@ -103,31 +103,80 @@ def from_stream(spark, stream, name: str):
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def request_stream(spark, sf_dir):
+    return RQ.minimise(load_stream(spark, sf_dir, "fx_requests").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+def from_batches(spark, name: str, start, columns: str):
+    """Runs a job that writes a folder for each micro-batch, and reads these back."""
+    base = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    start(f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(columns).parquet(f"{base}/out").drop("epoch")
+
+
 @query("str_5_rate_sampling_stream")
 def _(spark, sf_dir):
-    stream = jobs.sampled(load_stream(spark, sf_dir, "fx_requests"), BUCKET, REFILL)
-    return from_stream(spark, stream, "sampled")
+    rows = request_stream(spark, sf_dir)
+    return from_batches(spark, "sampled", lambda *to: sample_stream(rows, *to, BUCKET, REFILL), "request_id bigint, tab_id bigint, allowed boolean")
 
 
-def request_stream(spark, sf_dir):
-    return RQ.minimise(load_stream(spark, sf_dir, "fx_requests").withColumn("ts", F.col("ts").cast("timestamp")))
+@query("str_1_session_rotation_stream")
+def _(spark, sf_dir):
+    rows = request_stream(spark, sf_dir)
+    return from_batches(spark, "rotated", lambda *to: OR.rotate(rows, *to), "request_id bigint, tab_id bigint, session_no bigint")
 
 
-@query("str_1_session_rotation_stream")
+@query("str_2_visit_numbers_stream")
+def _(spark, sf_dir):
+    rows = request_stream(spark, sf_dir)
+    return from_batches(spark, "visits", lambda *to: OR.number_visits(rows, *to), "request_id bigint, tab_id bigint, visit_no bigint")
+
+
+@query("str_3_session_members_stream")
 def _(spark, sf_dir):
-    return from_stream(spark, KE.rotate_stream(request_stream(spark, sf_dir)), "rotated")
+    rows = request_stream(spark, sf_dir).select("tab_id", "ts", "request_id", "resource_type")
+    starts = request_stream(spark, sf_dir).filter("resource_type = 'main_frame'")
+    return from_batches(spark, "members", lambda *to: OR.members(rows, starts, *to), "request_id bigint, tab_id bigint")
+
+
+@query("str_4_stale_rejection_stream")
+def _(spark, sf_dir):
+    rows = request_stream(spark, sf_dir)
+    return from_batches(spark, "generations", lambda *to: OR.current_generation(rows, *to), "request_id bigint, tab_id bigint, session_no bigint")
 
 
 @query("str_13_effective_updates_stream")
 def _(spark, sf_dir):
     rows = request_stream(spark, sf_dir).withColumn("explicit", F.col("method") != "GET")
-    return from_stream(spark, KE.indicator_stream(rows, 12 * 3_600), "updates")
+    return from_batches(spark, "updates", lambda *to: OR.effective_updates(rows, *to, 12 * 3_600), "request_id bigint, tab_id bigint, explicit boolean")
 
 
 @query("str_16_changed_scans_stream")
 def _(spark, sf_dir):
     scans = request_stream(spark, sf_dir).withColumn("fingerprint", F.col("scheme"))
-    return from_stream(spark, KE.changed_scans_stream(scans), "scans")
+    return from_batches(spark, "scans", lambda *to: OR.changed_scans(scans, *to), "request_id bigint, tab_id bigint")
+
+
+def change_stream(spark, sf_dir):
+    changes = load_stream(spark, sf_dir, "fx_cookie_changes")
+    return K.with_identity(changes.withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+@query("str_8_fair_queue_stream")
+def _(spark, sf_dir):
+    """The time batches that are closed when the newest change is an hour past their end."""
+    rows = change_stream(spark, sf_dir)
+    columns = "change_id bigint, batch_start timestamp, turn int, place int"
+    return from_batches(spark, "queue", lambda *to: OR.fair_queue(rows, *to, "1 day", 3_600, 10, 50), columns)
+
+
+@query("str_10_cookie_state_stream")
+def _(spark, sf_dir):
+    base = f"{stage_root(spark)}/cookies-{uuid.uuid4().hex}"
+    OR.cookie_state(change_stream(spark, sf_dir), f"{base}/table", f"{base}/checkpoint").awaitTermination()
+    return OR.cookies_now(inputs(spark, sf_dir).changes, f"{base}/table").select(
+        "tab_id", "identity", "name", "domain", "removed", "observed", "first_set_at", "last_set_at", "deleted_at"
+    )
 
 
 @query("src_7_minimised_requests_stream")
@@ -159,8 +208,18 @@ def _(spark, sf_dir):
     x = inputs(spark, sf_dir)
     tabs = x.sites.select("tab_id", F.concat(F.lit("https://"), "page_host").alias("origin"))
     excluded = x.sites.filter(F.col("language") == "fr-FR").select(F.concat(F.lit("https://"), "page_host").alias("origin")).distinct()
-    attributed = K.attribute(x.changes, x.sites.select("tab_id", F.col("page_url").alias("url")))
-    return SE.paused_out(attributed, tabs, excluded)
+    urls = x.sites.select("tab_id", F.col("page_url").alias("url"))
+    kept = SE.paused_out(K.attribute(x.changes, urls), K.site_tabs(x.changes, urls), tabs, excluded)
+    return kept.select("change_id", "tab_id", "site")
+
+
+@query("str_11_attribution_stream")
+def _(spark, sf_dir):
+    """Changes against the tabs that top-level documents of the same stream have opened."""
+    pages = inputs(spark, sf_dir).sites.select("tab_id", F.col("page_url").alias("url"))
+    opened = request_stream(spark, sf_dir).filter("resource_type = 'main_frame'").select("tab_id", "ts", "request_id").join(pages, "tab_id")
+    changes = change_stream(spark, sf_dir)
+    return from_batches(spark, "attributed", lambda *to: OR.attribution(changes, opened, *to), "change_id bigint, tab_id bigint, site string")
 
 
 def updates(spark, sf_dir):

@@ -61,13 +61,14 @@ JOIN fx_clauses c ON c.idx = (d.doc_id * 13 + 9) % 30
 JOIN fx_clauses e ON e.idx = (d.doc_id * 17 + 2) % 30
 """,
     "fx_sites": r"""
-SELECT u.user_id AS tab_id, d.doc_id, s.page_host, 'https://' || s.page_host || '/policy' AS page_url, s.language, s.time_zone, k.country_code
-FROM (SELECT DISTINCT user_id FROM events) u
-LEFT JOIN documents d ON d.doc_id = u.user_id AND u.user_id % 13 <> 12
+SELECT p.tab_id, p.doc_id, s.page_host, 'https://' || s.page_host || '/policy' AS page_url, s.language, s.time_zone, k.country_code
+FROM (SELECT u.user_id AS tab_id, d.doc_id FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN documents d ON d.doc_id = u.user_id AND u.user_id % 13 <> 12
+  UNION ALL SELECT 1000000000 + d.doc_id AS tab_id, d.doc_id FROM documents d LEFT JOIN (SELECT DISTINCT user_id FROM events) u ON d.doc_id = u.user_id AND u.user_id % 13 <> 12
+  WHERE u.user_id IS NULL) p
 JOIN (VALUES (0,'shop.example.co.kr','ko-KR','Asia/Seoul'),(1,'www.service.us','en-US','America/New_York'),(2,'app.dienst.de','de-DE','Europe/Berlin'),
  (3,'portal.example.co.uk','en-GB','Europe/London'),(4,'alice.pages.example','en-US','Europe/Paris'),(5,'bob.pages.example','ja-JP','Asia/Tokyo'),
- (6,'www.site.fr','fr-FR','Europe/Paris'),(7,'news.example.com','ko','America/Chicago')) AS s(idx, page_host, language, time_zone) ON s.idx = u.user_id % 8
-LEFT JOIN (VALUES (0,'KR'),(1,'DE'),(2,'US'),(3,'JP')) AS k(idx, country_code) ON k.idx = u.user_id % 11
+ (6,'www.site.fr','fr-FR','Europe/Paris'),(7,'news.example.com','ko','America/Chicago')) AS s(idx, page_host, language, time_zone) ON s.idx = p.tab_id % 8
+LEFT JOIN (VALUES (0,'KR'),(1,'DE'),(2,'US'),(3,'JP')) AS k(idx, country_code) ON k.idx = p.tab_id % 11
 """,
     "fx_requests": r"""
 SELECT e.event_id AS request_id, e.user_id AS tab_id, e.ts,

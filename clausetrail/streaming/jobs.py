@@ -13,7 +13,7 @@ from clausetrail.operators import cookies as K
 from clausetrail.operators import requests as RQ
 from clausetrail.operators import versions as V
 from clausetrail.streaming import sessions as SE
-from clausetrail.streaming.rate_limit import sample_stream
+from clausetrail.streaming.bucket_store import BucketStore
 
 LATENESS = "1 hour"
 
@@ -40,10 +40,6 @@ def cookie_state(raw: DataFrame) -> DataFrame:
     return K.reconcile(changes, cap=None)
 
 
-def sampled(raw: DataFrame, capacity: int, per_second: float) -> DataFrame:
-    return sample_stream(raw.withColumn("ts", F.col("ts").cast("timestamp")), capacity, per_second)
-
-
 def once_per_key(changes: DataFrame, sent: DataFrame | None = None, event_time: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Change notices with each dedupe key at most once.
 
@@ -65,19 +61,23 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, trigger_seconds: int
     return timed.start(path)
 
 
-def upsert_versions(stream: DataFrame, table_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest version per URL in a parquet table, one generation folder per micro-batch.
+def upsert_versions(stream: DataFrame, table_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the newest version per URL in a bucketed table; a batch rewrites only the buckets its URLs are in.
 
-    A replayed batch rewrites its own generation from the one before, so the result is the same after a
-    failure.  Generations older than that are removed.
+    Read it with ``saved_versions``.  A replayed batch gives the same table.
     """
-    spark = stream.sparkSession
+    store = version_store(stream, table_path, buckets)
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        before = f"{table_path}/generation={epoch - 1}"
-        saved = spark.read.schema(batch.schema).parquet(before) if epoch > 0 else batch.limit(0)
-        V.upsert(saved, batch).write.mode("overwrite").parquet(f"{table_path}/generation={epoch}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/generation={epoch - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        store.update(batch, epoch, V.upsert)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def version_store(versions: DataFrame, table_path: str, buckets: int = 64) -> BucketStore:
+    return BucketStore(versions.sparkSession, table_path, versions.schema, ["url_key"], buckets)
+
+
+def saved_versions(versions: DataFrame, table_path: str) -> DataFrame:
+    """The table that ``upsert_versions`` keeps; ``versions`` gives the columns."""
+    return version_store(versions, table_path).read()

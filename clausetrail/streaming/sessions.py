@@ -1,34 +1,39 @@
 """Sessions of a tab: rotation, inactivity, membership, the last events, the risk indicator.
 
-Batch forms are exact and skew-safe (see ``operators.sequences``); the streaming forms keep the same
-facts as keyed state.
+Batch forms are exact and skew-safe (see ``operators.sequences``); ``streaming.ordered`` runs the same scans over
+streams.  Events without a tab are one tab of their own, events without a time come first in theirs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausetrail import rules as R
-from clausetrail.operators.sequences import with_previous, with_running_count
+from clausetrail.operators.sequences import Scan, previous, running_count, running_max_before, scanned, segments
 
 # One microsecond short of an hour: a gap of exactly one hour closes the session.
 SESSION_GAP = "59 minutes 59.999999 seconds"
 
 
+def rotation() -> Scan:
+    """``session_no``: every top-level document starts a new session of its tab (0 before the first)."""
+    return running_count(F.col("resource_type") == "main_frame", "session_no")
+
+
 def rotate(events: DataFrame) -> DataFrame:
-    """Adds ``session_no``: every top-level document starts a new session of its tab (0 before the first)."""
-    return with_running_count(events, "tab_id", "ts", "request_id", F.col("resource_type") == "main_frame", "session_no")
+    """Adds ``session_no``."""
+    return scanned(events, "tab_id", "ts", "request_id", rotation())[0]
+
+
+def visiting(ttl_seconds: int = R.SESSION_TTL_SECONDS) -> Scan:
+    """``visit_no``: a gap of the ttl or more starts a new visit."""
+    return segments("ts", ttl_seconds * 1_000_000, "visit_no")
 
 
 def with_inactivity(events: DataFrame, ttl_seconds: int = R.SESSION_TTL_SECONDS) -> DataFrame:
-    """Adds ``visit_no``: a gap of the ttl or more starts a new visit."""
-    marked = with_previous(events, "tab_id", "ts", "request_id", F.struct("ts"))
-    gap = F.unix_micros("ts") - F.unix_micros("previous.ts")
-    starts = F.col("previous").isNull() | (gap >= ttl_seconds * 1_000_000)
-    return with_running_count(marked.withColumn("_starts", starts), "tab_id", "ts", "request_id", F.col("_starts"), "visit_no").drop(
-        "_starts", "previous"
-    )
+    """Adds ``visit_no``."""
+    return scanned(events, "tab_id", "ts", "request_id", visiting(ttl_seconds))[0]
 
 
 def visits(events: DataFrame) -> DataFrame:
@@ -50,10 +55,21 @@ def sessions(rotated: DataFrame) -> DataFrame:
     )
 
 
+def _same_tab(events: DataFrame, tabs: DataFrame) -> Column:
+    return events["tab_id"].eqNullSafe(tabs["own_tab"])
+
+
+def after_start(started: Column, started_id: Column) -> Column:
+    """Whether an event isn't older than a session start; a null time is older than any other."""
+    later = (F.col("ts") > started) | (started.isNull() & F.col("ts").isNotNull())
+    return later | (F.col("ts").eqNullSafe(started) & (F.col("request_id") >= started_id))
+
+
 def in_session(events: DataFrame, starts: DataFrame) -> DataFrame:
     """Events not older than the current session of their tab.  ``starts``: (tab_id, started_at, started_id)."""
-    joined = events.join(starts, "tab_id")
-    return joined.filter(F.struct("ts", "request_id") >= F.struct("started_at", "started_id")).drop("started_at", "started_id")
+    named = starts.withColumnRenamed("tab_id", "own_tab")
+    joined = events.join(named, _same_tab(events, named))
+    return joined.filter(after_start(F.col("started_at"), F.col("started_id"))).drop("started_at", "started_id", "own_tab")
 
 
 def current_sessions(rotated: DataFrame) -> DataFrame:
@@ -66,8 +82,8 @@ def current_sessions(rotated: DataFrame) -> DataFrame:
 
 def drop_stale(rotated: DataFrame) -> DataFrame:
     """Events of the current session of each tab; older generations are rejected."""
-    current = rotated.groupBy("tab_id").agg(F.max("session_no").alias("session_no"))
-    return rotated.join(current, ["tab_id", "session_no"], "left_semi")
+    current = rotated.groupBy(F.col("tab_id").alias("own_tab")).agg(F.max("session_no").alias("current_no"))
+    return rotated.join(current, _same_tab(rotated, current) & (rotated["session_no"] == current["current_no"]), "left_semi")
 
 
 def last_events(events: DataFrame, n: int = R.REQUESTS_PER_TAB) -> DataFrame:
@@ -82,22 +98,18 @@ def recent_tabs(events: DataFrame, n: int = R.OBSERVED_TABS) -> DataFrame:
     return seen.orderBy(F.desc("last_seen_at"), F.desc("tab_id")).limit(n)
 
 
-def indicator_updates(updates: DataFrame, hold_seconds: int = R.EXPLICIT_PRIORITY_SECONDS) -> DataFrame:
-    """Updates that take effect: an automatic scan is ignored while an explicit analysis is fresh.
-
-    Updates: (tab_id, ts, request_id, explicit, level).  The last explicit time before an event is a
-    running maximum, which is tied across slices like the other sequences.
-    """
-    width = 3_600
-    rows = updates.withColumn("_slice", F.floor(F.unix_seconds("ts") / width)).withColumn("_x", F.when(F.col("explicit"), F.col("ts")))
-    before = Window.partitionBy("tab_id", "_slice").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, -1)
-    per_slice = rows.groupBy("tab_id", "_slice").agg(F.max("_x").alias("_m"))
-    earlier = Window.partitionBy("tab_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select("tab_id", "_slice", F.max("_m").over(earlier).alias("_c"))
-    joined = rows.withColumn("_h", F.max("_x").over(before)).join(carried, ["tab_id", "_slice"])
-    held = F.coalesce("_h", "_c")
+def holding(hold_seconds: int = R.EXPLICIT_PRIORITY_SECONDS) -> Scan:
+    """``takes_effect``: an automatic scan is ignored while an explicit analysis is fresh."""
+    scan = running_max_before(F.when(F.col("explicit"), F.col("ts")), "held")
+    held = scan.result["held"]
     fresh = F.unix_micros("ts") - F.unix_micros(held) < hold_seconds * 1_000_000
-    return joined.filter(F.col("explicit") | held.isNull() | ~fresh).drop("_slice", "_x", "_h", "_c")
+    return Scan(scan.local, scan.carried, scan.state, {"takes_effect": F.col("explicit") | ~F.coalesce(fresh, F.lit(False))})
+
+
+def indicator_updates(updates: DataFrame, hold_seconds: int = R.EXPLICIT_PRIORITY_SECONDS) -> DataFrame:
+    """Updates that take effect.  Updates: (tab_id, ts, request_id, explicit, level)."""
+    judged = scanned(updates, "tab_id", "ts", "request_id", holding(hold_seconds))[0]
+    return judged.filter("takes_effect").drop("takes_effect")
 
 
 def indicators(updates: DataFrame) -> DataFrame:
@@ -107,18 +119,27 @@ def indicators(updates: DataFrame) -> DataFrame:
     return last.select("tab_id", "l.*")
 
 
+def changing(fingerprint: str = "fingerprint") -> Scan:
+    """``changed``: the text differs from that of the scan before in the same tab; two unknown texts are equal."""
+    scan = previous(F.struct(F.col(fingerprint).alias("f")))
+    before = scan.result["previous"]
+    return Scan(scan.local, scan.carried, scan.state, {"changed": before.isNull() | ~before["f"].eqNullSafe(F.col(fingerprint))})
+
+
 def changed_scans(scans: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
     """Scans whose text differs from the scan before in the same tab."""
-    marked = with_previous(scans, "tab_id", "ts", "request_id", F.struct(F.col(fingerprint).alias("f")))
-    return marked.filter(F.col("previous").isNull() | (F.col("previous.f") != F.col(fingerprint))).drop("previous")
+    judged = scanned(scans, "tab_id", "ts", "request_id", changing(fingerprint))[0]
+    return judged.filter("changed").drop("changed")
 
 
-def paused_out(attributed: DataFrame, tabs: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Attributed cookie changes of tabs that are not excluded.
+def paused_out(attributed: DataFrame, members: DataFrame, tabs: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Attributed cookie changes that reach a tab which is not excluded.
 
-    Exclusion comes after attribution: leaving a tab out must not make an ambiguous cookie look unique.
+    Exclusion comes after attribution: leaving a tab out must not make an ambiguous cookie look unique.  A delete
+    stays where its site has a tab left; ``members`` is ``operators.cookies.site_tabs``.
     """
     out = tabs.join(excluded, "origin", "left_semi").select("tab_id")
-    return attributed.join(out, "tab_id", "left_anti")
-
-
+    sets = attributed.filter("site IS NULL").join(out, "tab_id", "left_anti")
+    left = members.join(out, "tab_id", "left_anti").select("site").distinct()
+    deletes = attributed.filter("site IS NOT NULL").join(left, "site", "left_semi")
+    return sets.unionByName(deletes.select(*sets.columns))

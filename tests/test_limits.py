@@ -45,7 +45,9 @@ def test_all_cookies_stay_and_the_delta_counts_them(spark):
     few = _changes(spark, 200)
     requests = spark.createDataFrame([(1, 1, "https://shop.example/", "shop.example", "/", "GET")], "request_id bigint, tab_id bigint, url string, host string, path string, method string").withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
     times = few.filter("change_id = 149").select("tab_id", F.col("ts").alias("created_at"))
-    delta = C.delta(C.baselines_at(times, requests, few), requests, K.reconcile(few)).first()
+    lines = spark.createDataFrame([], "tab_id bigint, observed_from timestamp, boundary_at timestamp")
+    counts = C.request_counts(requests, lines, times)
+    delta = C.delta(C.baselines_at(times, counts, few), counts, K.reconcile(few)).first()
     assert delta["cookie_delta"] == 50
 
 
@@ -112,8 +114,15 @@ def test_attribution_against_all_pairs(spark):
         if removed or len(fits) == 1:
             want |= {(change_id, t) for t in fits}
     frame = spark.createDataFrame(changes, "change_id bigint, tab_id bigint, domain string, removed boolean, partition string")
-    got = K.attribute(frame, spark.createDataFrame(tabs, "tab_id bigint, url string")).collect()
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    table = spark.createDataFrame(tabs, "tab_id bigint, url string")
+    rows, members = K.attribute(frame, table).collect(), defaultdict(set)
+    for r in K.site_tabs(frame, table).collect():
+        assert r.tab_id not in members[r.site]
+        members[r.site].add(r.tab_id)
+    # One row for each change; a delete with its site, whose tabs stand apart.
+    assert len({r.change_id for r in rows}) == len(rows)
+    got = {(r.change_id, t) for r in rows for t in ([r.tab_id] if r.site is None else members[r.site])}
+    assert got == want
 
 
 def test_sets_give_one_row_for_any_number_of_tabs(spark):
@@ -167,11 +176,42 @@ def test_decomposed_hangul_is_put_together(spark):
     texts = ["이메일을 수집합니다.", "개인정보 처리방침 값 닭", "plain text", "가\u11a8 각\u11a8 \u1100 \u1161"]
     rows = [(i, unicodedata.normalize("NFD", t) if i < 3 else t) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "i int, t string")
-    got = frame.select("i", T.composed_hangul(F.col("t")).alias("c"), T.data_categories(T.tokens(F.col("t"))).alias("d")).orderBy("i").collect()
+    got = frame.select("i", T.nfkc(F.col("t")).alias("c"), T.data_categories(T.tokens(F.col("t"))).alias("d")).orderBy("i").collect()
     assert [r["c"] for r in got] == [unicodedata.normalize("NFKC", t) for _, t in rows]
     assert [d["id"] for d in got[0]["d"]]
 
 
+def _assigned():
+    """Characters this Python knows, so that both sides have the same tables for them."""
+    import unicodedata
+
+    from hypothesis import strategies as st
+
+    known = st.characters(min_codepoint=32, max_codepoint=0x2FFFF, blacklist_categories=("Cs", "Cn", "Co"))
+    pieces = st.one_of(st.text(known, max_size=6), st.sampled_from(["\ufb03", "\uff21\uff42", "e\u0301\u0323", "\u1e9b\u0323", "\u00bd", "\u2460", "\u33a5", "\uff76\uff9e", "\u1112\u1161\u11ab", "\u212b"]))
+    return st.lists(st.lists(pieces, max_size=5).map("".join), min_size=1, max_size=60), unicodedata
+
+
+def test_tokens_are_in_nfkc(spark):
+    """Ligatures, full-width pairs and marks, against the standard library."""
+    from hypothesis import given, settings
+
+    from clausetrail.functions import text as T
+
+    texts, unicodedata = _assigned()
+
+    @settings(max_examples=12, deadline=None)
+    @given(texts)
+    def check(rows):
+        frame = spark.createDataFrame(list(enumerate(rows)), "i int, t string").coalesce(1)
+        got = frame.select("i", T.nfkc(F.col("t")).alias("c")).orderBy("i").collect()
+        assert [r["c"] for r in got] == [unicodedata.normalize("NFKC", t) for t in rows]
+
+    check()
+    row = spark.createDataFrame([("of\ufb01cial e\uff4dail \uff30\uff28\uff2f\uff2e\uff25 \ucfe0\ud0a4", None)], "t string, n string").select(T.tokens(F.col("t")), T.tokens(F.col("n"))).first()
+    assert tuple(row) == ("official email phone \ucfe0\ud0a4", "")
+
+
 @pytest.mark.parametrize(
     ("host", "private"),
     [

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from clausetrail.operators import consent as C
 from clausetrail.operators import cookies as K
 from clausetrail.operators import versions as V
-from clausetrail.operators.sequences import with_previous, with_running_count
 from clausetrail.sources.html import extract_text, visible_text
 from clausetrail.streaming import sessions as SE
 from clausetrail.streaming.rate_limit import admit, sample
@@ -36,6 +35,15 @@ def test_buckets_around_the_choice(spark):
     assert none == "unknown"
 
 
+def test_requests_up_to_each_of_many_moments(spark):
+    pick = random.Random(9)
+    requests = [(i, pick.choice([1, 1, 1, 2, None]), at(pick.randrange(500)), "x") for i in range(300)]
+    moments = sorted({(pick.choice([1, 2, None, 3]), at(pick.randrange(-10, 520))) for _ in range(40)}, key=str)
+    got = C.request_counts_at(spark.createDataFrame(moments, "tab_id bigint, created_at timestamp"), events(spark, requests)).collect()
+    want = {(tab, when): sum(r[1] == tab and r[2] <= when for r in requests) for tab, when in moments}
+    assert {(r["tab_id"], r["created_at"]): r["request_count"] for r in got} == want
+
+
 def test_a_gap_of_exactly_one_hour_ends_a_visit(spark):
     df = events(spark, [(1, 1, at(0), "x"), (2, 1, at(3600), "x"), (3, 1, at(7199.999), "x")])
     got = {r["request_id"]: r["visit_no"] for r in SE.with_inactivity(df).collect()}
@@ -43,24 +51,6 @@ def test_a_gap_of_exactly_one_hour_ends_a_visit(spark):
     assert SE.visits(df).count() == 2
 
 
-def test_slices_do_not_change_results(spark):
-    rng = random.Random(7)
-    # One tab holds most events.
-    rows = [(i, 1 if i % 4 else i % 9, at(rng.randrange(0, 500_000)), rng.choice(["main_frame", "x", "x"])) for i in range(600)]
-    df = events(spark, rows)
-    want_previous, want_count, last, count = {}, {}, {}, {}
-    for i, tab, ts, kind in sorted(rows, key=lambda r: (r[2], r[0])):
-        want_previous[i] = last.get(tab)
-        last[tab] = i
-        count[tab] = count.get(tab, 0) + (kind == "main_frame")
-        want_count[i] = count[tab]
-    for width in (60, 86_400, 10**9):
-        got = with_previous(df, "tab_id", "ts", "request_id", F.struct(F.col("request_id").alias("r")), width=width)
-        assert {r["request_id"]: r["previous"] and r["previous"]["r"] for r in got.collect()} == want_previous
-        got = with_running_count(df, "tab_id", "ts", "request_id", F.col("resource_type") == "main_frame", "n", width=width)
-        assert {r["request_id"]: r["n"] for r in got.collect()} == want_count
-
-
 def test_rate_sampling_equals_one_bucket_per_tab(spark):
     rng = random.Random(3)
     times = {1: 0.0, 2: 0.0}
@@ -235,30 +225,6 @@ def test_window_and_state_streams_run(spark, tmp_path):
         assert running.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
 
 
-def test_version_upsert_stream_keeps_the_newest_and_two_generations(spark, tmp_path):
-    from clausetrail.operators import versions as V
-    from clausetrail.plans.inputs import inputs
-    from clausetrail.streaming import jobs
-
-    versions = inputs(spark, "/root/testdata/sf0.001").versions.select("url_key", "version", "captured_at", "sections")
-    source = tmp_path / "in"
-    want = versions.limit(0)
-    for n in range(3):
-        batch = versions.filter(f"version = {n}")
-        batch.coalesce(1).write.parquet(str(tmp_path / f"batch{n}"))
-        want = V.upsert(want, batch)
-        source.mkdir(exist_ok=True)
-        part = next((tmp_path / f"batch{n}").glob("*.parquet"))
-        (source / f"{n}.parquet").write_bytes(part.read_bytes())
-        stream = spark.readStream.schema(versions.schema).parquet(str(source))
-        jobs.upsert_versions(stream, str(tmp_path / "table"), str(tmp_path / "progress")).awaitTermination()
-    kept = sorted(p.name for p in (tmp_path / "table").iterdir())
-    assert kept == ["generation=1", "generation=2"]
-    got = spark.read.schema(versions.schema).parquet(str(tmp_path / "table/generation=2"))
-    key = lambda rows: sorted((r["url_key"], r["version"], r["captured_at"]) for r in rows)
-    assert key(got.collect()) == key(want.collect())
-
-
 def test_keys_are_sent_once_within_the_watermark_and_never_again(spark, tmp_path):
     from clausetrail.operators import versions as V
     from clausetrail.plans.inputs import inputs
@@ -276,29 +242,3 @@ def test_keys_are_sent_once_within_the_watermark_and_never_again(spark, tmp_path
     got = [r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     every = {r[0] for r in keyed.select("dedupe_key").collect()}
     assert len(got) == len(set(got)) and set(got) == every - {r[0] for r in sent.collect()}
-
-
-def test_keyed_state_carries_over_triggers(spark, tmp_path):
-    from clausetrail.plans.inputs import inputs
-    from clausetrail.streaming import jobs
-    from clausetrail.streaming import keyed as KE
-
-    requests = inputs(spark, "/root/testdata/sf0.001").requests.select("request_id", "tab_id", "ts", "resource_type", "scheme", "method")
-    middle = requests.selectExpr("percentile_approx(unix_micros(ts), 0.5)").first()[0]
-    scans = requests.withColumn("fingerprint", F.col("scheme"))
-    explicit = requests.withColumn("explicit", F.col("method") != "GET").withColumn("level", F.lit("low"))
-    cases = {
-        "rotate": (requests, KE.rotate_stream, SE.rotate(requests).select("request_id", "tab_id", "session_no")),
-        "scans": (scans, KE.changed_scans_stream, SE.changed_scans(scans).select("request_id", "tab_id")),
-        "updates": (explicit, KE.indicator_stream, SE.indicator_updates(explicit).select("request_id", "tab_id", "explicit")),
-    }
-    for name, (rows, build, want) in cases.items():
-        base = tmp_path / name
-        (base / "in").mkdir(parents=True)
-        for n, part in enumerate((rows.filter(F.unix_micros("ts") <= middle), rows.filter(F.unix_micros("ts") > middle))):
-            part.coalesce(1).write.parquet(str(base / f"part{n}"))
-            (base / "in" / f"{n}.parquet").write_bytes(next((base / f"part{n}").glob("*.parquet")).read_bytes())
-            stream = build(spark.readStream.schema(rows.schema).parquet(str(base / "in")))
-            jobs.to_files(stream, str(base / "out"), str(base / "progress")).awaitTermination()
-        got = spark.read.parquet(str(base / "out"))
-        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), name
