@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from clausetrail import rules as R
+from clausetrail.functions.patterns import BLANK, BLANK_CHARS, BLANKS, hints, quick_any, words_of
 from clausetrail.operators import cookies as K
 from clausetrail.operators import report as RP
 from clausetrail.plans.inputs import inputs
@@ -41,3 +45,27 @@ def test_excluded_tabs_get_no_delete(spark):
     excluded = spark.createDataFrame([("https://a.example",), ("https://only.example",)], "origin string")
     got = SE.paused_out(K.attribute(changes, tabs), K.site_tabs(changes, tabs), origins, excluded).collect()
     assert sorted(map(tuple, got)) == sorted((i, t) for i in range(0, 30, 2) if i % 3 == 1 for t in range(1, 50, 2))
+
+
+def test_one_blank_is_what_the_list_of_blanks_says(spark):
+    chars = spark.range(1, 0xFFFF).filter("id not between 55296 and 57343")
+    text = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    odd = chars.select(text.alias("c")).filter(F.col("c").rlike(f"^{BLANK}$") != F.col("c").rlike(rf"^[{BLANKS}]$"))
+    assert odd.count() == 0
+    assert sorted(map(ord, BLANK_CHARS)) == sorted(ord(r.c) for r in chars.select(text.alias("c")).filter(F.col("c").rlike(f"^{BLANK}$")).collect())
+
+
+def test_hints_lose_no_match(spark):
+    """Sections, gate and rules found by hints are those found by looking for every word in the whole text."""
+    pick, patterns = random.Random(3), [p for _, headings, contents in R.SECTION_RULES for p in (*headings, *contents)]
+    words = sorted({w for p in patterns for w in words_of([p])})
+    pieces = [*words, "Third-Parties", "xx", "pre", "recollected", "의", "É"]
+    texts = ["".join(pick.choice([p, p.upper(), p[1:], p[:-1]]) + pick.choice([" ", "\n", "", ", ", " "]) for p in pick.choices(pieces, k=12)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("low", F.lower("t"))
+    rows = rows.withColumn("found", hints(F.col("t"), words))
+    plain = F.array(*[quick_any(F.col("t"), F.col("low"), [p]) for p in patterns])
+    quick = F.array(*[quick_any(F.col("t"), F.col("low"), [p], F.col("found")) for p in patterns])
+    assert rows.filter(plain != quick).count() == 0
+    assert rows.filter(F.exists(plain, lambda x: x)).count() > 300
+    # Text without any of the words leaves nothing to look through.
+    assert spark.createDataFrame([("the tide comes home with nine small boats",)], "t string").select(hints(F.col("t"), words)).first()[0] == ""
