@@ -69,3 +69,10 @@ def test_hints_lose_no_match(spark):
     assert rows.filter(F.exists(plain, lambda x: x)).count() > 300
     # Text without any of the words leaves nothing to look through.
     assert spark.createDataFrame([("the tide comes home with nine small boats",)], "t string").select(hints(F.col("t"), words)).first()[0] == ""
+
+
+def test_a_tab_without_an_id_keeps_its_row(spark):
+    attributed = spark.createDataFrame([(1, None, "s"), (2, 7, None)], "change_id bigint, tab_id bigint, site string")
+    members = spark.createDataFrame([("s", None), ("s", 5)], "site string, tab_id bigint")
+    got = {tuple(r) for r in K.with_tabs(attributed, members).collect()}
+    assert got == {(1, None), (1, 5), (2, 7)}
