@@ -25,6 +25,7 @@ from clausetrail.llm.common import prepare, stage, text_bytes
 
 MIN_BYTES, MAX_BYTES, MASK_BITS = 24, 256, 4
 LEAST_BYTES = 160
+SPAN = 512  # above the size of any chunk
 LAST_ID = (1 << 63) - 1
 _GEAR = np.random.default_rng(20240101).integers(0, 1 << 16, 256, dtype=np.uint16)
 
@@ -47,27 +48,30 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """row, id, chunk, start, end and digest of every chunk; start and end in bytes."""
+    """row, id, at, high and low of every chunk: its start in bytes with its size, and its digest as two numbers.
+
+    These rows are dealt out twice, so they are narrow.
+    """
     prepare(docs.sparkSession)
 
-    @F.arrow_udf("array<struct<start:int,end:int,digest:binary>>")
+    @F.arrow_udf("array<struct<at:bigint,high:bigint,low:bigint>>")
     def chunks(texts: pa.Array) -> pa.Array:
         from xxhash import xxh3_128_digest
 
-        starts, ends, digests, sizes = [], [], [], [0]
+        ats, digests, sizes = [], [], [0]
         for text in texts:
             data = text.as_py()
             own = cuts(data)
-            before = [0, *own[:-1]] if own else []
-            starts += before
-            ends += own
-            digests += [xxh3_128_digest(data[a:b]) for a, b in zip(before, own)]
-            sizes.append(len(ends))
-        fields = [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(digests, pa.binary())]
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "digest"]))
+            for a, b in zip([0, *own[:-1]], own):
+                ats.append(a * SPAN + b - a)
+                digests.append(xxh3_128_digest(data[a:b]))
+            sizes.append(len(ats))
+        halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        fields = [pa.array(ats, pa.int64()), *(pa.array(np.ascontiguousarray(halves[:, k])) for k in range(2))]
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(fields, ["at", "high", "low"]))
 
     found = docs.select("row", "id", chunks.asNondeterministic()(text_bytes("text")).alias("c"))
-    return found.select("row", "id", F.posexplode("c").alias("chunk", "c")).select("row", "id", "chunk", "c.*")
+    return found.select("row", "id", F.inline("c"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -77,11 +81,15 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def later_passages(numbered: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """row, start, end of every passage that documents with smaller ids hold."""
     chunks = stage(chunk_rows(numbered.select("row", "id", "text")), "chunks")
-    holders = chunks.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    later = chunks.join(holders.select("digest", "first"), "digest").filter("id > first").select("row", "chunk", "start", "end")
-    # Chunks that follow one another have the same difference to their rank.
-    rank = F.row_number().over(Window.partitionBy("row").orderBy("chunk"))
-    runs = later.withColumn("run", F.col("chunk") - rank).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    holders = chunks.groupBy("high", "low").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    later = chunks.join(holders.select("high", "low", "first"), ["high", "low"]).filter("id > first")
+    size, start = F.pmod("at", F.lit(SPAN)), F.expr(f"at div {SPAN}")
+    later = later.select("row", start.alias("start"), size.alias("size"))
+    # Chunks that follow one another have the same difference to the bytes of later chunks before them.
+    before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.col("start") - F.coalesce(F.sum("size").over(before), F.lit(0))
+    end = F.max(F.col("start") + F.col("size"))
+    runs = later.withColumn("run", run).groupBy("row", "run").agg(F.min("start").cast("int").alias("start"), end.cast("int").alias("end"))
     return runs.filter(F.col("end") - F.col("start") >= least_bytes).select("row", "start", "end")
 
 

@@ -90,3 +90,12 @@ def test_an_insertion_changes_few_chunks():
     text = messy.words(4, 400)
     before, after = Counter(split(text)), Counter(split(text[:700] + " inserted " + text[700:]))
     assert sum((before - after).values()) <= 8
+
+
+def test_chunk_rows_are_narrow_and_long_texts_keep_their_places(spark):
+    text = messy.words(4, 400) + "z" * 1000
+    docs = spark.createDataFrame([(0, 1, text), (1, 2, "")], "row bigint, id bigint, text string")
+    rows = substrings.chunk_rows(docs)
+    assert set(rows.dtypes) == {(c, "bigint") for c in ("row", "id", "at", "high", "low")}
+    ends = [r.at // substrings.SPAN + r.at % substrings.SPAN for r in rows.orderBy("at").collect()]
+    assert ends == substrings.cuts(text.encode()) and substrings.MAX_BYTES < substrings.SPAN
