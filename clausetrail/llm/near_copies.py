@@ -6,7 +6,9 @@ Candidates come from two sides, and each is compared by whole sets before it lin
 * At 0.8 two fingerprints differ in about 10 bits, often in 15, and no cut into bit blocks is selective at such a radius.
   What they miss comes from prefixes: with the shingles of all texts in one order, two sets that are similar enough
   share a shingle among the first ``n - ceil(similarity * n) + 1`` of each.  Any order gives all pairs; rare shingles
-  first gives few candidates.  How common a shingle is comes from a sample of texts, which changes work, never results.
+  first gives few candidates.  All shingles of all texts are counted for this, by slices of their hashes, so that versions of
+  a text that differ too much mostly begin with shingles of their own, however many versions there are.  A shingle of one
+  text alone is not sent anywhere.
 
 Only texts that aren't linked yet are candidates.  In each of some rounds every shingle with two groups compares all its
 texts with one of them, the pivot, which then leaves; linked groups are found again.  What is apart after the rounds is
@@ -39,7 +41,7 @@ from clausetrail.llm.simhash import fingerprint_column, fingerprint_links
 from clausetrail.plans.stages import discard, stage_root
 
 WORDS, SIMILARITY = 5, 0.8
-SAMPLE, COMMON = 20_000, 200_000
+SAMPLE, COMMON = 2_000, 8
 
 
 def shingles(data: bytes, words_per_shingle: int = WORDS) -> np.ndarray:
@@ -64,13 +66,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: Fraction) -> bool:
     return shared * least.denominator >= (len(a) + len(b) - shared) * least.numerator
 
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles by which a set is looked up, the rarest first, and which of them are known to be common."""
+def prefix(own: np.ndarray, levels: np.ndarray, least: Fraction) -> np.ndarray:
+    """Places of the shingles by which a set is looked up, the rarest first."""
     n = len(own)
-    at = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
-    rank = np.where(common[at] == own, counts[at], 0) if len(common) else np.zeros(n, np.int64)
-    first = np.lexsort((own, rank))[: n + int(-n * least // 1) + 1 if n else 0]
-    return own[first], rank[first] > 0
+    return np.lexsort((own, levels))[: n + int(-n * least // 1) + 1 if n else 0]
 
 
 def _nodes(words: int):
@@ -84,24 +83,130 @@ def _nodes(words: int):
     return node.asNondeterministic()
 
 
-def _all_shingles(words: int):
+def _planes(values: np.ndarray) -> bytes:
+    """The numbers byte by byte of equal weight, so that high bytes without a value take no room on disk."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _cells(words: int, bits: int, most: int = 2000, most_bytes: int = 4 << 20):
+    """Packs of texts: for each slice of the hashes the cells of their shingles, and to which text of the pack each belongs.
+
+    A slice is told by the first ``bits`` bits of a hash, a cell in it by the next 24.  One row of a pack names its nodes.
+    """
+
+    def packed(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        from xxhash import xxh3_64_intdigest
+
+        named = np.array(nodes, np.int64).tobytes()
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        slice_of = (every >> np.uint64(64 - bits)).astype(np.int64)
+        cell = ((every >> np.uint64(64 - bits - 24)) & np.uint64((1 << 24) - 1)).astype(np.uint32)
+        order = np.argsort(slice_of, kind="stable")
+        slice_of, cell, owner = slice_of[order], cell[order], owner[order]
+        starts = np.flatnonzero(np.diff(slice_of, prepend=-1))
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]))
+        columns = [
+            pa.array([np.uint64(xxh3_64_intdigest(named)).view(np.int64)] * len(spans), pa.int64()),
+            pa.array(slice_of[starts].astype(np.int32)),
+            pa.array([b"" if at else named for at in range(len(spans))], pa.binary()),
+            pa.array([_planes(np.diff(owner[a:b], prepend=0).astype(np.uint16)) for a, b in spans], pa.binary()),
+            pa.array([_planes(cell[a:b]) for a, b in spans], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["pack", "slice", "nodes", "owners", "cells"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, held = [], [], 0
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), words).view(np.int64))], names=["key"])
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = text.as_py()
+                nodes.append(node)
+                sets.append(shingles(data, words))
+                held += len(data)
+                if len(nodes) >= most or held >= most_bytes:
+                    yield packed(nodes, sets)
+                    nodes, sets, held = [], [], 0
+        if nodes:
+            yield packed(nodes, sets)
 
     return run
 
 
-def _prefixes(words: int, least: Fraction, common: np.ndarray, counts: np.ndarray):
+PACKED = "pack bigint, slice int, nodes binary, owners binary, cells binary"
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of slice: instead of its cell the level of each shingle, from how many sets have the cell."""
+
+    def counted(rows: list[dict]) -> pa.RecordBatch:
+        own = [_numbers(row["cells"], np.uint32) for row in rows]
+        every = np.sort(np.concatenate(own))
+        starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        values, level = every[starts], np.ceil(np.log2(np.diff(starts, append=len(every)))).astype(np.uint8)
+        found = [{**row, "cells": level[np.searchsorted(values, cells)].tobytes()} for row, cells in zip(rows, own)]
+        return pa.RecordBatch.from_pylist(found, schema=schema)
+
+    rows: list[dict] = []
+    for batch in batches:
+        schema = batch.schema
+        for row in batch.to_pylist():
+            if rows and row["slice"] != rows[0]["slice"]:
+                yield counted(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield counted(rows)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of pack and slice: the levels of each text, in order of its shingles."""
+
+    def divided(rows: list[dict]) -> pa.RecordBatch:
+        nodes = np.frombuffer(b"".join(row["nodes"] for row in rows), np.int64)
+        owner = np.concatenate([np.cumsum(_numbers(row["owners"], np.uint16), dtype=np.int64) for row in rows])
+        levels = np.frombuffer(b"".join(row["cells"] for row in rows), np.uint8)[np.argsort(owner, kind="stable")]
+        ends = np.cumsum(np.bincount(owner, minlength=len(nodes)))
+        parts = [x.tobytes() for x in np.split(levels, ends[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(parts, pa.binary())], names=["node", "levels"])
+
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row["pack"] != rows[0]["pack"]:
+                yield divided(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield divided(rows)
+
+
+def shingle_levels(texts: DataFrame, words: int, per_task: int) -> DataFrame:
+    """texts: node and data.  Returns node and levels: a byte for each shingle, in order of the hashes.
+
+    Level 0 is a shingle of one set alone; level k stands for 2 ** (k - 1) + 1 to 2 ** k sets.  Hashes are counted by cells, of
+    which there are many more than shingles: a shingle may be taken for more common than it is, never for rarer.
+    """
+    bits = max(4, (texts.select("node").count() // per_task).bit_length())
+    cells = texts.select("node", "data").mapInArrow(_cells(words, bits), PACKED)
+    counted = cells.repartition("slice").sortWithinPartitions("slice").mapInArrow(_levels, PACKED)
+    return counted.repartition("pack").sortWithinPartitions("pack", "slice").mapInArrow(_marks, "node bigint, levels binary")
+
+
+def _prefixes(words: int, least: Fraction):
+    """Rows for the looked-up shingles that stand in other sets too; those of very many are told apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for node, root, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                own = shingles(text.as_py(), words)
-                keys, hot = prefix(own, common, counts, least)
-                size = len(keys)
-                out.append((keys.view(np.int64), np.full(size, node), np.full(size, root), np.full(size, len(own), np.int32), np.arange(size, dtype=np.int32), hot))
+            for node, root, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                own, levels = shingles(text.as_py(), words), np.frombuffer(marks.as_py() or b"", np.uint8)
+                first = prefix(own, levels, least)
+                pos = np.flatnonzero(levels[first]).astype(np.int32)
+                at, size = first[pos], len(pos)
+                out.append((own[at].view(np.int64), np.full(size, node), np.full(size, root), np.full(size, len(own), np.int32), pos, levels[at] > COMMON))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "node", "root", "n", "pos", "hot"])
 
@@ -204,23 +309,17 @@ def similar_nodes(
 ) -> DataFrame:
     """texts: node and data (UTF-8), one row for each node.  Returns node, root of linked nodes.
 
-    ``candidates``: pairs (pivot, node) to compare before any others.
+    ``candidates``: pairs (pivot, node) to compare before any others.  ``sample``: of about so many texts one task counts the
+    shingles, those of its share of the hashes; this and the other numbers change work, never results.
     """
     prepare(texts.sparkSession)
     least = Fraction(str(similarity))
-    every = max(1, texts.select("node").count() // sample)
-    picked = texts.filter(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(every)) == 0).select("data")
-    counted = picked.mapInArrow(_all_shingles(words), "key bigint").groupBy("key").count().filter("count > 2")
-    known = counted.orderBy(F.desc("count"), "key").limit(COMMON).toArrow()
-    common, counts = known["key"].to_numpy().view(np.uint64), known["count"].to_numpy()
-    order = np.argsort(common)
-    common, counts = common[order], counts[order]
-
     none = texts.sparkSession.createDataFrame([], "u bigint, v bigint")
     links = none if candidates is None else _verified(candidates, texts, words, least)
     roots = stage(components(links), "roots")
-    rooted = texts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "data")
-    keyed = rooted.mapInArrow(_prefixes(words, least, common, counts), KEYED + ", hot boolean")
+    rooted = texts.join(roots, "node", "left").join(shingle_levels(texts, words, sample), "node", "left")
+    rooted = rooted.select("node", F.coalesce("root", "node").alias("root"), "data", "levels")
+    keyed = rooted.mapInArrow(_prefixes(words, least), KEYED + ", hot boolean")
     # Keys known to be common only pass through, so they are spread.
     spread = keyed.repartition("key", F.when(F.col("hot"), F.pmod("node", F.lit(1024))))
     hot = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
@@ -268,17 +367,20 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int
         F.monotonically_increasing_id().alias("row_number"),
     )
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    # With fewer buckets than a join has partitions Spark would deal the texts out again for each join.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET_BYTES))
     name = f"texts_{uuid.uuid4().hex}"
     writer = numbered.repartition(buckets, "node").write.bucketBy(buckets, "node").sortBy("node")
     writer.option("path", f"{stage_root(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "whole", "row_number")
     nodes = stage(table.groupBy("node").agg(F.min(first).alias("first"), F.min("fp").alias("fp")), "nodes")
-    # Of rows with equal sets one stands for all.  Joins are by node alone, by which the table is bucketed.
+    # Of rows with equal sets one stands for all.  Joins are by node alone, by which the table is bucketed; an equality of row
+    # numbers would become a key of theirs, and all texts would be dealt out again.
+    is_one = F.col("row_number").between(F.col("one"), F.col("one"))
     ones = nodes.select("node", F.col("first.row_number").alias("one"))
-    texts = table.join(ones, "node").filter("row_number = one").select("node", text_bytes("doc.text").alias("data"))
+    texts = table.join(ones, "node").filter(is_one).select("node", text_bytes("doc.text").alias("data"))
     roots = similar_nodes(texts, fingerprint_candidates(nodes.select("node", "fp"), radius), similarity, words, **limits)
     named = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
     kept = named.agg(F.min(F.struct("first", "node")).alias("kept")).select("kept.node", F.col("kept.first.row_number").alias("one"))
-    return table.join(kept, "node").filter("row_number = one").select("doc.*")
+    return table.join(kept, "node").filter(is_one).select("doc.*")

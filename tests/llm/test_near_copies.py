@@ -77,3 +77,42 @@ def test_sample_and_messy(spark):
     assert kept.columns == messy.frame(spark).columns
     assert ids(kept) == first_ids([d[:2] for d in messy.documents()])
     assert near_copies.drop_near_copies(messy.empty(spark)).count() == 0
+
+
+def test_levels_tell_in_how_many_sets_a_shingle_stands(spark):
+    docs = [(i, t) for i, t in enumerate(["", *(t for _, t in variants()[:30])])]
+    frame = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in docs], "node bigint, data binary").repartition(4)
+    sets = [near_copies.shingles(t.encode()) for _, t in docs]
+    counts = Counter(h for s in sets for h in s.tolist())
+    want = {i: [(counts[h] - 1).bit_length() for h in sets[i].tolist()] for i, _ in docs}
+    for per_task in (2, 1000):
+        found = {r.node: list(r.levels) for r in near_copies.shingle_levels(frame, 5, per_task).collect()}
+        assert {n: found.get(n, []) for n in want} == want
+
+
+def test_shingles_of_one_text_are_not_sent(spark):
+    """Versions that differ too much begin with shingles of their own: few rows meet, however many versions there are."""
+    base = messy.words(3000, 100).split()
+    docs = [(i, bytearray(edited(i, base, 12).encode())) for i in range(40)]
+    frame = spark.createDataFrame(docs, "node bigint, data binary")
+    rooted = frame.join(near_copies.shingle_levels(frame, 5, 100), "node").selectExpr("node", "node AS root", "data", "levels")
+    sent = rooted.mapInArrow(near_copies._prefixes(5, near_copies.Fraction("0.8")), near_copies.KEYED + ", hot boolean")
+    assert sent.count() == 0
+
+
+def test_joins_leave_the_texts_where_they_are(spark, monkeypatch):
+    plans, similar_nodes = [], near_copies.similar_nodes
+
+    def spy(texts, *args):
+        plans.append(texts.join(texts.select("node"), "node")._jdf.queryExecution().executedPlan().toString())
+        return similar_nodes(texts, *args)
+
+    monkeypatch.setattr(near_copies, "similar_nodes", spy)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_copies.drop_near_copies(spark.createDataFrame(variants(), "doc_id bigint, text string")).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scans = [line for line in plans[0].splitlines() if "_extract_text" in line or "FileScan" in line and "doc#" in line]
+    assert any("Bucketed: true" in line for line in scans) and not any("Bucketed: false" in line for line in scans)
