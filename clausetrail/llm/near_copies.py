@@ -92,7 +92,7 @@ def _numbers(planes: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
-def _cells(words: int, bits: int, most: int = 2000, most_bytes: int = 4 << 20):
+def _cells(words: int, bits: int, most: int = 2000, most_bytes: int = 2 << 20):
     """Packs of texts: for each slice of the hashes the cells of their shingles, and to which text of the pack each belongs.
 
     A slice is told by the first ``bits`` bits of a hash, a cell in it by the next 24.  One row of a pack names its nodes.
@@ -346,7 +346,7 @@ def similar_nodes(
     return roots
 
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, radius: int = 4, **limits: int) -> DataFrame:
