@@ -12,7 +12,8 @@ Candidates come from two sides, and each is compared by whole sets before it lin
 
 Only texts that aren't linked yet are candidates.  In each of some rounds every shingle with two groups compares all its
 texts with one of them, the pivot, which then leaves; linked groups are found again.  What is apart after the rounds is
-compared pair by pair, so no link is lost.
+compared pair by pair, so no link is lost.  Pairs are told apart before their texts are sent, by where they share their first
+shingle and by signatures that tell how many shingles they can't share; neither drops a pair that is similar.
 
 Texts with equal sets are one node.  The texts are kept as a table bucketed by node, so they are dealt out once; a
 comparison sends the text of a node to its pivot, once for each pivot, and the pivot's to each task that needs it.
@@ -32,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausetrail.llm.common import prepare, stage, text_bytes
@@ -42,6 +43,8 @@ from clausetrail.plans.stages import discard, stage_root
 
 WORDS, SIMILARITY = 5, 0.8
 SAMPLE, COMMON = 2_000, 8
+SIGNATURE = 1024
+PARITIES = [f"s{i}" for i in range(SIGNATURE // 64)]
 
 
 def shingles(data: bytes, words_per_shingle: int = WORDS) -> np.ndarray:
@@ -258,12 +261,35 @@ def _shared(most: int = 1 << 16):
     return run
 
 
-def _possible(least: Fraction, n, pos, other_n, other_pos, lower=min):
-    """Whether sets of these sizes that share the shingles at these positions can be similar; of numbers or columns."""
-    shared = lower(pos, other_pos) + 1 + lower(n - pos - 1, other_n - other_pos - 1)
+def _possible(least: Fraction, n: Column, pos: Column, other_n: Column, other_pos: Column) -> Column:
+    """Whether sets of these sizes can be similar whose first shared shingle is at these positions.
+
+    What two sets share comes at that shingle or after it, in either of them.  Pairs are met at each shingle they share, so
+    also at the first one; others need not let them through.
+    """
+    shared = F.least(n - pos, other_n - other_pos)
     return shared * (least.numerator + least.denominator) >= (n + other_n) * least.numerator
 
 
+def _signatures(words: int):
+    """For each text the parities of how many of its shingles have each ending of ``SIGNATURE`` values, as numbers of 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [(shingles(text.as_py(), words) & np.uint64(SIGNATURE - 1)).astype(np.int64) for text in batch.column(1)]
+            odd = [np.packbits(np.bincount(x, minlength=SIGNATURE) & 1).view(np.int64) for x in ends]
+            found = np.array(odd, np.int64).reshape(-1, SIGNATURE // 64).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], names=["node", *PARITIES])
+
+    return run
+
+
+def _not_too_different(least: Fraction, n: Column, signature: str, other_n: Column, other_signature: str) -> Column:
+    """Whether sets of these sizes and signatures can be similar: each odd place that one has alone is a shingle not shared."""
+    apart = sum((F.bit_count(F.col(f"{signature}.{x}").bitwiseXOR(F.col(f"{other_signature}.{x}"))) for x in PARITIES), F.lit(0))
+    return (n + other_n - apart) * (least.numerator + least.denominator) >= 2 * (n + other_n) * least.numerator
+
+
 def _alike(words: int, least: Fraction):
     """Rows of a pivot and part, the pivot's own first: the pairs that are similar."""
 
@@ -322,26 +348,33 @@ def similar_nodes(
     keyed = rooted.mapInArrow(_prefixes(words, least), KEYED + ", hot boolean")
     # Keys known to be common only pass through, so they are spread.
     spread = keyed.repartition("key", F.when(F.col("hot"), F.pmod("node", F.lit(1024))))
-    hot = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
+    shared = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
+    met = texts.join(shared.select("node").distinct(), "node").select("node", "data")
+    signed = met.mapInArrow(_signatures(words), ", ".join(["node bigint", *(f"{x} bigint" for x in PARITIES)]))
+    hot = stage(shared.join(signed.select("node", F.struct(*PARITIES).alias("signature")), "node"), "signed")
+    discard(shared)
     for turn in range(rounds + 1):
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("h"), "node", "root", "n", "pos")).alias("pivot")
+        # Few shingles of its own before this one: the text that most others can be similar to.
+        pivot = F.min(F.struct("pos", F.xxhash64("root").alias("h"), "node", "root", "n", "signature")).alias("pivot")
         groups = hot.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), pivot)
         met = stage(hot.join(groups.filter("low < high").select("key", "size", "pivot"), "key"), "groups")
         discard(hot)
         if met.isEmpty():
             return roots
         whole = F.col("size") <= (small if turn < rounds else 1 << 62)
-        near = _possible(least, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), F.least)
+        near = _possible(least, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))
+        near &= _not_too_different(least, F.col("n"), "signature", F.col("pivot.n"), "pivot.signature")
         to_pivot = met.filter(~whole & (F.col("root") != F.col("pivot.root")) & near).select("pivot.node", F.col("node").alias("other"))
-        left = met.filter(whole).select("key", "node", "root", "n", "pos")
-        right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "pos")])
-        near = _possible(least, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"), F.least)
+        left = met.filter(whole).select("key", "node", "root", "n", "pos", "signature")
+        right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "pos", "signature")])
+        near = _possible(least, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
+        near &= _not_too_different(least, F.col("n"), "signature", F.col("other_n"), "other_signature")
         crossed = left.join(right, "key").filter((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near)
         pairs = to_pivot.toDF("pivot", "node").unionByName(crossed.select(F.col("node").alias("pivot"), F.col("other_node").alias("node")))
         links = links.unionByName(_verified(pairs, texts, words, least))
         roots = stage(components(links), "roots")
-        rest = met.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos")
-        hot = stage(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos"), "rest")
+        rest = met.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos", "signature")
+        hot = stage(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos", "signature"), "rest")
         discard(met)
     return roots
 

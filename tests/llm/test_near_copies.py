@@ -7,6 +7,7 @@ from collections import Counter
 import messy
 import pytest
 import test_simhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clausetrail.llm import near_copies
@@ -116,3 +117,36 @@ def test_joins_leave_the_texts_where_they_are(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     scans = [line for line in plans[0].splitlines() if "_extract_text" in line or "FileScan" in line and "doc#" in line]
     assert any("Bucketed: true" in line for line in scans) and not any("Bucketed: false" in line for line in scans)
+
+
+def test_pairs_that_differ_too_much_are_not_compared(spark, monkeypatch):
+    """One large group whose versions are mostly too different: few pairs are compared, and no link is lost."""
+    base = messy.words(4000, 150).split()
+    docs = [(i, edited(i, base, 1 + i % 6)) for i in range(160)]
+    compared, verified = [], near_copies._verified
+
+    def spy(pairs, *args, **kwargs):
+        compared.append(pairs.distinct().count())
+        return verified(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(near_copies, "_verified", spy)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert ids(near_copies.drop_near_copies(frame, rounds=0)) == first_ids(docs)
+    sets = [shingles(t) for _, t in docs]
+    similar = sum(10 * len(a & b) >= 8 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert sum(compared) <= 2 * similar, (compared, similar)
+
+
+def test_signatures_drop_no_similar_pair(spark):
+    docs = [(i, bytearray((t or "").encode())) for i, t in [*variants(), (9000, ""), (9001, "one"), (9002, "one two"), (9003, messy.words(5, 3000))]]
+    found = spark.createDataFrame(docs, "node bigint, data binary").mapInArrow(
+        near_copies._signatures(5), ", ".join(["node bigint", *(f"{x} bigint" for x in near_copies.PARITIES)])
+    )
+    sets = {i: near_copies.shingles(bytes(t)) for i, t in docs}
+    sizes = spark.createDataFrame([(i, len(x)) for i, x in sets.items()], "node bigint, n int")
+    signed = found.join(sizes, "node").select("node", "n", F.struct(*near_copies.PARITIES).alias("signature"))
+    other = signed.toDF("other_node", "other_n", "other_signature")
+    near = near_copies._not_too_different(near_copies.Fraction("0.8"), F.col("n"), "signature", F.col("other_n"), "other_signature")
+    kept = {(r.node, r.other_node) for r in signed.crossJoin(other).filter("node < other_node").filter(near).select("node", "other_node").collect()}
+    similar = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and near_copies.similar(a, b, near_copies.Fraction("0.8"))}
+    assert similar <= kept and len(kept) < len(sets) * (len(sets) - 1) / 4
