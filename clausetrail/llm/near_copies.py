@@ -13,7 +13,7 @@ Candidates come from two sides, and each is compared by whole sets before it lin
 Only texts that aren't linked yet are candidates.  In each of some rounds every shingle with two groups compares all its
 texts with one of them, the pivot, which then leaves; linked groups are found again.  What is apart after the rounds is
 compared pair by pair, so no link is lost.  Pairs are told apart before their texts are sent, by where they share their first
-shingle and by signatures that tell how many shingles they can't share; neither drops a pair that is similar.
+shingle and, after the rounds, by signatures that tell how many shingles they can't share; neither drops a pair that is similar.
 
 Texts with equal sets are one node.  The texts are kept as a table bucketed by node, so they are dealt out once; a
 comparison sends the text of a node to its pivot, once for each pivot, and the pivot's to each task that needs it.
@@ -348,14 +348,10 @@ def similar_nodes(
     keyed = rooted.mapInArrow(_prefixes(words, least), KEYED + ", hot boolean")
     # Keys known to be common only pass through, so they are spread.
     spread = keyed.repartition("key", F.when(F.col("hot"), F.pmod("node", F.lit(1024))))
-    shared = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
-    met = texts.join(shared.select("node").distinct(), "node").select("node", "data")
-    signed = met.mapInArrow(_signatures(words), ", ".join(["node bigint", *(f"{x} bigint" for x in PARITIES)]))
-    hot = stage(shared.join(signed.select("node", F.struct(*PARITIES).alias("signature")), "node"), "signed")
-    discard(shared)
+    hot = stage(spread.sortWithinPartitions("key").mapInArrow(_shared(), KEYED), "shared")
     for turn in range(rounds + 1):
         # Few shingles of its own before this one: the text that most others can be similar to.
-        pivot = F.min(F.struct("pos", F.xxhash64("root").alias("h"), "node", "root", "n", "signature")).alias("pivot")
+        pivot = F.min(F.struct("pos", F.xxhash64("root").alias("h"), "node", "root", "n")).alias("pivot")
         groups = hot.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), pivot)
         met = stage(hot.join(groups.filter("low < high").select("key", "size", "pivot"), "key"), "groups")
         discard(hot)
@@ -363,18 +359,22 @@ def similar_nodes(
             return roots
         whole = F.col("size") <= (small if turn < rounds else 1 << 62)
         near = _possible(least, F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"))
-        near &= _not_too_different(least, F.col("n"), "signature", F.col("pivot.n"), "pivot.signature")
         to_pivot = met.filter(~whole & (F.col("root") != F.col("pivot.root")) & near).select("pivot.node", F.col("node").alias("other"))
-        left = met.filter(whole).select("key", "node", "root", "n", "pos", "signature")
-        right = left.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "pos", "signature")])
+        left = met.filter(whole).select("key", "node", "root", "n", "pos")
+        if turn == rounds:  # Groups of any size: only these need signatures.
+            own = texts.join(left.select("node").distinct(), "node").select("node", "data")
+            signed = own.mapInArrow(_signatures(words), ", ".join(["node bigint", *(f"{x} bigint" for x in PARITIES)]))
+            left = stage(left.join(signed.select("node", F.struct(*PARITIES).alias("signature")), "node"), "signed")
+        right = left.select(*[F.col(c).alias(c if c == "key" else f"other_{c}") for c in left.columns])
         near = _possible(least, F.col("n"), F.col("pos"), F.col("other_n"), F.col("other_pos"))
-        near &= _not_too_different(least, F.col("n"), "signature", F.col("other_n"), "other_signature")
+        if turn == rounds:
+            near &= _not_too_different(least, F.col("n"), "signature", F.col("other_n"), "other_signature")
         crossed = left.join(right, "key").filter((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near)
         pairs = to_pivot.toDF("pivot", "node").unionByName(crossed.select(F.col("node").alias("pivot"), F.col("other_node").alias("node")))
         links = links.unionByName(_verified(pairs, texts, words, least))
         roots = stage(components(links), "roots")
-        rest = met.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos", "signature")
-        hot = stage(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos", "signature"), "rest")
+        rest = met.filter(~whole & (F.col("node") != F.col("pivot.node"))).select("key", "node", "n", "pos")
+        hot = stage(rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "n", "pos"), "rest")
         discard(met)
     return roots
 
