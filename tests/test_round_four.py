@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausetrail.operators import alignment as A
 from clausetrail.operators import cookies as K
+from clausetrail.operators import jurisdiction as J
+from clausetrail.operators import network as N
+from clausetrail.plans.inputs import inputs
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_few_deletes_with_many_tabs_are_worked_on_by_many_tasks(spark, monkeypatch):
@@ -26,3 +32,30 @@ def test_changes_without_partition_or_domain_and_twice(spark):
     got = sorted(map(str, K.attribute(changes, tabs).collect()))
     want = ["Row(change_id=1, tab_id=7, site=None)"] * 2 + ["Row(change_id=3, tab_id=None, site='https://a.example')"]
     assert got == want
+
+
+def small(spark, columns: str):
+    return spark.createDataFrame([], columns)
+
+
+def joins(df) -> tuple[int, int]:
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+
+def test_pages_and_signals_of_them_are_not_sent_through_the_driver(spark):
+    x = inputs(spark, SF)
+    pages, observed, network, sites = (small(spark, df.schema) for df in (x.pages, x.observed, x.network, x.sites))
+    assert joins(J.check(pages, observed, J.detect(sites))) == (2, 0)
+    assert joins(A.checks(pages, observed, small(spark, N.vendor_summary(x.hosts).schema))) == (1, 0)
+    assert joins(N.host_country_signals(network, sites)) == (1, 0)
+
+
+def test_pages_without_a_document_are_spread(spark):
+    pages = spark.createDataFrame([(i, None) for i in range(400)] + [(400, 1), (401, 1), (402, 2)], "tab_id bigint, doc_id bigint")
+    documents = spark.createDataFrame([(1, "a"), (None, "never")], "doc_id bigint, text string")
+    met = N.with_document(pages, documents)
+    assert met.columns == ["doc_id", "tab_id", "text"]
+    assert sorted((r.tab_id, r.text) for r in met.collect() if r.text) == [(400, "a"), (401, "a")] and met.count() == 403
+    keys = met._jdf.queryExecution().sparkPlan().toString()
+    assert "_spread" in next(line for line in keys.splitlines() if "SortMergeJoin" in line)
